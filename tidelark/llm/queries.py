@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, substrings
+from . import decontaminate, packing, quality, substrings
 from .frames import table
 
 
@@ -24,5 +24,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_quality_rules": op5_quality_rules, "op10_decontamination": op10_decontamination}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_quality_rules": op5_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {}
