@@ -41,6 +41,12 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows of docs, the same ones in every run: those whose hashed doc_id is least."""
+    some = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    return docs.join(F.broadcast(some), "doc_id", "left_semi")
+
+
 def linked_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) of every node that an edge touches; root is the least node of its group.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, substrings
+from . import decontaminate, packing, personal, quality, secrets, substrings
 from .frames import table
 
 
@@ -28,5 +28,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_quality_rules": op5_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op10_decontamination": op10_decontamination}
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, kinds), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secrets.secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(personal.personal_data(table(spark, sf_dir, "documents")), personal.KINDS)
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_secret_scans": op3_secret_scans, "op5_quality_rules": op5_quality_rules, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {}
