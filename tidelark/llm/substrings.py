@@ -87,14 +87,15 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 25) -> DataF
     docs = docs.select("doc_id", "text")
     paths = docs.mapInArrow(_paths_of(window, anchor), PATHS)
     shared = paths.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("s1") < F.max("s1")).alias("branches")).where("a < b").select("anchor", "branches")
+    shared = keep(shared)  # as a table, so that Spark can split a hot anchor's partition in the join
     found = keep(paths.join(shared.hint("merge"), "anchor"))
-    first = found.groupBy("s1", "s2").agg(F.min("doc_id").alias("holder"))
+    first = keep(found.groupBy("s1", "s2").agg(F.min("doc_id").alias("holder")))
     held = found.join(first.hint("merge"), ["s1", "s2"]).where("doc_id > holder or branches").select("doc_id", "lo", "n", (F.col("doc_id") > F.col("holder")).alias("repeated"))
     each = F.struct("lo", "n")
     of_doc = held.groupBy("doc_id").agg(F.collect_list(F.when(F.col("repeated"), each)).alias("paths"), F.collect_list(F.when(~F.col("repeated"), each)).alias("open"))
     joined = docs.join(of_doc.hint("merge"), "doc_id", "left")
     windows = keep(joined.where(F.size("open") > 0).mapInArrow(_windows_of(window), "doc_id long, w1 long, w2 long, lo int"))
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last")
+    earliest = keep(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last"))
     later = windows.join(earliest.hint("merge"), ["w1", "w2"]).where("doc_id > holder").groupBy("doc_id").agg(F.collect_list(F.struct("lo", F.lit(1).alias("n"))).alias("single"))
     none = F.array().cast("array<struct<lo:int,n:int>>")
     spans = F.transform(F.array_sort(F.concat(F.coalesce("paths", none), F.coalesce("single", none))), lambda x: F.struct(x["lo"].alias("start"), (x["lo"] + x["n"] + (window - 1)).alias("end")))
