@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, personal, quality, secrets, substrings
+from . import decontaminate, jaccard, packing, personal, quality, secrets, substrings
 from .frames import table
 
 
@@ -42,5 +42,9 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(personal.personal_data(table(spark, sf_dir, "documents")), personal.KINDS)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_secret_scans": op3_secret_scans, "op5_quality_rules": op5_quality_rules, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op10_decontamination": op10_decontamination}
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_secret_scans": op3_secret_scans, "op5_quality_rules": op5_quality_rules, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {}
