@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, personal, quality, secrets, substrings
+from . import decontaminate, extract, jaccard, languages, lines, packing, personal, quality, secrets, substrings
 from .frames import table
 
 
@@ -46,5 +46,26 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_secret_scans": op3_secret_scans, "op5_quality_rules": op5_quality_rules, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op10_decontamination": op10_decontamination}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with their markup and addresses, and documents, whose source is the host and whose lang is the declaration."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(False).alias("is_page"))
+    html = F.col("html")
+    rows = rows.unionByName(pages.select(none.cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), html.alias("text"), languages.declared_of(html).alias("declared"), languages.host_of(F.col("url")).alias("host"), F.lit(True).alias("is_page")))
+    found = languages.identify(rows, languages.train(docs), keys=["doc_id", "page_id"], is_page="is_page")
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_language_id": op2_language_id, "op3_secret_scans": op3_secret_scans, "op4_line_dedup": op4_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op9_html_extraction": op9_html_extraction, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {}
