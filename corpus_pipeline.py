@@ -1,4 +1,59 @@
-STAGES = []
+"""A corpus from raw documents to packed sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), works on everything its predecessor
+kept, and returns documents again (the last one returns packed pieces).  A
+stage's result is written as Parquet and read back as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelark.llm import decontaminate, jaccard, lines, packing, quality
+from tidelark.llm.frames import keep, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _of_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs whose doc_id is in ``kept``; both sides are shuffled, as either can be of any size."""
+    return docs.join(keep(kept.select("doc_id")).hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return _of_kept(docs, quality.quality(docs).where("kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go; every document stays."""
+    return lines.without_recurring_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the least doc_id."""
+    return _of_kept(docs, jaccard.near_duplicates(docs).where("doc_id = class_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return _of_kept(docs, decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents that are left, packed into sequences."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("best_fit_packing", best_fit_packing)]
+
+#: Tokens and near copies have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
