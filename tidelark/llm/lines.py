@@ -86,7 +86,7 @@ def _matched(batches):
         yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("s1"), b.column("s2"), pa.array(out, pa.bool_())], names=["leaf", "s1", "s2", "general"])
 
 
-def recurring_lines(docs: DataFrame, *, depth: int = 3, least_docs: int = 10, variety: float = 0.5, constant_share: float = 0.6, fixed_part: float = 0.6) -> DataFrame:
+def recurring_lines(docs: DataFrame, *, depth: int = 2, least_docs: int = 10, variety: float = 0.5, constant_share: float = 0.6, fixed_part: float = 0.6) -> DataFrame:
     """doc_id and ``drop``, the numbers (from 0) of its lines whose template recurs; other documents are absent.
 
     A template recurs if at least ``least_docs`` different surroundings and at

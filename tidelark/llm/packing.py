@@ -297,7 +297,7 @@ def packed(cut: DataFrame, capacity: int = 2048, parts: int = 128) -> DataFrame:
     before = F.coalesce(F.expr("sum(count) over (partition by length order by _part rows between unbounded preceding and 1 preceding)"), F.lit(0))
     starts = counts.select("length", "_part", before.alias("_before"))  # at most capacity * parts rows
     names = [c for c in cut.columns if c != "_part"]
-    ranked = cut.withColumn("_n", F.expr("row_number() over (partition by length, _part order by doc_id, piece, start)")).join(F.broadcast(starts), ["length", "_part"])
+    ranked = cut.withColumn("_n", F.expr("row_number() over (partition by length, _part order by doc_id, piece, start)")).join(starts.hint("merge"), ["length", "_part"])
     out = ranked.select(*names, (F.col("_before") + F.col("_n") - 1).alias("_rank"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*names).schema)
     return out.mapInArrow(place, f"{kind}, sequence_id long, offset long")
