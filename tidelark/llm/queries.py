@@ -52,7 +52,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(False).alias("is_page"))
     html = F.col("html")
-    rows = rows.unionByName(pages.select(none.cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), html.alias("text"), languages.declared_of(html).alias("declared"), languages.host_of(F.col("url")).alias("host"), F.lit(True).alias("is_page")))
+    rows = rows.unionByName(pages.select(none.cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), html.alias("text"), languages.declared_of(html).alias("declared"), extract.host_of(F.col("url")).alias("host"), F.lit(True).alias("is_page")))
     found = languages.identify(rows, languages.train(docs), keys=["doc_id", "page_id"], is_page="is_page")
     return found.withColumn("probability", F.round("probability", 6))
 
