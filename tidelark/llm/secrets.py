@@ -137,8 +137,12 @@ class Network:
                 err = 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -40, 40))) - target
                 self.scale -= 0.1 * float((err * raw).mean())
                 self.shift -= 0.1 * float(err.mean())
-            found = np.sort(self.scores([windows[i] for i in held])[y[held]])
-            self.threshold = max(0.5, float(found[int(np.floor((1 - recall) * len(found)))]) - 1e-9)
+            p = self.scores([windows[i] for i in held])
+            found = np.sort(p[y[held]])
+            keeps = float(found[int(np.floor((1 - recall) * len(found)))])  # the highest threshold with this recall
+            other = p[~y[held]]
+            below = float(other[other < keeps].max(initial=0.0))
+            self.threshold = max(0.5, (keeps + below) / 2)  # as far from the findings as from the rest
         return self
 
 
