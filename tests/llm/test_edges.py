@@ -88,15 +88,17 @@ def test_groups(spark):
 
 
 def test_planted_secrets_are_learnt(spark):
-    """Held-out findings of a kind that the patterns miss in part: unlabelled keys in the same surroundings."""
+    """Held-out accuracy: keys that the patterns miss, some of them unlabelled in the sample itself."""
     rng = np.random.default_rng(6)
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
-    rows = [(i, f"see the token = \"{hexes(40)}\" in here and order 2024-{i:08d}-0000 or item_{i:012d}_x") for i in range(400)]
-    rows += [(1000 + i, f"the value {hexes(23)} was seen at 2025-{i:08d}-0000") for i in range(50)]
-    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    found = sum(any(s.kind == "model" for s in got[1000 + i].spans) for i in range(50))
-    wrong = sum(any(s.kind == "model" for s in got[i].spans) for i in range(400))
-    assert found >= 40 and wrong <= 20
+    line = lambda i, n: f"see the token = \"{hexes(n)}\" in here and order 2024-{i:08d}-0000 or item_{i:012d}_x"
+    rows = [(i, line(i, 40)) for i in range(400)] + [(1000 + i, f"the value {hexes(23)} was seen at 2025-{i:08d}-0000") for i in range(10)]
+    model = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [f"the value {hexes(23)} was seen at 2026-{i:08d}-0000" for i in range(50)]
+    spots = [[secrets.window_of(t, a, b) for a, b in secrets.candidates(t, [])] for t in texts]
+    scores = np.array([model.scores(s) for s in spots])
+    assert (scores[:, 0] >= model.threshold).mean() >= 0.8
+    assert (scores[:, 1] >= model.threshold).mean() <= 0.05
 
 
 @pytest.mark.parametrize(

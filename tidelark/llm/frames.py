@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return modest_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _own: dict[str, str] = {}
@@ -42,9 +42,24 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def bounded_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` rows of docs, the same ones in every run: those whose hashed doc_id is least."""
-    some = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    return docs.join(F.broadcast(some), "doc_id", "left_semi")
+    """About ``rows`` rows of docs, all of a smaller table: those whose hashed doc_id is below a share of its range.
+
+    The choice depends on doc_id alone, so it is the same in every run, and
+    nothing is sorted or sent to the driver to make it.
+    """
+    n = docs.count()
+    if n <= rows:
+        return docs
+    return docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit(int((1 << 63) * (rows / n))))
+
+
+def modest_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches that leave room beside the heap even with very long texts; a user's own settings stay."""
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "16m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+    return spark
 
 
 def linked_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -59,13 +74,16 @@ def linked_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60
     was = None
     for _ in range(rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
+        extra: list[str] = []  # as tables, so that Spark can split a hot node's rows in the joins
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), of=extra)
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = keep(large, of=extra)
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), of=extra)
+        small = large.join(low.hint("merge"), "u").select("u", "v", "m")
         now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = keep(now, of=paths)
-        discard(now.sparkSession, paths.pop(0))
+        for path in (paths.pop(0), *extra):
+            discard(now.sparkSession, path)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == was:
             break
