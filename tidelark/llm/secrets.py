@@ -178,7 +178,7 @@ def train(docs: DataFrame, *, sample_docs: int = 20_000, findings: int = 2_000,
         y += [r.found] * 2
     y = np.array(y, bool)
     # the patterns miss some findings, which stand among the other tokens: leave out those that a short first fit takes for findings
-    doubtful = ~y & (Network().fit(windows, y, recall, epochs=6).scores(windows) >= 0.5)
+    doubtful = ~y & (Network().fit(windows, y, recall, epochs=2).scores(windows) >= 0.5)
     return Network().fit([w for w, d in zip(windows, doubtful, strict=True) if not d], y[~doubtful], recall)
 
 
