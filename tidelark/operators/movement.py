@@ -67,13 +67,13 @@ def general_presence(events: DataFrame, within_s: float = 30) -> DataFrame:
     return interval_join(active.where("zone_type = 'full'"), sub, ["room"], "ts", "_sub", -within_s, within_s, how="left_anti")
 
 
-def subzone_transitions(events: DataFrame) -> DataFrame:
-    """Active subzone events whose room's next subzone event is active in another zone: from, to, seconds."""
+def subzone_transitions(events: DataFrame, key: str = "room") -> DataFrame:
+    """Active subzone events whose key's next subzone event is active in another zone: from, to, seconds."""
     sub = events.where("zone_type = 'subzone'")
-    w = W.partitionBy("room").orderBy("ts", "event_id")
+    w = W.partitionBy(key).orderBy("ts", "event_id")
     on = F.col("state").isin("on", "open", "detected")
-    moved = sub.select("room", "ts", "event_id", "zone", on.alias("_on"), F.lead("zone").over(w).alias("to_zone"), F.lead(on).over(w).alias("_to_on"), F.lead("ts").over(w).alias("_to"))
-    return moved.where("_on AND _to_on AND zone <> to_zone").select("room", "ts", "event_id", F.col("zone").alias("from_zone"), "to_zone", seconds_between("_to", "ts").alias("dt_s"))
+    moved = sub.select(key, "ts", "event_id", "zone", on.alias("_on"), F.lead("zone").over(w).alias("to_zone"), F.lead(on).over(w).alias("_to_on"), F.lead("ts").over(w).alias("_to"))
+    return moved.where("_on AND _to_on AND zone <> to_zone").select(key, "ts", "event_id", F.col("zone").alias("from_zone"), "to_zone", seconds_between("_to", "ts").alias("dt_s"))
 
 
 def granularity(events: DataFrame) -> DataFrame:

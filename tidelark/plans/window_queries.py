@@ -44,9 +44,9 @@ def _(v):
     return out.select("event_id", F.col("state_lag_1").alias("s1"), F.col("state_lag_5").alias("s5"), F.col("state_lag_15").alias("s15"), "on_1h", "on_6h")
 
 
-@query("w06_subzone_transitions", f", x AS (SELECT *, lead(zone) OVER w AS nz, lead(state) OVER w AS ns, lead(ts) OVER w AS nt FROM se WHERE zone_type = 'subzone' WINDOW w AS (PARTITION BY room ORDER BY ts, event_id)) SELECT event_id, zone AS from_zone, nz AS to_zone, round({SECS.format(a='nt', b='ts')}, 6) AS dt_s FROM x WHERE state = 'on' AND ns = 'on' AND zone <> nz")
+@query("w06_subzone_transitions", f", x AS (SELECT *, lead(zone) OVER w AS nz, lead(state) OVER w AS ns, lead(ts) OVER w AS nt FROM se WHERE zone_type = 'subzone' AND person IS NOT NULL WINDOW w AS (PARTITION BY person ORDER BY ts, event_id)) SELECT event_id, zone AS from_zone, nz AS to_zone, round({SECS.format(a='nt', b='ts')}, 6) AS dt_s FROM x WHERE state = 'on' AND ns = 'on' AND zone <> nz")
 def _(v):
-    return movement.subzone_transitions(v.se).select("event_id", "from_zone", "to_zone", r6("dt_s").alias("dt_s"))
+    return movement.subzone_transitions(v.se.where("person is not null"), "person").select("event_id", "from_zone", "to_zone", r6("dt_s").alias("dt_s"))
 
 
 @query("w07_granularity", ", x AS (SELECT event_id, zone_type AS a, lead(zone_type) OVER (ORDER BY ts, event_id) AS b FROM se) SELECT event_id, CASE WHEN a = 'subzone' AND b = 'subzone' THEN 'precise' WHEN a = 'full' AND b = 'full' THEN 'general' WHEN a IN ('full','subzone') AND b IN ('full','subzone') THEN 'hybrid' END AS granularity FROM x")
@@ -244,9 +244,9 @@ def _(v):
 INTERPOLATED = CURVE + ", kn AS (SELECT * FROM cv WHERE horizon < 60 OR horizon > 150), a AS (SELECT room, unnest(range(1, 240)) AS h FROM (SELECT DISTINCT room FROM kn) q), ip AS (SELECT a.room, a.h AS horizon, coalesce(max(accuracy) FILTER (kn.horizon = a.h), avg(accuracy) FILTER (abs(kn.horizon - a.h) <= 30), arg_min(accuracy*greatest(0.1, 1 - 0.2*abs(kn.horizon - a.h)/60), (abs(kn.horizon - a.h), kn.horizon)), 0.5) AS accuracy FROM a JOIN kn USING (room) GROUP BY 1, 2)"
 
 
-@query("w34_interpolated", INTERPOLATED + "SELECT room, CAST(horizon AS INT) AS horizon, round(accuracy, 4) AS accuracy FROM ip")
+@query("w34_interpolated", INTERPOLATED + "SELECT room, CAST(horizon AS INT) AS horizon, round(accuracy, 9) AS accuracy FROM ip")
 def _(v):
-    return series.interpolated(curve(v).where("horizon < 60 or horizon > 150"), ["room"]).withColumn("accuracy", F.round("accuracy", 4))
+    return series.interpolated(curve(v).where("horizon < 60 or horizon > 150"), ["room"]).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("w35_stable_horizons", CURVE + ", i AS (SELECT *, accuracy + 0.4 AS acc, row_number() OVER (PARTITION BY room ORDER BY horizon) - 1 AS i FROM cv), w AS (SELECT room, unnest(range(0, 24)) AS w FROM (SELECT DISTINCT room FROM cv) q), g AS (SELECT w.room, w.w, count(*) AS n, var_pop(acc) AS v, avg(acc) AS m, max(horizon) FILTER (i = w.w*5 + 5) AS horizon FROM w JOIN i ON i.room = w.room AND i.i BETWEEN w.w*5 AND w.w*5 + 9 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY room ORDER BY w) AS rn FROM g WHERE n = 10 AND v < 0.01 AND m > 0.6) SELECT room, horizon FROM r WHERE rn <= 3")
