@@ -115,16 +115,21 @@ def interpolated(known: DataFrame, keys: list[str], h: str = "horizon", acc: str
 
 def breakpoints(curve: DataFrame, keys: list[str], h: str = "horizon", acc: str = "accuracy", most: int = 3) -> DataFrame:
     """Chosen horizons of each key: local maxima, or slope breaks where under two, filled up by the defaults, at most three."""
-    peaks = local_maxima(curve, keys, h, acc).select(*keys, h, acc).withColumn("_k", F.lit("peak"))
-    breaks = gradient_breaks(curve, keys, h, acc).withColumn("_k", F.lit("break"))
-    both = peaks.unionByName(breaks)
-    counts = curve.select(*keys).distinct().join(both.groupBy(*keys).agg(F.count(F.when(F.col("_k") == "peak", 1)).alias("_p"), F.count(F.when(F.col("_k") == "break", 1)).alias("_b")), keys, "left").na.fill(0)
-    joined = both.join(counts, keys).where(F.when(F.col("_p") >= 2, F.col("_k") == "peak").otherwise(F.col("_k") == "break")).dropDuplicates([*keys, h])
-    kept = joined.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(h).alias("_only"))
-    default = counts.join(kept, keys, "left").select(*keys, F.when(F.col("_n").isNull(), F.array(F.lit(15), F.lit(120))).when(F.col("_n") == 1, F.array(F.when(F.col("_only") < 60, 120).otherwise(15))).alias("_add")).where("_add is not null").select(*keys, F.explode("_add").alias(h)).join(curve, [*keys, h], "left").select(*keys, h, acc)
-    all_of = joined.select(*keys, h, acc).unionByName(default).where(F.col(h).between(5, 240)).dropDuplicates([*keys, h])
-    w = W.partitionBy(*keys).orderBy(F.desc(acc), h)
-    return all_of.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select(*keys, h)
+    w = _ordered(keys, [h])
+    here, back, back2, ahead = F.col(acc), F.lag(acc).over(w), F.lag(acc, 2).over(w), F.lead(acc).over(w)
+    peak = F.coalesce((here > back) & (here > ahead) & (here > 0.6), F.lit(False))
+    bend = F.coalesce((F.abs((here - back) - (back - back2)) > 0.1) & (here > 0.5), F.lit(False))
+    point = F.struct(F.col(acc).alias("acc"), F.col(h).alias("h"))
+    marked = curve.select(*keys, point.alias("_x"), peak.alias("_peak"), bend.alias("_bend"))
+    take = lambda c: F.collect_list(F.when(c, F.col("_x")))
+    got = marked.groupBy(*keys).agg(take(F.col("_peak")).alias("_p"), take(F.col("_bend")).alias("_b"), take(F.col("_x.h").isin(15, 120)).alias("_d"))
+    got = got.withColumn("_c", F.when(F.size("_p") >= 2, F.col("_p")).otherwise(F.col("_b")))
+    only = F.get("_c", F.lit(0))["h"]
+    wanted = F.when(F.size("_c") == 0, F.array(F.lit(15), F.lit(120))).when(F.size("_c") == 1, F.array(F.when(only < 60, 120).otherwise(15))).otherwise(F.array().cast("array<int>"))
+    default = F.transform(wanted, lambda x: F.struct(F.get(F.filter("_d", lambda d: d["h"] == x), F.lit(0))["acc"].alias("acc"), x.alias("h")))
+    every = F.filter(F.concat(F.transform("_c", lambda x: F.struct(x["acc"].alias("acc"), x["h"].cast("int").alias("h"))), default), lambda x: x["h"].between(5, 240))
+    best = F.array_sort(F.transform(F.array_distinct(every), lambda x: F.struct((-F.coalesce(x["acc"], F.lit(-1.0))).alias("a"), x["h"].alias("h"))))
+    return got.select(*keys, F.explode(F.slice(best, 1, most)).alias("_x")).select(*keys, F.col("_x.h").alias(h))
 
 
 def stable_horizons(curve: DataFrame, keys: list[str], h: str = "horizon", acc: str = "accuracy", width: int = 10, step: int = 5, most: int = 3) -> DataFrame:
@@ -142,7 +147,6 @@ def merged_votes(votes: DataFrame, keys: list[str], h: str = "horizon") -> DataF
     """Horizons by votes: those with two or more, or the first two, at most three; 15 or 120 is added where that side is bare."""
     n = votes.groupBy(*keys, h).agg(F.count("*").alias("votes"))
     ranked = n.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("votes"), h)))
-    kept = ranked.where(((F.col("votes") >= 2) | (F.col("_r") <= 2)) & (F.col("_r") <= 3)).select(*keys, h)
-    ends = kept.groupBy(*keys).agg(F.min(h).alias("_lo"), F.max(h).alias("_hi"))
-    add = ends.select(*keys, F.explode(F.array_compact(F.array(F.when(F.col("_lo") > 30, 15), F.when(F.col("_hi") < 90, 120)))).alias(h))
-    return kept.unionByName(add).distinct()
+    kept = ranked.where(((F.col("votes") >= 2) | (F.col("_r") <= 2)) & (F.col("_r") <= 3)).groupBy(*keys).agg(F.collect_list(F.col(h).cast("int")).alias("_h"))
+    add = F.array_compact(F.array(F.when(F.array_min("_h") > 30, 15), F.when(F.array_max("_h") < 90, 120)))
+    return kept.select(*keys, F.explode(F.array_union("_h", add)).alias(h))

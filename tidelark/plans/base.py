@@ -25,6 +25,10 @@ class Views:
     spark: SparkSession
     sf_dir: str
 
+    def __post_init__(self) -> None:
+        # a union that keeps its sides' partitioning fails where the sides were coalesced differently at run time
+        self.spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
     @cached_property
     def se(self) -> DataFrame:
         return fixtures.sensor_events(self.spark, self.sf_dir)
