@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, jaccard, languages, lines, packing, personal, quality, secrets, substrings
+from . import decontaminate, extract, jaccard, languages, lines, oracle, packing, personal, quality, secrets, substrings
 from .frames import table
 
 
@@ -68,4 +68,4 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_language_id": op2_language_id, "op3_secret_scans": op3_secret_scans, "op4_line_dedup": op4_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op9_html_extraction": op9_html_extraction, "op10_decontamination": op10_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_substring_dedup": oracle.OP1, "op6_ngram_jaccard": oracle.OP6, "op10_decontamination": oracle.OP10}
