@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tidelark.operators.temporal import SECOND, micros
 
-#: Minutes of the time windows; whole minutes, hours and days first.
-WINDOWS = sorted({*range(1, 61), *(60 * h for h in range(1, 25)), *(1440 * d for d in range(1, 30)), 90, 105, 135, 150, 165, 180, 270, 300, 330, 360, 450, 480, 510, 540})
+#: Minutes of time windows that are not whole hours, besides the first sixty.
+BROKEN_HOURS = (90, 105, 135, 150, 165, 270, 330, 450, 510)
+#: Minutes of the time windows: whole minutes of an hour, whole hours of a day, whole days of a month, and the broken hours.
+WINDOWS = sorted({*range(1, 61), *(60 * h for h in range(1, 25)), *(1440 * d for d in range(1, 30)), *BROKEN_HOURS})
 
 
 def token(*columns: str) -> Column:
@@ -28,8 +30,10 @@ def sequences(events: DataFrame, item: Column, longest: int = 5, shortest: int =
 
 def smallest_window(span_s: Column) -> Column:
     """Minutes of the least window that a span fits in; null for longer ones."""
-    found = F.filter(F.array(*map(F.lit, WINDOWS)), lambda m: m * 60 >= span_s)
-    return F.try_element_at(found, F.lit(1))
+    m = F.greatest(F.lit(1), F.ceil(span_s / 60).cast("int"))
+    up = lambda step: F.ceil(m / step).cast("int") * step
+    broken = F.coalesce(*[F.when(m <= x, x) for x in BROKEN_HOURS])
+    return F.when(m <= 60, m).when(m <= 1440, F.least(up(60), broken)).when(m <= 29 * 1440, up(1440))
 
 
 def windowed_counts(found: DataFrame, keys: tuple[str, ...] = ("room",)) -> DataFrame:
