@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidelark.llm import decontaminate, jaccard, lines, packing, personal, queries, secrets, substrings
+from tidelark.llm import decontaminate, jaccard, lines, packing, personal, quality, queries, secrets, substrings
 
 BLACK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -118,6 +118,35 @@ def test_op5(spark, sf, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_op5_cutoffs_with_much_junk(spark):
+    """Neither texts that the base rules reject nor a source's own junk, up to 40 % of it, lift a cut-off above that junk."""
+    rng = np.random.default_rng(5)
+    words = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(600)]
+    say = lambda n: list(rng.choice(words, n, replace=False))
+    phrase = say(8)
+    kinds = {
+        "good": lambda: say(80),
+        "signs": lambda: [x + "##" * (i % 2) for i, x in enumerate(say(80))],
+        "repeats": lambda: say(56) + phrase * 3,  # a rate of 0.3
+        "rejected": lambda: phrase * 10,
+    }
+    shares = {("en", "a"): {"good": 400, "rejected": 100, "repeats": 30}, ("en", "b"): {"good": 270, "signs": 30}, ("en", "c"): {"good": 180, "signs": 120}, ("de", "d"): {"good": 140, "signs": 90}}
+    rows = [(kind, *group, " ".join(kinds[kind]())) for group, counts in shares.items() for kind, n in counts.items() for _ in range(n)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, kind string, lang string, source string, text string")
+    got = {r.doc_id: r for r in quality.quality(frame).collect()}
+    for i, (kind, *_) in enumerate(rows):
+        assert (got[i].kept, got[i].base_failed) == (kind == "good", kind == "rejected")
+
+
+def test_op5_labels(spark):
+    """The rules' verdicts against the table of labels, on texts that pass the base rules."""
+    sf = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in queries.op5_quality_rules(spark, sf).collect() if r.doc_id in label and not r.base_failed]
+    assert np.mean([not r.kept for r in got if label[r.doc_id] == 0]) >= 0.95
+    assert np.mean([r.kept for r in got if label[r.doc_id] == 1]) >= 0.98
+
+
 def test_op6(spark, sf, docs):
     grams = {}
     for i, t in docs.items():

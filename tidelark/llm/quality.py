@@ -3,9 +3,13 @@
 Each text's measures are array expressions inside its own row, so nothing is
 shuffled to compute them.  The cut-offs are quantiles from Spark's mergeable
 quantile sketches, built by a combined aggregate for every language and
-source: a hot source is summed up before the shuffle like any other.  A group
-with fewer than ``least_group`` texts uses its language's cut-offs, and a
-language with fewer uses those of all texts.
+source: a hot source is summed up before the shuffle like any other.  Texts
+that the fixed rules reject have no part in them, and fences are set from the
+median and the quartile, so up to a quarter of a group can be junk without
+moving its cut-offs.  Beyond that share the wider group holds: a source's
+cut-off is never laxer than its language's, and a language's rates never than
+those of all texts.  A group with fewer than ``least_group`` texts uses its
+language's cut-offs, and a language with fewer uses those of all texts.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from .frames import keep
 HIGH = {"symbol_rate": 0.05, "dup_line_rate": 0.2, "repeat_rate": 0.2, "word_length": 12.0}
 #: Measures whose low side is suspect, with the greatest cut-off.
 LOW = {"low_word_length": 2.5}
+#: Measures that mean the same in every language, with cut-offs of at most 1.
+RATES = ("symbol_rate", "dup_line_rate", "repeat_rate")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -73,15 +79,16 @@ def rates(measured: DataFrame) -> DataFrame:
 
 
 def cutoffs(rated: DataFrame, keys: list[str], suffix: str, spread: float, accuracy: int) -> DataFrame:
-    """For each group: its size and, for each measure, median and quartile fences, from quantile sketches."""
+    """For each group: its size without base_failed texts and, for each measure, its fence from their median and quartile."""
     out = []
     for name, floor in HIGH.items():
-        q = F.percentile_approx(name, [0.5, 0.75, 0.95], accuracy)
-        out.append(F.greatest(F.lit(floor), q[2] + spread * (q[1] - q[0]) + 0.5 * q[2]).alias(f"{name}_{suffix}"))
+        q = F.percentile_approx(name, [0.5, 0.75], accuracy)
+        fence = F.greatest(F.lit(floor), q[1] + spread * (q[1] - q[0]))
+        out.append((F.least(F.lit(1.0), fence) if name in RATES else fence).alias(f"{name}_{suffix}"))
     for name, ceiling in LOW.items():
-        q = F.percentile_approx(name, [0.05, 0.25, 0.5], accuracy)
-        out.append(F.least(F.lit(ceiling), q[0] - spread * (q[2] - q[1]) - 0.1 * q[0]).alias(f"{name}_{suffix}"))
-    sound = rated.where("n_words >= 50")
+        q = F.percentile_approx(name, [0.25, 0.5], accuracy)
+        out.append(F.least(F.lit(ceiling), q[0] - spread * (q[1] - q[0])).alias(f"{name}_{suffix}"))
+    sound = rated.where(~F.col("base_failed"))
     return (sound.groupBy(*keys) if keys else sound).agg(F.count("*").alias(f"n_{suffix}"), *out)
 
 
@@ -104,7 +111,10 @@ def judged(measured: DataFrame, *, spread: float = 6.0, least_group: int = 200,
     both = both.join(tongue.hint(hint), both.lang.eqNullSafe(tongue._lang), "left").drop("_lang")
 
     def limit(name: str) -> Column:
-        return F.when(F.col("n_s") >= least_group, F.col(f"{name}_s")).when(F.col("n_l") >= least_group, F.col(f"{name}_l")).otherwise(F.lit(overall[f"{name}_all"]).cast("double"))
+        stricter = F.least if name in HIGH else F.greatest
+        whole = F.lit(overall[f"{name}_all"]).cast("double")
+        of_tongue = F.when(F.col("n_l") >= least_group, stricter(F.col(f"{name}_l"), whole) if name in RATES else F.col(f"{name}_l")).otherwise(whole)
+        return F.when(F.col("n_s") >= least_group, stricter(F.col(f"{name}_s"), of_tongue)).otherwise(of_tongue)
 
     beyond = [F.col(x) > limit(x) for x in HIGH] + [F.col(x) < limit(x) for x in LOW]
     fails = F.coalesce(reduce(lambda a, b: a | b, beyond), F.lit(False))
