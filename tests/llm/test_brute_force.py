@@ -276,6 +276,32 @@ def test_op4_templates(spark):
         assert (kept[i].n_lines, kept[i].n_dropped) == (t.count("\n") + 1, int(i < 30))
 
 
+def test_op4_blocks_and_copies(spark):
+    """Every line of a recurring block goes, wherever it stands, and copies of one document don't hide a line; edited copies stay."""
+    rng = np.random.default_rng(7)
+    words = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(600)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    foot, head, inner = ([say(n) for n in (5, 3, 6, 4)] for _ in range(3))
+    rows = [(i, [say(9), say(8), *foot]) for i in range(30)]
+    rows += [(100 + i, [*head, say(9), say(8)]) for i in range(30)]
+    rows += [(200 + i, [say(9), *inner, say(8)]) for i in range(30)]
+    want = {i: [2, 3, 4, 5] for i in range(30)} | {100 + i: [0, 1, 2, 3] for i in range(30)} | {200 + i: [1, 2, 3, 4] for i in range(30)}
+    note = say(7)
+    rows += [(300 + i, [say(9), note, say(8)]) for i in range(20)]
+    copied = [say(9), note, say(8)]
+    rows += [(400 + i, copied) for i in range(60)]
+    want |= {i: [1] for i in (*range(300, 320), *range(400, 460))}
+    body = [say(9) for _ in range(12)]
+    for i in range(40):  # copies with one edited line, half of them with the footer
+        edited = list(body)
+        edited[int(rng.integers(0, 12))] = say(9)
+        rows.append((500 + i, edited + foot * (i % 2)))
+        if i % 2:
+            want[500 + i] = [12, 13, 14, 15]
+    frame = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    assert {r.doc_id: r.drop for r in lines.recurring_lines(frame).collect()} == want
+
+
 def test_op2_held_out(spark, sf):
     """The text model, trained on documents, names the language that pages declare."""
     got = [r for r in queries.op2_language_id(spark, sf).collect() if r.page_id is not None]

@@ -10,21 +10,24 @@ masked tokens.
 A template is dropped if enough documents have it in enough different
 surroundings.  Surroundings are the last words before the line and the first
 ones after it: lines of copied documents recur too, but always in the same
-place, and are left to the operators for near duplicates.
+place, and are left to the operators for near duplicates.  Documents with
+equal texts count as one.  A block of recurring lines is found from its ends:
+once a line is known to recur, its neighbours' surroundings are taken from
+beyond it, and this is repeated until no more lines are found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .frames import keep
 
-LINES = "doc_id long, line int, leaf long, s1 long, s2 long, place long, again boolean, tokens binary"
-_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("place", pa.int64()), ("again", pa.bool_()), ("tokens", pa.binary())])
+LINES = "doc_id long, line int, leaf long, s1 long, s2 long, copy long, nth int, before long, after long, again boolean, tokens binary"
+_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("copy", pa.int64()), ("nth", pa.int32()), ("before", pa.int64()), ("after", pa.int64()), ("again", pa.bool_()), ("tokens", pa.binary())])
 #: Words on either side that make up a line's surroundings.
 NEAR = 2
 
@@ -54,13 +57,19 @@ def _parsed(depth: int):
                 before, after = np.zeros(len(lo), bw.U), np.zeros(len(lo), bw.U)
                 before[1:][same] = tail[:-1][same]
                 after[:-1][same] = head[1:][same]
+                first = np.ones(len(of), bool)
+                first[1:] = ~same
+                begins = np.flatnonzero(first)
+                ends = np.append(begins[1:], len(of)) - 1
+                nth = np.arange(len(of)) - np.repeat(begins, ends - begins + 1)
+                copy = np.repeat(bw.mix(one.of(lo[begins], hi[ends]) + bw.mix(two.of(lo[begins], hi[ends]), 5), 6), ends - begins + 1)
                 order = np.lexsort((lo, s2, s1, of))
                 again = np.zeros(len(lo), bool)
                 x, y = order[1:], order[:-1]
                 again[x] = (of[x] == of[y]) & (s1[x] == s1[y]) & (s2[x] == s2[y])
                 short = pa.py_buffer(w.hash.astype("<u2").tobytes())
                 tokens = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(lo, len(doc)).astype(np.int32) * 2), short])
-                yield bw.batch(_LINES, ids[of], number[lo].astype(np.int32), bw.signed(leaf), bw.signed(s1), bw.signed(s2), bw.signed(bw.mix(before + bw.mix(after, 5), 4)), again, tokens)
+                yield bw.batch(_LINES, ids[of], number[lo].astype(np.int32), bw.signed(leaf), bw.signed(s1), bw.signed(s2), bw.signed(copy), nth.astype(np.int32), bw.signed(before), bw.signed(after), again, tokens)
 
     return run
 
@@ -86,11 +95,29 @@ def _matched(batches):
         yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("s1"), b.column("s2"), pa.array(out, pa.bool_())], names=["leaf", "s1", "s2", "general"])
 
 
+def _spread(places: DataFrame) -> DataFrame:
+    """(template, places, docs): how many different surroundings each template has, in how many different texts."""
+    once = places.groupBy("template", "copy").agg(F.min(F.xxhash64("before", "after")).alias("place"))
+    return once.groupBy("template", "place").agg(F.count("*").alias("docs")).groupBy("template").agg(F.count("*").alias("places"), F.sum("docs").alias("docs"))
+
+
+def _beyond(places: DataFrame) -> DataFrame:
+    """places with the surroundings of each line taken from beyond the adjacent lines that are ``known``."""
+    doc = Window.partitionBy("copy")
+    out = places
+    for side, order, step in (("before", F.col("nth").asc(), 1), ("after", F.col("nth").desc(), -1)):
+        w = doc.orderBy(order)
+        hidden = F.coalesce(F.lag("known").over(w) & (F.lag("nth").over(w) + step == F.col("nth")), F.lit(False))
+        out = out.withColumn("_own", F.when(~hidden, F.col(side)))
+        out = out.withColumn(side, F.last("_own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_own")
+    return out
+
+
 def recurring_lines(docs: DataFrame, *, depth: int = 2, least_docs: int = 10, variety: float = 0.5, constant_share: float = 0.6, fixed_part: float = 0.6) -> DataFrame:
     """doc_id and ``drop``, the numbers (from 0) of its lines whose template recurs; other documents are absent.
 
     A template recurs if at least ``least_docs`` different surroundings and at
-    least ``variety`` times as many as documents have it.  A leaf has a template
+    least ``variety`` times as many as different texts have it.  A leaf has a template
     of its own if at least ``fixed_part`` of its places are constant, each with
     one token in ``constant_share`` of its documents.  Blank lines never recur;
     null and empty texts have none.
@@ -115,10 +142,20 @@ def recurring_lines(docs: DataFrame, *, depth: int = 2, least_docs: int = 10, va
     kinds = keep(masked.join(general.hint("merge"), "leaf").select("leaf", "s1", "s2", "tokens", "constants").mapInArrow(_matched, "leaf long, s1 long, s2 long, general boolean").where("general").select("s1", "s2", "general"))
 
     template = F.when(F.col("general"), F.struct(F.col("leaf").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(True).alias("z"))).otherwise(F.struct(F.col("s1").alias("x"), F.col("s2").alias("y"), F.lit(False).alias("z")))
-    places = found.drop("tokens").join(kinds.hint("merge"), ["s1", "s2"], "left").select("doc_id", "line", "place", "again", template.alias("template"))
+    places = found.drop("tokens").join(kinds.hint("merge"), ["s1", "s2"], "left").select("doc_id", "line", "copy", "nth", "before", "after", template.alias("template"))
     places = keep(places)
-    seen = places.groupBy("template", "place").agg(count.alias("docs")).groupBy("template").agg(F.count("*").alias("places"), F.sum("docs").alias("docs"))
-    recurs = keep(seen.where(F.col("places") >= F.greatest(F.lit(least_docs), variety * F.col("docs"))).select("template"))
+    often = keep(_spread(places).where(F.col("docs") >= least_docs))
+    places = keep(places.join(often.hint("merge"), "template", "left_semi"))  # a template of fewer texts never recurs
+    texts = keep(places.select("copy", "nth", "before", "after", "template").distinct())
+    enough = F.col("places") >= F.greatest(F.lit(least_docs), variety * F.col("docs"))
+    recurs = keep(often.where(enough).select("template"))
+    n, was = recurs.count(), 0
+    while n > was:
+        known = recurs.withColumn("known", F.lit(True))
+        marked = keep(texts.join(known.hint("merge"), "template", "left").withColumn("known", F.col("known").isNotNull()))
+        more = _spread(_beyond(marked).where(~F.col("known"))).where(enough).select("template")
+        recurs = keep(recurs.unionByName(more))
+        n, was = recurs.count(), n
     return places.join(recurs.hint("merge"), "template").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("drop"))
 
 
