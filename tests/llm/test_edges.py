@@ -58,7 +58,7 @@ def test_defined_results(spark, odd):
     cut = {r.doc_id: r for r in substrings.cut_spans(substrings.repeated_spans(odd)).collect()}
     assert cut[4].n_removed == 0 and cut[5].n_removed == cut[5].n_words == 120_000 and cut[0].n_words == 0
     hits = {r.doc_id: r for r in decontaminate.benchmark_hits(odd, spark.createDataFrame([(1, "A b C")], "item_id long, text string")).collect()}
-    assert hits[7].n_hit == 3 and hits[7]["items"] == [1] and not hits[4].n_hit
+    assert hits[7].n_hit == 3 and hits[7]["items"] == ["1"] and not hits[4].n_hit
     pieces = [r for r in packing.pack(odd.where("doc_id in (0, 1)").dropDuplicates(["doc_id"])).collect()]
     assert [(r.length, r.ids) for r in pieces] == [(1, [0]), (1, [0])]
     found = {r.doc_id: r for r in personal.personal_data(odd).collect()}
@@ -67,6 +67,15 @@ def test_defined_results(spark, odd):
     assert judged[0].base_failed and not judged[0].kept and judged[4].n_words == 120_000
 
 
+def test_decontaminate_rows_that_share_an_id(spark):
+    """Every row is judged by its own text; ids of items may be any strings or null."""
+    ten = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, ten), (1, "x y"), (1, "x y"), (2, "a b c"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("b-2", ten), ("b-10", ten + " z"), (None, "B c"), ("e", "")], "item_id string, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"], [(s.start, s.end) for s in r.spans]) for r in decontaminate.benchmark_hits(docs, items).collect())
+    assert got == [(1, 2, 0, [], []), (1, 2, 0, [], []), (1, 12, 12, ["b-10", "b-2"], [(0, 12)]), (2, 0, 0, [], []), (2, 3, 2, [""], [(1, 3)])]
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, none, sf):
     for docs in (odd, none):
         for name, stage in corpus_pipeline.STAGES:

@@ -1,14 +1,13 @@
 """Benchmark passages in documents, found by winnowed word k-grams.
 
 A text's fingerprints are the least k-gram hashes of every ``window`` words, so
-two texts that share ``window`` words in a row share a fingerprint.  Documents
-and items are joined on fingerprints, and only the windows around a shared
-fingerprint are compared, by 128-bit hashes.  Items shorter than a window are
-compared whole, for each length that occurs.
-
-If the items' text is within ``broadcast_chars`` (checked before), their hashes
-go to every task and documents aren't shuffled.  Beyond that, both sides are
-joined in Spark.
+two texts that share ``window`` words in a row share a fingerprint.  The items'
+fingerprints are folded into a bitmap of bounded size that goes to every task:
+a document's window is passed on only if its fingerprint may be an item's.
+Those windows are joined with the items' in Spark on the fingerprint and a
+128-bit hash of the whole window, and the hits are extended to word spans.
+Items shorter than a window are compared whole, for each length that occurs;
+such a window is its own fingerprint.  Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -21,10 +20,14 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .frames import keep
 
-FOUND = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-WINDOWS = "id long, size int, w1 long, w2 long, mark long, lo int"
-_WINDOWS = pa.schema([("id", pa.int64()), ("size", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("mark", pa.int64()), ("lo", pa.int32())])
+FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+WINDOWS = "id string, size int, mark long, w1 long, w2 long"
+_WINDOWS = pa.schema([("id", pa.string()), ("size", pa.int32()), ("mark", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
+NEAR = "doc_id long, row long, n_words long, near array<struct<size:int,mark:long,w1:long,w2:long,lo:int>>"
+_NEAR = pa.struct([("size", pa.int32()), ("mark", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("lo", pa.int32())])
+#: Bits of one row of Spark's bitmap aggregates.
+_ROW_BITS = 32_768
 
 
 def _marks(w: bw.Words, one: bw.Rolling, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +39,7 @@ def _marks(w: bw.Words, one: bw.Rolling, window: int, k: int) -> tuple[np.ndarra
 
 
 def item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
-    """Every window of every item with its hashes and fingerprint; a short item is one window without one."""
+    """Every window of every item with its fingerprint and hashes; a short item is one window."""
 
     def run(batches):
         for whole in batches:
@@ -47,154 +50,102 @@ def item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
                 at, mark = _marks(w, one, window, k)
                 n = np.diff(w.first)
                 short = np.flatnonzero((n > 0) & (n < window))
-                at, mark = np.concatenate([at, w.first[short]]), np.concatenate([mark, np.zeros(len(short), bw.U)])
+                at, mark = np.concatenate([at, w.first[short]]), np.concatenate([mark, one.of(w.first[short], w.first[short + 1])])
                 doc = np.searchsorted(w.first, at, "right") - 1
                 size = np.minimum(n[doc], window)
-                yield bw.batch(_WINDOWS, ids[doc], size.astype(np.int32), bw.signed(one.of(at, at + size)), bw.signed(two.of(at, at + size)), bw.signed(mark), (at - w.first[doc]).astype(np.int32))
-
-    return items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, WINDOWS)
-
-
-class _Table:
-    """Sorted windows of one size, to look up many at once."""
-
-    def __init__(self, ids: np.ndarray, w1: np.ndarray, w2: np.ndarray):
-        order = np.lexsort((ids, w2, w1))
-        ids, w1, w2 = ids[order], w1[order], w2[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-        self.ids, self.begin = ids, np.append(np.flatnonzero(new), len(ids))
-        self.w1, self.w2 = w1[new], w2[new]
-
-    def find(self, w1: np.ndarray, w2) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the given, row of this table); ``w2`` gives the second hashes of some."""
-        at = np.searchsorted(self.w1, w1)
-        near = np.flatnonzero(np.append(self.w1, 0)[at] == w1)
-        if not len(near):
-            return near, near
-        second, row = w2(near), at[near]
-        out_a, out_b = [], []
-        while len(near):  # equal first hashes of different windows stand together
-            same = self.w2[row] == second
-            out_a.append(near[same])
-            out_b.append(row[same])
-            on = (row + 1 < len(self.w1)) & ~same
-            on[on] = self.w1[row[on] + 1] == w1[near[on]]
-            near, row, second = near[on], row[on] + 1, second[on]
-        return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def _covered(n: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of n words that spans cover."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + size, -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def _result(ids: np.ndarray, first: np.ndarray, at: np.ndarray, size: np.ndarray, items: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows for all documents from hits: word place, size, items of each."""
-    hit = _covered(int(first[-1]), at, size)
-    total = np.concatenate([[0], np.cumsum(hit)])
-    found: list[list] = [[] for _ in ids]
-    spans: list[list] = [[] for _ in ids]
-    of = np.searchsorted(first, at, "right") - 1
-    for d in np.unique(of):
-        mine = np.flatnonzero(of == d)
-        found[d] = np.unique(np.concatenate([items[i] for i in mine])).tolist()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]])))
-        spans[d] = [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
-    return bw.batch(_FOUND, ids, np.diff(first), total[first[1:]] - total[first[:-1]], pa.array(found, _FOUND.types[3]), pa.array(spans, _FOUND.types[4]))
-
-
-def _search(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
-    """The small-benchmark form: the items' hashes are in every task."""
-    got = {c: x.to_numpy() for c, x in zip(("id", "size", "w1", "w2", "mark", "lo"), windows.toArrow().itercolumns(), strict=True)}
-    full = got["size"] == window
-    table = docs.sparkSession.sparkContext.broadcast(
-        (np.unique(got["mark"][full]), {int(n): _Table(*(got[c][got["size"] == n] for c in ("id", "w1", "w2"))) for n in np.unique(got["size"])})
-    )
+                yield bw.batch(_WINDOWS, ids[doc], size.astype(np.int32), bw.signed(mark), bw.signed(one.of(at, at + size)), bw.signed(two.of(at, at + size)))
+
+    return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").mapInArrow(run, WINDOWS)
+
+
+def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
+    """Which remainders by ``bits`` the fingerprints have; made by a combined aggregate, so bits / 8 bytes reach the driver."""
+    rest = F.pmod("mark", F.lit(bits))
+    rows = windows.groupBy(F.bitmap_bucket_number(rest).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rest)).alias("bits")).collect()
+    out = np.zeros(bits + 2 * _ROW_BITS, bool)
+    for r in rows:  # rows count from 1 and hold the numbers from (row - 1) * _ROW_BITS + 1 on; 0 is in row 0
+        at = (r.row - 1) * _ROW_BITS + 1
+        set_here = np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")) + at
+        out[np.maximum(set_here, 0)] = True
+    return np.packbits(out[:bits], bitorder="little")
+
+
+def _near_windows(docs: DataFrame, bitmap: np.ndarray, bits: int, short: list[int], window: int, k: int) -> DataFrame:
+    """Each document's windows whose fingerprint the bitmap has."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        marks, tables = table.value
+        known = shared.value
         for whole in batches:
             for part in bw.slices(whole):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, row = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
                 w = bw.words(part.column("text"), bw.ALNUM)
                 one, two = bw.Rolling(w.hash, 1), bw.Rolling(w.hash, 2)
-                ats, sizes, items = [], [], []
-                for n, rows in tables.items():
+                ats, sizes, marks = [], [], []
+                for n in (*short, window):
                     if n == window:
                         at, mark = _marks(w, one, window, k)
-                        at = at[np.isin(bw.signed(mark), marks)]
                     else:
                         at = np.flatnonzero(bw.whole(w.first, n))
-                    which, row = rows.find(bw.signed(one.of(at, at + n)), lambda near, at=at, n=n: bw.signed(two.of(at[near], at[near] + n)))
-                    ats.append(at[which])
-                    sizes.append(np.full(len(which), n))
-                    items += [rows.ids[rows.begin[r] : rows.begin[r + 1]] for r in row]
-                yield _result(ids, w.first, np.concatenate([*ats, np.zeros(0, int)]).astype(int), np.concatenate([*sizes, np.zeros(0, int)]).astype(int), items)
-
-    return docs.mapInArrow(run, FOUND)
-
+                        mark = one.of(at, at + n)
+                    bit = np.mod(bw.signed(mark), bits)
+                    on = np.flatnonzero(known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    ats.append(at[on])
+                    marks.append(mark[on])
+                    sizes.append(np.full(len(on), n, np.int32))
+                at, mark, size = np.concatenate(ats), np.concatenate(marks), np.concatenate(sizes)
+                order = np.argsort(at, kind="stable")
+                at, mark, size = at[order], mark[order], size[order]
+                doc = np.searchsorted(w.first, at, "right") - 1
+                fields = [pa.array(size, pa.int32()), *(pa.array(bw.signed(x), pa.int64()) for x in (mark, one.of(at, at + size), two.of(at, at + size))), pa.array((at - w.first[doc]).astype(np.int32), pa.int32())]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_NEAR)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(row, pa.int64()), pa.array(np.diff(w.first), pa.int64()), lists], names=["doc_id", "row", "n_words", "near"])
 
-def _joined(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
-    """The large-benchmark form: fingerprints, then windows, are joined in Spark; the text is shuffled once."""
-    windows = keep(windows)
-    short = sorted(r.size for r in windows.where(F.col("size") < window).select("size").distinct().collect())  # at most window - 1 numbers
+    return docs.mapInArrow(run, NEAR)
 
-    def fingerprints(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
-        for whole in batches:
-            for part in bw.slices(whole):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                w = bw.words(part.column("text"), bw.ALNUM)
-                at, mark = _marks(w, bw.Rolling(w.hash, 1), window, k)
-                if len(at):
-                    new = np.ones(len(at), bool)
-                    new[1:] = (mark[1:] != mark[:-1]) | (at[1:] != at[:-1] + 1)
-                    doc = np.searchsorted(w.first, at[new], "right") - 1
-                    yield bw.batch(schema, ids[doc], bw.signed(mark[new]), (at[new] - w.first[doc]).astype(np.int32), np.diff(np.append(np.flatnonzero(new), len(at))).astype(np.int32))
-
-    def open_windows(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("lo", pa.int32())])
-        for whole in batches:
-            for part in bw.slices(whole):
-                ids, near = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("near").to_pylist()
-                w = bw.words(part.column("text"), bw.ALNUM)
-                one, two = bw.Rolling(w.hash, 1), bw.Rolling(w.hash, 2)
-                places = [(np.concatenate([np.zeros(0, int)] + [np.arange(x["lo"], x["lo"] + x["n"]) + w.first[d] for d, each in enumerate(near) for x in each or ()]).astype(int), window)]
-                places += [(np.flatnonzero(bw.whole(w.first, n)), n) for n in short]
-                for at, n in places:
-                    doc = np.searchsorted(w.first, at, "right") - 1
-                    yield bw.batch(schema, ids[doc], np.full(len(at), n, np.int32), bw.signed(one.of(at, at + n)), bw.signed(two.of(at, at + n)), (at - w.first[doc]).astype(np.int32))
-
-    def rows(batches):
-        for whole in batches:
-            for part in bw.slices(whole):
-                w = bw.words(part.column("text"), bw.ALNUM)
-                hits = [(w.first[d] + x["lo"], x["size"], np.array(x["items"])) for d, each in enumerate(part.column("hits").to_pylist()) for x in each or ()]
-                at, size = (np.array([h[i] for h in hits], dtype=int) for i in (0, 1))
-                yield _result(part.column("doc_id").to_numpy(zero_copy_only=False), w.first, at, size, [h[2] for h in hits])
 
-    marks = windows.where(F.col("size") == window).select("mark").distinct()
-    near = docs.mapInArrow(fingerprints, "doc_id long, mark long, lo int, n int").join(marks.hint("merge"), "mark").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("near"))
-    texts = docs.join(near.hint("merge"), "doc_id", "left")
-    opened = (texts if short else texts.where("near is not null")).mapInArrow(open_windows, "doc_id long, size int, w1 long, w2 long, lo int")
-    items = windows.groupBy("size", "w1", "w2").agg(F.sort_array(F.collect_set("id")).alias("items"))
-    hits = opened.join(items.hint("merge"), ["size", "w1", "w2"]).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "size", "items")).alias("hits"))
-    return texts.join(hits.hint("merge"), "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(rows, FOUND)
+def _extended(batches):
+    """Word spans and their length from each document's hits."""
+    for b in batches:
+        spans, n_hit = [], []
+        for hits in b.column("hits").to_pylist():
+            mine: list[list[int]] = []
+            for lo, to in sorted((x["lo"], x["lo"] + x["size"]) for x in hits or ()):
+                if mine and lo <= mine[-1][1]:
+                    mine[-1][1] = max(to, mine[-1][1])
+                else:
+                    mine.append([lo, to])
+            spans.append([{"start": a, "end": e} for a, e in mine])
+            n_hit.append(sum(e - a for a, e in mine))
+        items = b.column("items")
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(n_hit, pa.int64()), items, pa.array(spans, _SPAN)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int = 5, broadcast_chars: int = 4_000_000) -> DataFrame:
-    """For each document: n_words, n_hit, the items that occur in it and the word spans they cover.
+def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int = 5, most_bits: int = 1 << 27) -> DataFrame:
+    """For each document: n_words, n_hit, the items that occur in it (ids as strings, sorted) and the word spans they cover.
 
     Words are lower-cased runs of letters and digits (any non-ASCII character
     counts as a letter).  Null or empty texts and items have none and hit
-    nothing; equal items are all listed; documents that share an id keep a row
-    each unless the benchmark is beyond ``broadcast_chars``.
+    nothing; equal items are all listed, one without an id as the empty
+    string; documents that share an id keep a row each, judged by its own
+    text.  Other columns are dropped.  The bitmap has 16 bits for each window
+    of the items, ``most_bits`` (16 MB) at most: a larger benchmark passes more
+    windows on to the join and changes no result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    found = item_windows(items, window, k)
-    return _search(docs, found, window, k) if chars <= broadcast_chars else _joined(docs, found, window, k)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")  # equal rows of one id have equal results
+    windows = keep(item_windows(items, window, k))
+    sizes = windows.groupBy("size").count().collect()  # at most ``window`` rows
+    wanted = max(_ROW_BITS, 16 * sum(r["count"] for r in sizes))
+    bits = min(most_bits, 1 << (wanted - 1).bit_length())
+    near = keep(_near_windows(docs, _bitmap(windows, bits), bits, sorted(r["size"] for r in sizes if r["size"] < window), window, k))
+
+    grouped = windows.groupBy("size", "mark", "w1", "w2").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    named = keep(grouped.withColumn("names", F.xxhash64("ids")))  # windows of one passage have the same items
+    names = keep(named.groupBy("names").agg(F.first("ids").alias("ids")))
+    opened = near.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*")
+    hits = keep(opened.join(named.drop("ids").hint("merge"), ["size", "mark", "w1", "w2"]).select("doc_id", "row", "lo", "size", "names"))
+    of_doc = hits.groupBy("doc_id", "row")
+    places = of_doc.agg(F.collect_set(F.struct("lo", "size")).alias("hits"))
+    listed = hits.select("doc_id", "row", "names").distinct().join(names.hint("merge"), "names").groupBy("doc_id", "row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    joined = near.drop("near").join(keep(places).hint("merge"), ["doc_id", "row"], "left").join(keep(listed).hint("merge"), ["doc_id", "row"], "left")
+    return joined.select("doc_id", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_extended, FOUND)
