@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidelark.llm import decontaminate, jaccard, lines, packing, personal, quality, queries, secrets, substrings
+from tidelark.llm import decontaminate, jaccard, languages, lines, packing, personal, quality, queries, secrets, substrings
 
 BLACK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -308,3 +308,42 @@ def test_op2_held_out(spark, sf):
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert np.mean([r.text_lang == r.declared for r in got]) > 0.97
     assert np.mean([r.lang == r.declared for r in got]) > 0.99
+
+
+def test_op2_fusion(spark, docs):
+    """Posteriors against a plain loop: text, declared language with its reliability, host prior smoothed to suffix and to all."""
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, t, "xx" if i % 3 else "yy") for i, t in sorted(docs.items())], "doc_id long, text string, lang string")
+    model = languages.train(frame, of_each=10**6)
+    assert model.languages == ["xx", "yy"]
+    rows = [(k, None if k % 11 == 0 else docs[i][:400], [None, "", "XX", "yy", f"rare{k}"][k % 5], [None, f"h{k % 7}.aa", f"h{k % 5}.bb", "bare"][k % 4]) for k, i in enumerate(sorted(docs))]
+    got = {r.k: r for r in languages.identify(spark.createDataFrame(rows, "k long, text string, declared string, host string"), model, keys=["k"]).collect()}
+    import pyarrow as pa
+
+    log = model.scores(pa.array([t for _, t, _, _ in rows], pa.string()), 60)
+    soft = np.exp(log - log.max(1, keepdims=True))
+    soft /= soft.sum(1, keepdims=True)
+    hosts, said = [h or "" for *_, h in rows], [(d or "").lower() for _, _, d, _ in rows]
+    suffix = [h.rpartition(".")[2] if "." in h else "" for h in hosts]
+    total = lambda keys: {k: soft[[i for i, x in enumerate(keys) if x == k]].sum(0) for k in set(keys)}
+    by_host, by_suffix, by_said, every = total(hosts), total(suffix), total(said), soft.sum(0)
+    base = (every + 1) / (every.sum() + 2)
+    kinds = len(set(said) - {""})
+    for i, (k, *_) in enumerate(rows):
+        prior = (by_suffix[suffix[i]] + 20 * base) / (by_suffix[suffix[i]].sum() + 20)
+        score = log[i] + np.log(np.maximum(by_host[hosts[i]] - soft[i], 0) + 5 * prior)
+        if said[i]:
+            score = score + np.log((by_said[said[i]] + 0.5) / (every + 0.5 * (kinds + 1)))
+        assert got[k].lang == model.languages[int(score.argmax())]
+        assert got[k].probability == pytest.approx(1 / np.exp(score - score.max()).sum(), rel=1e-6)
+
+
+def test_op2_rare_values(spark):
+    """Six hundred declared values keep their evidence, and a label of three documents is in the model."""
+    say = lambda c, i: " ".join(f"{c}{c}{chr(97 + (i + j) % 26)}" for j in range(30))
+    train = [(i, say("a", i), "aa") for i in range(900)] + [(1000 + i, say("b", i), "bb") for i in range(3)]
+    model = languages.train(spark.createDataFrame(train, "doc_id long, text string, lang string"), of_each=50)
+    assert model.languages == ["aa", "bb"]
+    rows = [(2 * i + j, say("ab"[i % 2], i) if j == 0 else "", f"value{i}", f"host{i}") for i in range(600) for j in range(2)]
+    got = {r.k: r.lang for r in languages.identify(spark.createDataFrame(rows, "k long, text string, declared string, host string"), model, keys=["k"], host_weight=1e6).collect()}
+    assert got == {k: ["aa", "bb"][k // 2 % 2] for k in got} and len(got) == 1200

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return modest_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; in local mode, as in tests, the warehouse where that is unset.
+
+    On a cluster an unset folder is an error: a driver's own one would not be seen by the executors.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidelark-"))
+    if not named and spark.sparkContext.master.startswith("local"):
+        named = spark.conf.get("spark.sql.warehouse.dir")
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
 
 def keep(df: DataFrame, *, of: list[str] | None = None) -> DataFrame:

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .extract import blocks, main_text
-from .frames import bounded_sample, keep
+from .frames import keep
 
 BUCKETS = 1 << 15
+#: The model has a column of BUCKETS numbers for each label.
+MOST_LABELS = 2_000
 _FOLD = bw.ALNUM[1]
 
+
 def visible(page: str) -> str:
     """The page's main text, or all its blocks where it has no container."""
     return main_text(page, None)[0] or "\n".join(t for _, t, _ in blocks(page))
@@ -56,38 +59,55 @@ class TextModel:
         return out * (np.minimum(n, most) / np.maximum(n, 1))[:, None]
 
 
-def train(labelled: DataFrame, sample_docs: int = 5_000) -> TextModel:
-    """Counts trigrams by label in at most ``sample_docs`` documents (doc_id, text, lang); null labels are left out."""
-    schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
+def train(labelled: DataFrame, of_each: int = 5_000) -> TextModel:
+    """Counts trigrams by label over (doc_id, text, lang); null labels and texts are left out.
+
+    Of each label it takes about ``of_each`` documents, all where there are
+    fewer, chosen by hashed doc_id; so a rare label is in the model like a
+    common one.  Tasks count, a shuffle adds up, and one row of
+    ``BUCKETS`` counts for each label comes to the driver.
+    """
+    some = labelled.where("lang is not null").select("doc_id", "text", "lang")
+    sizes = keep(some.groupBy("lang").count())  # a row for each label; reads no text
+    if sizes.count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: these are not languages")
+    share = F.lit(float(of_each)) / F.col("count")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
+    some = some.join(sizes.select("lang", share.alias("_share")).hint("broadcast"), "lang").where(place < F.col("_share")).drop("_share")
+    counts = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for whole in batches:
             for part in bw.slices(whole):
-                langs = part.column("lang").to_pylist()
+                langs = np.array(part.column("lang").to_pylist(), dtype=object)
                 bucket, doc = _trigrams(part.column("text"))
                 for lang in set(langs):
-                    mine = np.array([x == lang for x in langs])[doc] if len(doc) else np.zeros(0, bool)
-                    total[lang] = total.get(lang, 0) + np.bincount(bucket[mine], minlength=BUCKETS)
-        if total:
-            yield bw.batch(schema, list(total), [c.astype(np.int64).tobytes() for c in total.values()])
+                    of = bucket[(langs == lang)[doc]] if len(doc) else bucket
+                    total[lang] = total.get(lang, 0) + np.bincount(of, minlength=BUCKETS)
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield bw.batch(counts, [lang] * len(at), at.astype(np.int32), n[at].astype(np.int64))
 
-    some = bounded_sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), sample_docs).coalesce(8)
-    out: dict[str, np.ndarray] = {}
-    for r in some.mapInArrow(run, "lang string, counts binary").collect():  # one row for a language and task
-        out[r.lang] = out.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
-    return TextModel(out)
+    summed = some.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    table = {r.lang: np.zeros(BUCKETS, np.int64) for r in sizes.collect()}
+    for r in summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).toLocalIterator():
+        at = np.array(r.counts, np.int64).reshape(-1, 2)
+        table[r.lang][at[:, 0]] = at[:, 1]
+    return TextModel(table)
 
 
 def declared_of(page: Column) -> Column:
     return F.lower(F.regexp_extract(page, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", 1))
 
 
-def identify(rows: DataFrame, model: TextModel, *, keys: list[str], is_page: str | None = None, most: int = 60, host_weight: float = 5.0, suffix_weight: float = 20.0, least_sure: float = 0.0) -> DataFrame:
+def identify(rows: DataFrame, model: TextModel, *, keys: list[str], is_page: str | None = None, most: int = 60, host_weight: float = 5.0, suffix_weight: float = 20.0, least_sure: float = 0.0, broadcast_rows: int = 50_000) -> DataFrame:
     """keys, host, declared, text_lang, lang, probability.
 
     rows has ``text``, ``declared`` and ``host`` besides the keys; nulls are
-    missing evidence.  If ``is_page`` names a boolean column, those texts are
+    missing evidence.  Every declared value has its own reliability, however
+    rare it is; the tables of hosts and of declared values are broadcast up to
+    ``broadcast_rows`` rows and joined in a shuffle beyond.  If ``is_page`` names a boolean column, those texts are
     HTML.  Without any trained language, lang is null.  A text without letters
     is decided by its declaration and host.  Equal scores go to the first
     language by name.
@@ -127,17 +147,16 @@ def identify(rows: DataFrame, model: TextModel, *, keys: list[str], is_page: str
     everywhere = hosts.agg(*[F.sum(F.col("of_host")[i]).alias(f"x{i}") for i in n]).first()
     total_all = sum(everywhere[f"x{i}"] or 0 for i in n) or 1.0
     base = [((everywhere[f"x{i}"] or 0) + 1) / (total_all + len(languages)) for i in n]
-    known = scored.groupBy("declared").agg(*[x.alias(f"d{i}") for i, x in zip(n, sums, strict=True)])
-    frequent = {r.declared: [r[f"d{i}"] for i in n] for r in known.orderBy(F.desc(F.expr("+".join(f"d{i}" for i in n))), "declared").limit(200).collect()}  # rarer declarations tell nothing
-    reliability = F.create_map(*[x for d, c in sorted(frequent.items()) if d for x in (F.lit(d), F.array(*[F.lit(float((c[i] + 0.5) / ((everywhere[f"x{i}"] or 0) + 0.5 * (len(frequent) + 1)))) for i in n]))]) if any(frequent) else None
-    equal = F.array(*[F.lit(1.0)] * len(languages))
-    says = F.coalesce(F.try_element_at(reliability, F.col("declared")), equal) if reliability is not None else equal
+    known = scored.where("declared <> ''").groupBy("declared").agg(F.array(*sums).alias("of_declared"))
+    kinds = known.count()
+    says = lambda i: F.when(F.col("of_declared").isNull(), 1.0).otherwise((F.col("of_declared")[i] + 0.5) / ((everywhere[f"x{i}"] or 0) + 0.5 * (kinds + 1)))
 
     prior_s = lambda i: (F.coalesce(F.col("of_suffix")[i], F.lit(0.0)) + suffix_weight * base[i]) / (F.aggregate("of_suffix", F.lit(0.0), lambda a, x: a + x) + suffix_weight)
     priors = keep(hosts.join(suffixes.hint("merge"), "suffix").select("host", "of_host", F.array(*map(prior_s, n)).alias("of_suffix")))
-    joined = scored.join(priors.hint("merge"), "host").withColumn("says", says)
+    small = lambda df, rows: df.hint("broadcast" if rows <= broadcast_rows else "merge")
+    joined = scored.join(small(priors, priors.count()), "host").join(small(keep(known), kinds), "declared", "left")
     rest = lambda i: F.greatest(F.col("of_host")[i] - F.col("soft")[i], F.lit(0.0)) + host_weight * F.col("of_suffix")[i]
-    score = [F.col("log")[i] + F.log(F.col("says")[i]) + F.log(rest(i)) for i in n]
+    score = [F.col("log")[i] + F.log(says(i)) + F.log(rest(i)) for i in n]
     joined = joined.withColumn("score", F.array(*score)).withColumn("_best", F.array_max("score"))
     sure = 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best")))
     lang = F.get(F.array(*map(F.lit, languages)), F.array_position("score", F.col("_best")).cast("int") - 1)

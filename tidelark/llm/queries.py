@@ -46,7 +46,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, with their markup and addresses, and documents, whose source is the host and whose lang is the declaration."""
+    """Pages, with their markup and addresses, and documents, whose source is the host and whose lang is the declaration.
+
+    The text model is trained on a sample of the same documents and their
+    lang, so for documents the declaration isn't independent of the text's evidence.
+    """
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     none = F.lit(None)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(False).alias("is_page"))
