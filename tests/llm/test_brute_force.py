@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidelark.llm import decontaminate, jaccard, languages, lines, packing, personal, quality, queries, secrets, substrings
+from tidelark.llm import decontaminate, examples, jaccard, languages, lines, packing, personal, quality, queries, secrets, substrings
 
 BLACK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -347,3 +347,113 @@ def test_op2_rare_values(spark):
     rows = [(2 * i + j, say("ab"[i % 2], i) if j == 0 else "", f"value{i}", f"host{i}") for i in range(600) for j in range(2)]
     got = {r.k: r.lang for r in languages.identify(spark.createDataFrame(rows, "k long, text string, declared string, host string"), model, keys=["k"], host_weight=1e6).collect()}
     assert got == {k: ["aa", "bb"][k // 2 % 2] for k in got} and len(got) == 1200
+
+
+@pytest.fixture(scope="module")
+def field():
+    return personal.fitted(list(examples.personal_rows()))
+
+
+def test_op7_finds_what_patterns_miss(field):
+    """On rows drawn anew, spans that no pattern finds: recall and precision of the added ones, by kind."""
+    found, wanted, added = collections.Counter(), collections.Counter(), 0
+    for text, spans in examples.personal_rows(600, seed=99):
+        base = personal.base_spans(text)
+        far = lambda a, b, base=base: not any(x < b and a < y for x, y, _ in base)
+        got = {(a, b, k) for _, a, b, k in personal.decode(field, [text], [(0, a, b) for a, b in personal.zones(text)], field.least) if far(a, b)}
+        want = {s for s in spans if far(s[0], s[1])}
+        wanted.update(k for *_, k in want)
+        found.update(k for *_, k in want & got)
+        added += len(got)
+    assert min(wanted.values()) > 40
+    assert all(found[k] >= 0.9 * n for k, n in wanted.items())
+    assert sum(found.values()) >= 0.95 * added
+    assert field.held_out["recall"] >= 0.9 and field.held_out["precision"] >= 0.98
+
+
+@pytest.mark.parametrize("text, want", [("on +1 (826) 555-4081 190.137.22.5 the", ("phone", "+1 (826) 555-4081")), ("le 7536784127813050 4845168114407329 ou", ("card", "4845168114407329")), ("to ana [at] mora [dot] org or", ("email", "ana [at] mora [dot] org"))])
+def test_op7_swallowed(field, text, want):
+    got = personal.decode(field, [text], [(0, a, b) for a, b in personal.zones(text)], field.least)
+    assert want in {(k, text[a:b]) for _, a, b, k in got}
+
+
+def test_op7_viterbi(field):
+    """The batched decoder against every path of short zones, with random weights."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    small = personal.Field({f"f{i}": i for i in range(6)})
+    small.emit, small.move = rng.normal(size=small.emit.shape), rng.normal(size=small.move.shape)
+    zones = [rng.integers(0, 6, (n, 2)) for n in (1, 2, 3, 4)]
+    for z, path, p in zip(zones, small.viterbi(zones), small.marginals(zones)[0], strict=True):
+        e, move = small.emit[z].sum(1), small.move + small.ban
+        paths = list(itertools.product(range(personal.LABELS), repeat=len(z)))
+        score = np.array([small.start[y[0]] + sum(e[t, y[t]] for t in range(len(y))) + sum(move[a, b] for a, b in zip(y, y[1:])) for y in paths])
+        assert tuple(path) == paths[int(score.argmax())]
+        weight = np.exp(score - score.max())
+        for t in range(len(z)):
+            assert p[t] == pytest.approx([weight[[y[t] == k for y in paths]].sum() / weight.sum() for k in range(personal.LABELS)], abs=1e-9)
+
+
+def test_op7_long_zones(field):
+    """Stretches give what one whole zone gives, on a zone of many pieces."""
+    text = " ".join(t for t, _ in examples.personal_rows(60, seed=5)) + " 12" * 300
+    whole = [(0, 0, len(text))]
+    at = personal.cut(text, 0, len(text))
+    one = {(at[i][0], at[j - 1][1], k) for i, j, k, p in field.spans([field.ids(personal.featured(text, at))])[0] if p >= field.least}
+    cut = {(a, b, k) for _, a, b, k in personal.decode(field, [text], whole, field.least)}
+    assert len(at) > 2 * personal.STRETCH and len(one) > 40 and len(one ^ cut) <= 0.03 * len(one)
+
+
+@pytest.fixture(scope="module")
+def network():
+    return secrets.fitted(list(examples.secret_rows(3_600)))
+
+
+def test_op3_finds_what_patterns_miss(network):
+    """On rows drawn anew, credentials that no pattern finds, and everything else in their lines."""
+    found = wanted = false = 0
+    for text, a, b, good in examples.secret_rows(1_200, seed=77):
+        base = secrets.base_spans(text)
+        if any(x < b and a < y for x, y, _ in base):
+            continue
+        spots = secrets.candidates(text, base)
+        got = [x for x, p in zip(spots, network.scores([secrets.window_of(text, *x) for x in spots]), strict=True) if p >= network.threshold]
+        wanted += good
+        found += good and (a, b) in got
+        false += sum(x != (a, b) or not good for x in got)
+    assert wanted > 500 and found >= 0.9 * wanted and false <= 0.05 * found
+    assert network.held_out["recall"] >= 0.97 and network.held_out["precision"] >= 0.95
+
+
+def test_op3_long_tokens(network, monkeypatch):
+    """A token read in parts scores as if it were read at once."""
+    text = "the key " + "aB3+/x9Z" * 900 + " and more"
+    window = secrets.window_of(text, 8, len(text) - 9)
+    parts = network.raw([window, window])
+    monkeypatch.setattr(secrets, "PART", 10**6)
+    assert parts == pytest.approx(network.raw([window, window]), rel=1e-4)
+
+
+def test_op3_and_op7_added_spans(spark, network, field):
+    """What the queries' operators add is what one text at a time gives."""
+    rows = [(i, t) for i, (t, *_) in enumerate([*examples.secret_rows(60, seed=3), *examples.personal_rows(60, seed=4)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    three = {r.doc_id: {tuple(s) for s in r.spans} - {tuple(s) for s in r.base} for r in secrets.secrets(frame, network=network).collect()}
+    seven = {r.doc_id: {tuple(s) for s in r.spans} - {tuple(s) for s in r.base} for r in personal.personal_data(frame, field=field).collect()}
+    for i, text in rows:
+        spots = secrets.candidates(text, secrets.base_spans(text))
+        assert three[i] == {(a, b, "model") for a, b in spots if network.scores([secrets.window_of(text, a, b)])[0] >= network.threshold}
+        base = personal.base_spans(text)
+        assert seven[i] == {(a, b, k) for _, a, b, k in personal.decode(field, [text], [(0, a, b) for a, b in personal.zones(text)], field.least) if not any(x < b and a < y for x, y, _ in base)}
+    assert sum(map(len, three.values())) > 20 and sum(map(len, seven.values())) > 20
+
+
+def test_op3_and_op7_leave_clean_texts_alone(spark):
+    """On the given tables next to nothing is added, and what is stands in a document with digits or an at-sign."""
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for query, kinds in ((queries.op3_secret_scans, secrets.KINDS), (queries.op7_personal_data, personal.KINDS)):
+        more = [(r.doc_id, x) for r in query(spark, sf).collect() if sum(r[f"n_{k}"] for k in kinds if k != "model") < len(x := r.spans.split(",") if r.spans else [])]
+        assert len(more) <= 0.005 * len(text)
+        assert all(re.search("[0-9@]", text[i]) for i, _ in more)

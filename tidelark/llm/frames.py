@@ -44,16 +44,16 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of docs, all of a smaller table: those whose hashed doc_id is below a share of its range.
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """docs with ``sample``: true for about ``rows`` of its rows, all of a smaller table.
 
-    The choice depends on doc_id alone, so it is the same in every run, and
-    nothing is sorted or sent to the driver to make it.
+    Those are the rows whose hashed doc_id is below a share of its range, so
+    the choice is the same in every run, and nothing is sorted or sent to the
+    driver to make it.
     """
     n = docs.count()
-    if n <= rows:
-        return docs
-    return docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit(int((1 << 63) * (rows / n))))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    return docs.withColumn("sample", place < F.lit(int((1 << 63) * (rows / n)))) if n > rows else docs.withColumn("sample", F.lit(True))
 
 
 def modest_batches(spark: SparkSession) -> SparkSession:
