@@ -110,6 +110,20 @@ def test_planted_secrets_are_learnt(spark):
     assert (scores[:, 1] >= model.threshold).mean() <= 0.05
 
 
+SAID = "A sentence of the article that goes on for a while and has no link in it. "
+
+
+@pytest.mark.parametrize("nest, end", [("<div>", "</div>"), ("<ul><li>", "</li></ul>"), ("<b>", "</b>"), ("<div class=related>", "</div>"), ("<p>", "</i>")])
+def test_deep_pages(nest, end):
+    """A page of 20,000 nested elements, with a block in each, takes a time that its length explains."""
+    import time
+
+    page = f"<article>{SAID}</article>" + (nest + "x") * 20_000 + end * 20_000
+    began = time.monotonic()
+    found = extract.main_text(page, ["html>body", ">".join(["div"] * 20_000)])
+    assert time.monotonic() - began < 5 and (found[0].startswith(SAID.strip()) or found[0].startswith("x\nx"))
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
@@ -118,6 +132,11 @@ def test_planted_secrets_are_learnt(spark):
         ("<p>Bare <b>bold<p>next", "Bare bold\nnext"),
         ("<script>if (a < b) '<p>'</script><form><p>form text here</p></form><div><p>Kept text.</p></div>", "Kept text."),
         ("<!-- <p>no</p> --><article><p>5 < 6 & 7</p><table><tr><td>a<td>b</table></article>", "5 < 6 & 7\na\nb"),
+        ("<body><div id=content><h1>Title</h1><p>Lead of the text.</p><div class=a><p>" + SAID * 3 + "</p></div><div class=b><p>" + SAID + "</p></div></div><div class=footer>f</div></body>", "Title\nLead of the text.\n" + SAID.strip() + (" " + SAID.strip()) * 2 + "\n" + SAID.strip()),
+        ("<main><div class=wrap><h1>T</h1><div class=entry><p>" + SAID + "</p></div></div></main>", "T\n" + SAID.strip()),
+        ("<article><h2 id=search>Search</h2><p>" + SAID + "</p><div class=related-work><p>" + SAID * 4 + "</p></div><div class=related><a href=x>" + SAID * 4 + "</a></div></article>", "Search\n" + SAID.strip() + "\n" + " ".join([SAID.strip()] * 4)),
+        ("<div class=search-results><p>" + SAID * 4 + "</p></div>", " ".join([SAID.strip()] * 4)),
+        ("<p><a href=x>all of it linked</a></p>", "all of it linked"),
         ("", ""),
         ("<nav>only</nav>", ""),
     ],

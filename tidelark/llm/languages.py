@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .extract import blocks, main_text
+from .extract import main_text
 from .frames import keep
 
 BUCKETS = 1 << 15
@@ -25,8 +25,7 @@ _FOLD = bw.ALNUM[1]
 
 
 def visible(page: str) -> str:
-    """The page's main text, or all its blocks where it has no container."""
-    return main_text(page, None)[0] or "\n".join(t for _, t, _ in blocks(page))
+    return main_text(page, None)[0]
 
 
 def _trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
