@@ -138,6 +138,78 @@ def test_op5_cutoffs_with_much_junk(spark):
         assert (got[i].kept, got[i].base_failed) == (kind == "good", kind == "rejected")
 
 
+def test_op5_verdicts(spark):
+    """kept against a plain version with exact quantiles, over groups above and below the least size, null ones too."""
+    rng = np.random.default_rng(9)
+    words = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}" + "x" * (i % 4) for i in range(600)]
+    rows, i = [], 0
+    for lang, source, n, odd in (("en", "a", 260, 0.1), ("en", "b", 120, 0.3), ("en", None, 40, 0.2), (None, "c", 150, 0.1), ("de", "a", 60, 0.2), ("fr", "zz", 20, 0.0)):
+        for _ in range(n):
+            w = list(rng.choice(words, int(rng.integers(30, 200)), replace=False))
+            k = rng.random()
+            if k < odd / 3:
+                w = [x + "#&"[: int(rng.integers(0, 3))] for x in w]
+            elif k < 2 * odd / 3:
+                w = [x * int(rng.integers(1, 4)) for x in w]
+            elif k < odd:
+                w = w[:60] + w[:20] + ["\n" + w[0]] * int(rng.integers(0, 9))
+            rows.append((i, lang, source, " ".join(w)))
+            i += 1
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    sound = [got[i] for i, *_ in rows if not got[i].base_failed]
+    value = {
+        "symbol_rate": lambda r: r.n_symbols / max(1, r.word_chars),
+        "dup_line_rate": lambda r: 10 * r.n_dup_lines / r.n_words,
+        "repeat_rate": lambda r: r.n_repeat_words / r.n_words,
+        "word_length": lambda r: r.word_chars / r.n_words,
+    }
+
+    def fence(some):
+        out = {"n": len(some)}
+        for name, of in value.items():
+            x = sorted(map(of, some))
+            low, mid, high = (x[max(0, int(np.ceil(q * len(x))) - 1)] for q in (0.25, 0.5, 0.75))
+            out[name] = high + 6 * (high - mid)
+            if name in quality.RATES:
+                out[name] = min(1, max(quality.RATES[name], out[name]))
+            else:
+                out[f"low_{name}"] = max(0, low - 6 * (mid - low))
+        return out
+
+    every = fence(sound)
+    tongue = {x: fence([r for r in sound if r.lang == x]) for x in {r.lang for r in sound}}
+    group = {x: fence([r for r in sound if (r.lang, r.source) == x]) for x in {(r.lang, r.source) for r in sound}}
+    verdicts = collections.Counter()
+    for r in sound:
+        at = {}
+        for name in (*value, "low_word_length"):
+            stricter = max if name.startswith("low_") else min
+            t = tongue[r.lang]
+            wide = every[name] if t["n"] < 100 else stricter(t[name], every[name]) if name in quality.RATES else t[name]
+            g = group[r.lang, r.source]
+            at[name] = stricter(g[name], wide) if g["n"] >= 100 else wide
+        a, b, c = r.word_chars * at["symbol_rate"], r.n_words * at["word_length"], r.n_words * at["low_word_length"]
+        bad = r.n_symbols > a + 4 * np.sqrt(a + 4) or r.word_chars > b + 4 * np.sqrt(b) or r.word_chars < c - 4 * np.sqrt(c)
+        bad = bad or any(value[x](r) > at[x] for x in ("dup_line_rate", "repeat_rate"))
+        verdicts[bad, r.kept] += 1
+    assert verdicts[True, True] == verdicts[False, False] == 0 and verdicts[True, False] > 20 and verdicts[False, True] > 300
+    assert not any(r.kept for r in got.values() if r.base_failed)
+
+
+@pytest.mark.parametrize("packed", [1 << 16, 4])
+def test_op5_repeats_in_texts_of_any_length(spark, monkeypatch, packed):
+    monkeypatch.setattr(quality, "PACKED_WORDS", packed)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(list("abcde"), int(n)))) for i, n in enumerate(rng.integers(0, 60, 200))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in quality.measures(frame).collect()}
+    for i, t in rows:
+        w = t.split()
+        triples = [tuple(w[p : p + 3]) for p in range(len(w) - 2)]
+        often = collections.Counter(triples)
+        assert got[i] == len({q for p, x in enumerate(triples) if often[x] > 1 for q in range(p, p + 3)})
+
+
 def test_op5_labels(spark):
     """The rules' verdicts against the table of labels, on texts that pass the base rules."""
     sf = "/root/testdata/sf0.01"
