@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .frames import keep
 
-PATHS = "doc_id long, anchor long, s1 long, s2 long, lo int, n int"
-_PATHS = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("lo", pa.int32())])
+PATHS = "doc_id long, row long, anchor long, s1 long, s2 long, lo int, n int"
+_PATHS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
+_WINDOWS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("lo", pa.int32())])
 
 
 def _paths_of(window: int, anchor: int):
     def run(batches):
         for whole in batches:
             for part in bw.slices(whole):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, row = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
                 w = bw.words(part.column("text"))
                 if len(w.hash) < window:
                     continue
@@ -54,7 +54,7 @@ def _paths_of(window: int, anchor: int):
                 n = np.diff(np.append(np.flatnonzero(new), len(at)))
                 doc = np.searchsorted(w.first, lo, "right") - 1
                 end = lo + n + window - 1
-                yield bw.batch(_PATHS, ids[doc], bw.signed(grams[m[new]]), bw.signed(one.of(lo, end)), bw.signed(two.of(lo, end)), (lo - w.first[doc]).astype(np.int32), n.astype(np.int32))
+                yield bw.batch(_PATHS, ids[doc], row[doc], bw.signed(grams[m[new]]), bw.signed(one.of(lo, end)), bw.signed(two.of(lo, end)), (lo - w.first[doc]).astype(np.int32), n.astype(np.int32))
 
     return run
 
@@ -65,14 +65,15 @@ def _windows_of(window: int):
     def run(batches):
         for whole in batches:
             for part in bw.slices(whole):
-                ids, spans = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("open").to_pylist()
+                ids, row = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
+                spans = part.column("open").to_pylist()
                 w = bw.words(part.column("text"))
                 one, two = bw.Rolling(w.hash, 1), bw.Rolling(w.hash, 2)
                 at = [np.arange(x["lo"], x["lo"] + x["n"]) + w.first[d] for d, each in enumerate(spans) for x in each]
                 if at:
                     at = np.concatenate(at)
                     doc = np.searchsorted(w.first, at, "right") - 1
-                    yield bw.batch(_WINDOWS, ids[doc], bw.signed(one.of(at, at + window)), bw.signed(two.of(at, at + window)), (at - w.first[doc]).astype(np.int32))
+                    yield bw.batch(_WINDOWS, ids[doc], row[doc], bw.signed(one.of(at, at + window)), bw.signed(two.of(at, at + window)), (at - w.first[doc]).astype(np.int32))
 
     return run
 
@@ -82,24 +83,25 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 25) -> DataF
 
     A window counts if the same words also start in a document with a smaller
     doc_id.  Spans may overlap and are sorted; null or short texts have none.
-    Rows that share a doc_id count as one document.  Extra columns are dropped.
+    Rows that share a doc_id are never repeats of each other; each has the
+    spans of its own text.  Extra columns are dropped.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     paths = docs.mapInArrow(_paths_of(window, anchor), PATHS)
     shared = paths.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("s1") < F.max("s1")).alias("branches")).where("a < b").select("anchor", "branches")
     shared = keep(shared)  # as a table, so that Spark can split a hot anchor's partition in the join
     found = keep(paths.join(shared.hint("merge"), "anchor"))
     first = keep(found.groupBy("s1", "s2").agg(F.min("doc_id").alias("holder")))
-    held = found.join(first.hint("merge"), ["s1", "s2"]).where("doc_id > holder or branches").select("doc_id", "lo", "n", (F.col("doc_id") > F.col("holder")).alias("repeated"))
+    held = found.join(first.hint("merge"), ["s1", "s2"]).where("doc_id > holder or branches").select("doc_id", "row", "lo", "n", (F.col("doc_id") > F.col("holder")).alias("repeated"))
     each = F.struct("lo", "n")
-    of_doc = held.groupBy("doc_id").agg(F.collect_list(F.when(F.col("repeated"), each)).alias("paths"), F.collect_list(F.when(~F.col("repeated"), each)).alias("open"))
-    joined = docs.join(of_doc.hint("merge"), "doc_id", "left")
-    windows = keep(joined.where(F.size("open") > 0).mapInArrow(_windows_of(window), "doc_id long, w1 long, w2 long, lo int"))
+    of_doc = held.groupBy("doc_id", "row").agg(F.collect_set(F.when(F.col("repeated"), each)).alias("paths"), F.collect_set(F.when(~F.col("repeated"), each)).alias("open"))
+    joined = docs.join(of_doc.hint("merge"), ["doc_id", "row"], "left")
+    windows = keep(joined.where(F.size("open") > 0).mapInArrow(_windows_of(window), "doc_id long, row long, w1 long, w2 long, lo int"))
     earliest = keep(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("last")).where("holder < last"))
-    later = windows.join(earliest.hint("merge"), ["w1", "w2"]).where("doc_id > holder").groupBy("doc_id").agg(F.collect_list(F.struct("lo", F.lit(1).alias("n"))).alias("single"))
+    later = windows.join(earliest.hint("merge"), ["w1", "w2"]).where("doc_id > holder").groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", F.lit(1).alias("n"))).alias("single"))
     none = F.array().cast("array<struct<lo:int,n:int>>")
     spans = F.transform(F.array_sort(F.concat(F.coalesce("paths", none), F.coalesce("single", none))), lambda x: F.struct(x["lo"].alias("start"), (x["lo"] + x["n"] + (window - 1)).alias("end")))
-    return joined.join(later.hint("merge"), "doc_id", "left").select("doc_id", "text", spans.alias("spans"))
+    return joined.join(later.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", spans.alias("spans"))
 
 
 def cut_spans(texts_and_spans: DataFrame) -> DataFrame:
