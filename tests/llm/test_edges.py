@@ -76,6 +76,18 @@ def test_decontaminate_rows_that_share_an_id(spark):
     assert got == [(1, 2, 0, [], []), (1, 2, 0, [], []), (1, 12, 12, ["b-10", "b-2"], [(0, 12)]), (2, 0, 0, [], []), (2, 3, 2, [""], [(1, 3)])]
 
 
+def test_rows_that_share_an_id(spark):
+    """Different texts under one doc_id: no link is lost, and no row loses words to another row's spans."""
+    a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    near = " ".join(a.split()[:-1])
+    rows = [(1, a), (1, b), (2, a), (3, near), (2, "x y"), (2, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard.near_duplicates(docs).collect())
+    assert same == [(1, 1, 0, 1), (1, 1, 1, 2), (2, 1, 1, 2), (2, 2, 0, 2), (2, 2, 0, 2), (3, 1, 1, 1)]
+    cut = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.cut_spans(substrings.repeated_spans(docs)).collect())
+    assert cut == [(1, 120, 0, a), (1, 120, 0, b), (2, 2, 0, "x y"), (2, 2, 0, "x y"), (2, 120, 120, ""), (3, 119, 119, "")]
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, none, sf):
     for docs in (odd, none):
         for name, stage in corpus_pipeline.STAGES:

@@ -47,7 +47,7 @@ def _signatures(n: int, bands: int, rows: int):
     salts = bw.mix(np.arange(bands * rows, dtype=bw.U), 31)
     factors = (salts >> bw.U(32)).astype(np.uint32) | np.uint32(1)
     masks = salts.astype(np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_shingles", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_shingles", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for whole in batches:
@@ -65,7 +65,7 @@ def _signatures(n: int, bands: int, rows: int):
                     for r in range(b * rows, (b + 1) * rows):
                         v = (low ^ masks[r]) * factors[r]
                         key[b, full] = bw.mix(key[b, full] + np.minimum.reduceat(v ^ (v >> np.uint32(15)), begin).astype(bw.U), r)
-                yield bw.batch(schema, ids, bw.signed(one.of(w.first[:-1], w.first[1:])), bw.signed(two.of(w.first[:-1], w.first[1:])), count.astype(np.int32), pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(ids) + 1, bands), pa.int32()), pa.array(bw.signed(key.T.ravel()))))
+                yield bw.batch(schema, ids, part.column("row").to_numpy(zero_copy_only=False), bw.signed(one.of(w.first[:-1], w.first[1:])), bw.signed(two.of(w.first[:-1], w.first[1:])), count.astype(np.int32), pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(ids) + 1, bands), pa.int32()), pa.array(bw.signed(key.T.ravel()))))
 
     return run
 
@@ -88,7 +88,7 @@ def _intersections(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, n
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that join the same groups as all of the given do."""
+    """Which of the given pairs of numbers are enough to join the same groups as all do."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -106,13 +106,16 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(n: int, least: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_links", pa.int64()), ("linked_to", pa.int64())])
+FOUND = "doc_id long, row long, n_links long, to_doc long, to_row long"
+_FOUND = pa.schema([(name, pa.int64()) for name in ("doc_id", "row", "n_links", "to_doc", "to_row")])
+
 
+def _compare(n: int, least: float):
     def side(rows: pa.Table):
         w = bw.words(rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text"))
         h, doc = shingles(w, n)
-        return (h, doc, rows.num_rows), np.bincount(doc, minlength=rows.num_rows), rows.column("doc_id").to_numpy()
+        ids = np.stack([rows.column(c).to_numpy() for c in ("doc_id", "row")], 1)
+        return (h, doc, rows.num_rows), np.bincount(doc, minlength=rows.num_rows), ids
 
     def run(rows: pa.Table) -> pa.Table:
         first = rows.column("first").to_numpy()
@@ -120,19 +123,20 @@ def _compare(n: int, least: float):
         a, size_a, id_a = side(rows if own else rows.filter(pa.array(first)))
         b, size_b, id_b = (a, size_a, id_a) if own else side(rows.filter(pa.array(~first)))
         if not len(id_a) or not len(id_b):
-            return schema.empty_table()
+            return _FOUND.empty_table()
         both = _intersections(a, b)
         alike = (both >= least * (size_a[:, None] + size_b[None, :] - both) * (1 - 1e-7)) & (both > 0)
         if own:
             np.fill_diagonal(alike, False)
         links = np.concatenate([alike.sum(1), [] if own else alike.sum(0)]).astype(np.int64)
-        ids = np.concatenate([id_a, [] if own else id_b]).astype(np.int64)
+        ids = id_a if own else np.concatenate([id_a, id_b])
         i, j = np.nonzero(np.triu(alike) if own else alike)
-        tree = _forest(id_a[i], id_b[j])
+        tree = np.array(_forest(i, j if own else j + len(id_a)), np.int64).reshape(-1, 2)
         some = np.flatnonzero(links)
-        columns = [np.concatenate([ids[some], [x for x, _ in tree]]).astype(np.int64), np.concatenate([links[some], np.zeros(len(tree))]).astype(np.int64)]
-        to = pa.array([None] * len(some) + [y for _, y in tree], pa.int64())
-        return pa.Table.from_arrays([pa.array(columns[0]), pa.array(columns[1]), to], schema=schema)
+        left = np.concatenate([ids[some], ids[tree[:, 0]]])
+        count = np.concatenate([links[some], np.zeros(len(tree), np.int64)])
+        right = [pa.array([None] * len(some) + ids[tree[:, 1], c].tolist(), pa.int64()) for c in (0, 1)]
+        return pa.Table.from_arrays([pa.array(left[:, 0]), pa.array(left[:, 1]), pa.array(count), *right], schema=_FOUND)
 
     return run
 
@@ -145,35 +149,40 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, similarity: float = 0.8, row
     similarity to the document's own; n_copies counts the documents with the
     same words, itself included.  A text of fewer than n words has itself as
     its only n-gram.  A document without words (null, empty, white space) is a
-    class of its own with no links.  The bands find a pair just at the
-    threshold with the probability ``recall``, closer ones with more; pairs
-    of one cluster are all compared, whether they share a band or not.
+    class of its own with no links.  Different texts under one doc_id are
+    different texts, and each row has the result of its own.  The bands find a
+    pair just at the threshold with the probability ``recall``, closer ones
+    with more; pairs of one cluster are all compared, whether they share a
+    band or not.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     bands = bands_for(similarity, rows, recall)
-    marks = keep(docs.mapInArrow(_signatures(n, bands, rows), "doc_id long, t1 long, t2 long, n_shingles int, bands array<long>"))
+    marks = keep(docs.mapInArrow(_signatures(n, bands, rows), "doc_id long, row long, t1 long, t2 long, n_shingles int, bands array<long>"))
     worded = marks.where("n_shingles > 0")
-    copies = keep(worded.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")))
-    reps = worded.join(copies.hint("merge"), ["t1", "t2"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"])
+    # a text is known by its first row: the least doc_id, and the hash of what stands there
+    copies = keep(worded.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "row")).alias("node"), F.count("*").alias("n_copies")))
+    mine = F.struct("doc_id", "row") == F.col("node")
+    reps = keep(worded.join(copies.hint("merge"), ["t1", "t2"]).where(mine).select("node", "n_shingles", "bands").dropDuplicates(["node"]))
 
-    banded = keep(reps.select("doc_id", F.posexplode("bands").alias("band", "hash")))
-    buckets = keep(banded.groupBy("band", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
-    edges = banded.join(buckets.hint("merge"), ["band", "hash"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    cluster = keep(linked_groups(edges).withColumnRenamed("node", "doc_id").join(marks.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).hint("merge"), "doc_id"))
+    banded = reps.select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = keep(banded.groupBy("band", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most"))
+    edges = banded.join(buckets.hint("merge"), ["band", "hash"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    cluster = keep(linked_groups(edges).join(reps.select("node", "n_shingles").hint("merge"), "node"))
 
     weight = F.greatest(F.col("n_shingles") / block_shingles, F.lit(1.0 / block_docs))
     sized = keep(cluster.groupBy("root").agg(F.ceil(F.sum(weight)).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = cluster.join(sized.hint("merge"), "root").select("doc_id", "root", "blocks", block.alias("block"))
-    dealt = dealt.select("doc_id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("same"))
-    texts = docs.join(dealt.hint("merge"), "doc_id").dropDuplicates(["doc_id", "root", "i", "j"])
-    found = keep(texts.groupBy("root", "i", "j").applyInArrow(_compare(n, similarity), "doc_id long, n_links long, linked_to long"))
-
-    links = found.where("linked_to is null").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
-    classes = linked_groups(found.where("linked_to is not null").select(F.col("doc_id").alias("a"), F.col("linked_to").alias("b")))
-    known = copies.join(links.withColumnRenamed("doc_id", "rep").hint("merge"), "rep", "left").join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-    known = keep(known.select("t1", "t2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
-    mine = worded.select("doc_id", "t1", "t2").join(known.hint("merge"), ["t1", "t2"]).select("doc_id", "class_id", "n_links", "n_copies")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = cluster.join(sized.hint("merge"), "root").select("node", "root", "blocks", block.alias("block"))
+    dealt = dealt.select("node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node.*", F.col("root.doc_id").alias("root_doc"), F.col("root.row").alias("root_row"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("same"))
+    pair = ["root_doc", "root_row", "i", "j"]
+    texts = docs.join(dealt.hint("merge"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row", *pair])
+    found = keep(texts.groupBy(*pair).applyInArrow(_compare(n, similarity), FOUND))
+
+    links = found.where("to_doc is null").groupBy(F.struct("doc_id", "row").alias("node")).agg(F.sum("n_links").alias("n_links"))
+    joined = linked_groups(found.where("to_doc is not null").select(F.struct("doc_id", "row").alias("a"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_row").alias("row")).alias("b")))
+    known = copies.join(links.hint("merge"), "node", "left").join(joined.hint("merge"), "node", "left")
+    known = keep(known.select("t1", "t2", F.coalesce("root", "node")["doc_id"].alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
+    out = worded.select("doc_id", "t1", "t2").join(known.hint("merge"), ["t1", "t2"]).select("doc_id", "class_id", "n_links", "n_copies")
     alone = marks.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return mine.unionByName(alone)
+    return out.unionByName(alone)
