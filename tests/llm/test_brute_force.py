@@ -8,7 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
-from tidelark.llm import decontaminate, examples, jaccard, languages, lines, packing, personal, quality, queries, secrets, substrings
+import corpus_pipeline
+from tidelark.llm import decontaminate, examples, frames, jaccard, languages, lines, packing, personal, quality, queries, secrets, substrings
 
 BLACK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -283,13 +284,19 @@ def test_plan_bins_uses_every_piece_once():
         histogram = {int(x): int(n) for x, n in zip(rng.integers(1, top + 1, 200), rng.integers(1, 10**6, 200), strict=True)}
         plan = packing.plan_bins(histogram)
         used = collections.Counter()
-        for fill, times in plan:
+        assert plan.lower_bound <= plan.sequences
+        for fill, times in plan.fillings:
             assert sum(fill) <= 2048
             for x in fill:
                 used[x] += times
         assert used == histogram
     # four thirds of a sequence need two; three pairs of complements need three
-    assert sum(n for _, n in packing.plan_bins({1000: 3, 1048: 3})) == 3
+    assert packing.plan_bins({1000: 3, 1048: 3}).sequences == 3
+    # the filling of least waste around the longest piece is not the best one
+    assert packing.plan_bins({60: 1, 41: 2, 38: 3, 20: 2}, 100, nodes=None).sequences == 3
+    lengths = collections.Counter(rng.integers(300, 1100, 2000).tolist())
+    plan = packing.plan_bins(lengths)
+    assert plan.cut_searches == 0 and plan.sequences <= 1.01 * plan.lower_bound
 
 
 def test_op9(spark, sf):
@@ -529,3 +536,63 @@ def test_op3_and_op7_leave_clean_texts_alone(spark):
         more = [(r.doc_id, x) for r in query(spark, sf).collect() if sum(r[f"n_{k}"] for k in kinds if k != "model") < len(x := r.spans.split(",") if r.spans else [])]
         assert len(more) <= 0.005 * len(text)
         assert all(re.search("[0-9@]", text[i]) for i, _ in more)
+
+
+def test_pipeline(spark, sf):
+    """Every stage against a plain version over what its predecessor kept, and run() against the stages one after another."""
+    docs = frames.table(spark, sf, "documents")
+    now = {r.doc_id: r for r in docs.collect()}
+    assert len(now) == docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, docs):
+        out = frames.keep(stages[name](spark, docs, sf))
+        return out, out.collect()
+
+    docs1, rows = step("quality_rules", docs)
+    verdict = {r.doc_id: r.kept for r in quality.quality(docs).collect()}  # held against exact quantiles above
+    assert {r.doc_id: r for r in rows} == {i: r for i, r in now.items() if verdict[i]} and 0 < len(rows) < len(now)
+
+    docs2, after = step("line_dedup", docs1)
+    drop = {r.doc_id: set(r.drop) for r in lines.recurring_lines(docs1).collect()}
+    want = {r.doc_id: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in drop.get(r.doc_id, ())) for r in rows}
+    assert {r.doc_id: (r.text, r.n_chars) for r in after} == {i: (t, len(t)) for i, t in want.items()}
+
+    docs3, kept = step("ngram_jaccard", docs2)
+    grams = {i: {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if (w := BLACK.findall(t)) else set() for i, t in want.items()}
+    group = {i: i for i in grams}
+    holders = collections.defaultdict(list)
+    for i, g in grams.items():
+        for x in g:
+            holders[x].append(i)
+    near = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    near = [(a, b) for a, b in near if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
+    assert {r.doc_id: r.text for r in kept} == {i: want[i] for i in group if group[i] == i} and len(kept) < len(want)
+
+    docs4, clean = step("decontamination", docs3)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = {c: c + 32 for c in range(65, 91)}
+    split = lambda t: word.findall((t or "").translate(low))
+    windows = {tuple(w[p : p + 10]) for r in frames.table(spark, sf, "benchmark").collect() if (w := split(r.text)) for p in range(max(1, len(w) - 9))}
+    sizes = {len(x) for x in windows}
+    hit = lambda w: any(tuple(w[p : p + n]) in windows for n in sizes for p in range(len(w) - n + 1))
+    assert {r.doc_id for r in clean} == {r.doc_id for r in kept if not hit(split(r.text))} and len(clean) < len(kept)
+
+    code = packing.Encoder().whole
+    size = {r.doc_id: len(code.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean}
+    packed = corpus_pipeline.run(spark, sf).collect()
+    total, place = collections.Counter(), collections.defaultdict(list)
+    for r in packed:
+        total[r.doc_id] += r.length
+        place[r.sequence_id].append((r.offset, r.length))
+    assert total == size
+    for each in place.values():
+        ends = np.cumsum([n for _, n in sorted(each)]).tolist()
+        assert [a for a, _ in sorted(each)] == [0, *ends[:-1]] and ends[-1] <= 2048

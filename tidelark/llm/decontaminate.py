@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .frames import keep
 
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "doc_id long, row long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 WINDOWS = "id string, size int, mark long, w1 long, w2 long"
 _WINDOWS = pa.schema([("id", pa.string()), ("size", pa.int32()), ("mark", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
@@ -118,11 +118,11 @@ def _extended(batches):
             spans.append([{"start": a, "end": e} for a, e in mine])
             n_hit.append(sum(e - a for a, e in mine))
         items = b.column("items")
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(n_hit, pa.int64()), items, pa.array(spans, _SPAN)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("n_words"), pa.array(n_hit, pa.int64()), items, pa.array(spans, _SPAN)], names=["doc_id", "row", "n_words", "n_hit", "items", "spans"])
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int = 5, most_bits: int = 1 << 27) -> DataFrame:
-    """For each document: n_words, n_hit, the items that occur in it (ids as strings, sorted) and the word spans they cover.
+    """For each document: row (its text's hash), n_words, n_hit, the items that occur in it (ids as strings, sorted) and the word spans they cover.
 
     Words are lower-cased runs of letters and digits (any non-ASCII character
     counts as a letter).  Null or empty texts and items have none and hit
@@ -148,4 +148,4 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 10, k: in
     places = of_doc.agg(F.collect_set(F.struct("lo", "size")).alias("hits"))
     listed = hits.select("doc_id", "row", "names").distinct().join(names.hint("merge"), "names").groupBy("doc_id", "row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
     joined = near.drop("near").join(keep(places).hint("merge"), ["doc_id", "row"], "left").join(keep(listed).hint("merge"), ["doc_id", "row"], "left")
-    return joined.select("doc_id", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_extended, FOUND)
+    return joined.select("doc_id", "row", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_extended, FOUND)

@@ -142,10 +142,11 @@ def _compare(n: int, least: float):
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, similarity: float = 0.8, rows: int = 4, recall: float = 0.9999, block_shingles: int = 200_000, block_docs: int = 400) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_copies.
+    """One row per document: doc_id, row, class_id, class_row, n_links, n_copies.
 
+    row is the hash of the text, which tells apart rows that share a doc_id.
     class_id is the least doc_id of the texts that links join, directly or
-    over others.  n_links counts the different texts with at least this
+    over others, and class_row that text's row.  n_links counts the different texts with at least this
     similarity to the document's own; n_copies counts the documents with the
     same words, itself included.  A text of fewer than n words has itself as
     its only n-gram.  A document without words (null, empty, white space) is a
@@ -182,7 +183,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, similarity: float = 0.8, row
     links = found.where("to_doc is null").groupBy(F.struct("doc_id", "row").alias("node")).agg(F.sum("n_links").alias("n_links"))
     joined = linked_groups(found.where("to_doc is not null").select(F.struct("doc_id", "row").alias("a"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_row").alias("row")).alias("b")))
     known = copies.join(links.hint("merge"), "node", "left").join(joined.hint("merge"), "node", "left")
-    known = keep(known.select("t1", "t2", F.coalesce("root", "node")["doc_id"].alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
-    out = worded.select("doc_id", "t1", "t2").join(known.hint("merge"), ["t1", "t2"]).select("doc_id", "class_id", "n_links", "n_copies")
-    alone = marks.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    known = keep(known.select("t1", "t2", F.coalesce("root", "node")["doc_id"].alias("class_id"), F.coalesce("root", "node")["row"].alias("class_row"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
+    out = worded.select("doc_id", "row", "t1", "t2").join(known.hint("merge"), ["t1", "t2"]).select("doc_id", "row", "class_id", "class_row", "n_links", "n_copies")
+    alone = marks.where("n_shingles = 0").select("doc_id", "row", F.col("doc_id").alias("class_id"), F.col("row").alias("class_row"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(alone)

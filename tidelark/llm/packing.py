@@ -8,8 +8,9 @@ Packing: a piece is shorter than a sequence or fills one, so a histogram of at
 most ``capacity`` lengths holds all that packing needs, whatever the corpus.
 The driver completes bins over that histogram: it takes the longest length
 left, searches its undominated fillings by branch and bound on waste, and uses
-the best one as often as the counts allow.  Tasks then give each piece the
-number of its slot.
+the best one as often as the counts allow.  A best-fit decreasing plan is the
+incumbent, and a plan that reaches the lower bound ends the search.  Tasks then
+give each piece the number of its slot.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -187,14 +190,28 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
-def completion(counts: dict[int, int], largest: int, room: int, nodes: int = 4000) -> dict[int, int]:
-    """Lengths that fill ``room`` beside ``largest`` with the least waste, and how often each.
+@dataclass
+class Plan:
+    """(lengths in one sequence, how many such sequences), the least number that any plan needs, and how often a search was cut."""
+
+    fillings: list[tuple[list[int], int]]
+    lower_bound: int
+    cut_searches: int = 0
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.fillings)
+
+
+def completion(counts: dict[int, int], largest: int, room: int, nodes: int | None = 4000, enough: int = 0) -> tuple[dict[int, int], bool]:
+    """Lengths that fill ``room`` beside ``largest`` with the least waste, how often each, and whether the search was cut.
 
     Depth-first, larger lengths first, so the first filling found is best-fit
     decreasing and the incumbent; one with a shorter length in a longer one's
     place is dominated and is met only if the longer one wastes more.  A
     branch is cut when even the best sum of lengths within its room wastes as
-    much as the incumbent.
+    much as the incumbent, and the search ends at a waste of ``enough`` or
+    after ``nodes`` steps (None: never).
     """
     sizes = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     reach = []  # reach[i]: bit s is set if lengths from i on can add up to s
@@ -209,14 +226,16 @@ def completion(counts: dict[int, int], largest: int, room: int, nodes: int = 400
         reach.append(bits)
     reach.reverse()
     best: tuple[int, dict[int, int]] = (room, {})
-    left = nodes
+    left = -1 if nodes is None else nodes
+    done = False
 
     def search(i: int, room: int, filling: dict[int, int]) -> None:
-        nonlocal best, left
+        nonlocal best, left, done
         left -= 1
         if room < best[0]:
             best = (room, dict(filling))
-        if i >= len(sizes) or left < 0 or not best[0]:
+        done = done or best[0] <= enough or left == 0
+        if i >= len(sizes) or done:
             return
         fits = reach[i] & ((1 << (room + 1)) - 1)
         if room - (fits.bit_length() - 1) >= best[0]:
@@ -232,46 +251,96 @@ def completion(counts: dict[int, int], largest: int, room: int, nodes: int = 400
             while j < len(sizes) and sizes[j] > room - n * x:
                 j += 1
             search(j, room - n * x, filling)
-            if left < 0 or not best[0]:
+            if done:
                 break
         filling.pop(x, None)
 
     search(0, room, {})
-    return best[1]
-
+    return best[1], left == 0 and best[0] > enough
 
-def plan_bins(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[list[int], int]]:
-    """(lengths in one sequence, how many such sequences) that hold every piece of the histogram."""
-    import sys
 
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * capacity + 1000))
-    counts = {x: n for x, n in histogram.items() if n}
-    out = []
+def _completed(histogram: dict[int, int], capacity: int, nodes: int | None, enough: int) -> tuple[list[tuple[list[int], int]], int]:
+    """Bins one after another, each around the largest length left, and how many searches were cut."""
+    counts, out, cut = dict(histogram), [], 0
     for largest in sorted(counts, reverse=True):
         while counts[largest]:
-            rest = completion(counts, largest, capacity - largest)
+            rest, stopped = completion(counts, largest, capacity - largest, nodes, enough)
+            cut += stopped
             fill = [largest] + [x for x, n in sorted(rest.items(), reverse=True) for _ in range(n)]
-            need = {x: fill.count(x) for x in set(fill)}
+            need = Counter(fill)
             times = min(counts[x] // n for x, n in need.items())
             for x, n in need.items():
                 counts[x] -= n * times
             out.append((fill, times))
-    return out
+    return out, cut
+
 
+def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing over the histogram: the pieces of one length go to the fullest open bins that have room."""
+    open_bins: dict[int, dict[tuple[int, ...], int]] = {capacity: {(): sum(histogram.values())}}  # by room; empty bins as needed
+    for x in sorted(histogram, reverse=True):
+        left = histogram[x]
+        for room in sorted(r for r in open_bins if r >= x):
+            if not left:
+                break
+            for fill, n in list(open_bins[room].items()):
+                each = room // x if n * (room // x) <= left else max(1, left // n)
+                bins = min(n, left // each)
+                if bins:
+                    open_bins[room][fill] -= bins
+                    after = open_bins.setdefault(room - each * x, {})
+                    after[(*fill, *[x] * each)] = after.get((*fill, *[x] * each), 0) + bins
+                    left -= bins * each
+                if not left:
+                    break
+    return [(list(fill), n) for fills in open_bins.values() for fill, n in fills.items() if n and fill]
+
+
+def plan_bins(histogram: dict[int, int], capacity: int = 2048, nodes: int | None = 4000) -> Plan:
+    """Sequences that hold every piece of the histogram, as few as found.
+
+    A whole best-fit decreasing plan is the first incumbent.  Bin completion
+    is then tried with growing contentment: with ``enough`` 0 every bin has
+    the least waste, with more it keeps to larger pieces and leaves the small
+    ones for later bins.  The first plan that reaches the lower bound ends the
+    search, and otherwise the one with the fewest sequences is kept.
+    """
+    import sys
 
-def packed(cut: DataFrame, capacity: int = 2048, parts: int = 128) -> DataFrame:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * capacity + 1000))
+    histogram = {x: n for x, n in histogram.items() if n}
+    halves = sum(n for x, n in histogram.items() if 2 * x > capacity)  # no two of these share a sequence
+    bound = max(-(-sum(x * n for x, n in histogram.items()) // capacity), halves)
+    best = Plan(_best_fit(histogram, capacity), bound)
+    cut = 0
+    for enough in (0, capacity // 512, capacity // 128, capacity // 32):
+        if best.sequences == bound:
+            break
+        fillings, stopped = _completed(histogram, capacity, nodes, enough)
+        cut += stopped
+        if sum(n for _, n in fillings) < best.sequences:
+            best = Plan(fillings, bound)
+    best.cut_searches = cut
+    return best
+
+
+def packed(cut: DataFrame, capacity: int = 2048, nodes: int | None = 4000, part_pieces: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to the result of pieces().
 
     What comes to the driver is one count for each length, at most
-    ``capacity`` rows.  Pieces of one length are numbered in ``parts`` hashed
-    parts, so a length that most documents have is not one task's work.
+    ``capacity`` rows.  Pieces of one length are numbered in hashed parts, as
+    many as make about ``part_pieces`` of all pieces each, so a length that
+    most documents have is never one task's work.  ``nodes`` bounds the search
+    for one filling (plan_bins); no piece is lost by it.
     """
-    cut = keep(cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)).cast("int")))
+    cut = keep(cut)
+    parts = cut.count() // part_pieces + 1
+    cut = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)).cast("int"))
     counts = keep(cut.groupBy("length", "_part").count())
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots, base = [], 0
     taken: dict[int, int] = {}
-    for fill, times in plan_bins(histogram, capacity):
+    for fill, times in plan_bins(histogram, capacity, nodes).fillings:
         offset = 0
         for x in fill:
             slots.append((x, taken.get(x, 0), base, offset))

@@ -167,9 +167,11 @@ def judged(measured: DataFrame, *, spread: float = 6.0, noise: float = 4.0, leas
 
 
 def quality(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, lang, source, the five measures, base_failed and kept; the text is dropped early.
+    """doc_id, row, lang, source, the five measures, base_failed and kept; the text is dropped early.
+
+    row is the hash of the text, which tells apart rows that share a doc_id.
 
     The measures are kept in the shared folder: the sketches and the verdicts read them, not the texts.
     """
-    slim = measures(docs.select("doc_id", "lang", "source", "text")).drop("text")
+    slim = measures(docs.select("doc_id", F.xxhash64("text").alias("row"), "lang", "source", "text")).drop("text")
     return judged(keep(slim), **how)
