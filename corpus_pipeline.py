@@ -17,13 +17,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _of_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs whose doc_id is in ``kept``; both sides are shuffled, as either can be of any size."""
-    return docs.join(keep(kept.select("doc_id")).hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """Rows of docs that are in ``kept`` by doc_id and text; both sides are shuffled, as either can be of any size."""
+    kept = keep(kept.select("doc_id", "row")).hint("merge")
+    return docs.withColumn("row", F.xxhash64("text")).join(kept, ["doc_id", "row"], "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return _of_kept(docs, quality.quality(docs).where("kept"))
+    return _of_kept(docs, quality.quality(docs).where("kept")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id."""
-    return _of_kept(docs, jaccard.near_duplicates(docs).where("doc_id = class_id"))
+    """One document of each group of near copies stays, the one with the least doc_id; of equal rows one stays."""
+    first = jaccard.near_duplicates(docs).where("doc_id = class_id and row = class_row")
+    return _of_kept(docs, first).dropDuplicates(["doc_id", "row"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return _of_kept(docs, decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    return _of_kept(docs, decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
