@@ -1,5 +1,6 @@
 """Folds against plain loops, the scale helpers against plain windows, streams against batches, and invariants."""
 
+import collections
 import datetime as dt
 
 import numpy as np
@@ -212,3 +213,45 @@ def test_pet_rule(spark):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, person string, room string, zone_type string")
     got = [(r.length, r.simultaneous, r.fast, r.is_pet) for r in movement.sequence_features(df).orderBy("session").collect()]
     assert got == [(4, 2, 2, True), (2, 0, 1, False), (1, 0, 0, False)]
+
+
+def test_interval_join_keeps_repeated_rows(spark):
+    """Equal left rows stay, whatever the kind of join, and a row without a time has no match; against plain loops."""
+    import itertools
+
+    base = dt.datetime(2024, 1, 1)
+    at = lambda s: base + dt.timedelta(seconds=s)
+    left = [("a", at(s)) for s in (0, 0, 50, 100, 100, 400)] + [("b", at(10)), ("b", at(10)), ("a", None)]
+    right = [("a", at(s)) for s in (20, 120, 121, 399)] + [("c", at(10)), ("b", None)]
+    l, r = spark.createDataFrame(left, "k string, t timestamp"), spark.createDataFrame(right, "k string, u timestamp")
+    near = lambda x, y: x[0] == y[0] and x[1] is not None and y[1] is not None and -1 <= (y[1] - x[1]).total_seconds() <= 70
+    got = lambda how: collections.Counter(map(tuple, temporal.interval_join(l, r, ["k"], "t", "u", -1, 70, how).collect()))
+    assert got("inner") == collections.Counter((*x, y[1]) for x, y in itertools.product(left, right) if near(x, y))
+    assert got("left_semi") == collections.Counter(x for x in left if any(near(x, y) for y in right))
+    assert got("left_anti") == collections.Counter(x for x in left if not any(near(x, y) for y in right))
+
+
+def test_last_write_wins_breaks_ties_alike(spark):
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 4, "c"), (2, None, "d"), (None, 1, "e"), (None, 2, None)]
+    a = spark.createDataFrame(rows, "k int, seq int, x string")
+    b = spark.createDataFrame(rows[::-1], "k int, seq int, x string")
+    one, two = (sorted(map(tuple, tables.last_write_wins(d, ["k"], "seq", {"x": "none"}).collect()), key=str) for d in (a, b))
+    assert one == two and [r[:2] for r in one] == [(1, 5), (2, None), (None, 2)] and one[2][2] == "none"
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    """Small Arrow batches, several keys in one task, null keys: against one fold for each key."""
+    rng = np.random.default_rng(1)
+    rows = [([None, "a", "b"][i % 3], i, float(rng.normal(0 if i < 400 else 2))) for i in range(900)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = spark.createDataFrame(rows, "k string, i int, x double")
+        got = {r.i: r.alarm for r in drift.folded(frame, ["k"], ["i"], "x", drift.KolmogorovSmirnov).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = {}
+    for key in (None, "a", "b"):
+        fold = drift.KolmogorovSmirnov()
+        want |= {i: fold.add(x) for k, i, x in rows if k == key}
+    assert got == want and sum(want.values()) >= 3

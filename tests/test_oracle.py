@@ -44,7 +44,7 @@ def test_same_rows(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() >= 0
+    assert registry.QUERIES[name](spark, sf).count() > 0
 
 
 def test_flagship(spark, sf):

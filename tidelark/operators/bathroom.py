@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 RESULT = "event_id long, room string, ts timestamp, occupied boolean, confidence double, reason string, duration_s double, door_probability double"
 
 
+# Hours of the day, durations, shares and confidences of the machine's rules, here and in Machine, and the reasons' names.
 def default_duration(hour: int) -> float:
     return 180.0 if 6 <= hour <= 9 else 300.0 if 21 <= hour <= 23 else 120.0
 
@@ -72,23 +74,21 @@ def results(machine: Machine, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["event_id", "room", "ts", "occupied", "confidence", "reason", "duration_s", "door_probability"])
 
 
-def bathroom_states(events: DataFrame, keys: tuple[str, ...] = ("room",), door_closed_state: str = "off", pooled: bool = False) -> DataFrame:
+def bathroom_states(events: DataFrame, keys: tuple[str, ...] = ("room",), door_closed_state: str = "off") -> DataFrame:
     """Rows of RESULT for each event that the machine answers.
 
-    The fold needs a key's rows together and in order; at scale the key is
-    (home, room).  ``pooled`` learns durations over all rooms, so everything is one key.
+    A key's rows are one task's, in order; at scale the key is (home, room).
+    They pass through in batches, and only the machine's state is held.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if not pooled:
-            return results(Machine(door_closed_state), rows)
-        machines: dict[str, Machine] = {}
-        sums, counts = [0.0] * 24, [0] * 24
-        parts = []
-        for _, r in rows.sort_values(["ts", "event_id"], kind="stable").iterrows():
-            m = machines.setdefault(r.room, Machine(door_closed_state, sums=sums, counts=counts))
-            parts.append(results(m, pd.DataFrame([r])))
-        return pd.concat(parts) if parts else results(Machine(), rows)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, machine = None, Machine(door_closed_state)
+        for rows in batches:
+            for key, part in rows.groupby(list(keys), sort=False, dropna=False):
+                key = [None if pd.isna(k) else k for k in key]
+                if key != now:
+                    now, machine = key, Machine(door_closed_state)
+                yield results(machine, part)
 
     some = events.where("sensor_type IN ('entrance', 'door')").selectExpr("event_id", *keys, *([] if "room" in keys else ["room"]), "cast(ts as timestamp) ts", "sensor_type", "state")
-    return (some.groupBy() if pooled else some.groupBy(*keys)).applyInPandas(run, RESULT)
+    return some.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id").mapInPandas(run, RESULT)

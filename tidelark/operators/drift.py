@@ -6,7 +6,8 @@ form (``folded``) and the streaming form share them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,21 +50,22 @@ class KolmogorovSmirnov:
     reference: list[float] = field(default_factory=list)
     current: list[float] = field(default_factory=list)
     statistic: float = 0.0
+    ordered: list[float] = field(default_factory=list)  # the current window, sorted
 
     def add(self, x: float) -> bool:
         if len(self.reference) < self.size:
-            self.reference.append(x)
+            insort(self.reference, x)
             return False
         self.current.append(x)
-        del self.current[: -self.size]
+        insort(self.ordered, x)
+        if len(self.current) > self.size:
+            del self.ordered[bisect_left(self.ordered, self.current.pop(0))]
         if len(self.current) < self.size:
             return False
-        ref, cur = np.sort(self.reference), np.sort(self.current)
-        steps = np.arange(1, self.size + 1) / self.size
-        self.statistic = float(np.abs(steps - np.searchsorted(cur, ref, "right") / self.size).max())
+        self.statistic = max(abs((i + 1) / self.size - bisect_right(self.ordered, r) / self.size) for i, r in enumerate(self.reference))
         alarm = self.statistic > 1.36 * np.sqrt(2 / self.size)
         if alarm:
-            self.reference, self.current = self.current, []
+            self.reference, self.current, self.ordered = self.ordered, [], []
         return bool(alarm)
 
 
@@ -82,16 +84,26 @@ class Cooldown:
 
 
 def folded(df: DataFrame, keys: list[str], order: list[str], value: str, make: Callable, out: str = "alarm") -> DataFrame:
-    """Feeds each key's rows in order to make().add and adds its answer; one key's rows are one group, as the fold needs."""
+    """Feeds each key's rows in order to make().add and adds its answer.
+
+    A key's rows are one task's, as the fold needs, but they pass through it in
+    batches of sorted rows: only the fold's own state is held.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {out} boolean"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        state = make()
-        rows[out] = [state.add(float(x)) for x in rows[value]]
-        return rows
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for rows in batches:
+            said = []
+            for *key, x in rows[[*keys, value]].itertuples(index=False, name=None):
+                key = [None if pd.isna(k) else k for k in key]
+                if state is None or key != now:
+                    now, state = key, make()
+                said.append(state.add(float(x)))
+            rows[out] = said
+            yield rows
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def page_hinkley_first(df: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.05, limit: float = 50.0) -> DataFrame:
@@ -109,17 +121,19 @@ def adwin(df: DataFrame, keys: list[str], order: list[str], value: str, half: in
     """Adds buffer, its length, and drift: the two newest stretches of ``half`` rows differ by more than spread * std of the buffer.
 
     The buffer holds all rows up to ``most``; one more drops its older half, so
-    its length is a function of the row number and its variance a difference of prefix sums.
+    its length is a function of the row number and its variance a difference of prefix sums,
+    of values less the key's first one, so that large values don't cancel.
     """
     w = W.partitionBy(*keys).orderBy(*order)
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
     n = F.row_number().over(w)
     keep = most + 1 - (most + 1) // 2
-    rows = df.withColumn("_n", n).withColumn("_s", F.sum(value).over(so_far)).withColumn("_q", F.sum(F.pow(value, 2)).over(so_far))
+    rows = df.withColumn("_n", n).withColumn("_x", F.col(value) - F.first(value).over(so_far))
+    rows = rows.withColumn("_s", F.sum("_x").over(so_far)).withColumn("_q", F.sum(F.pow("_x", 2)).over(so_far))
     rows = rows.withColumn("buffer", F.when(F.col("_n") <= most, F.col("_n")).otherwise(keep + (F.col("_n") - most - 1) % (most + 1 - keep)))
     rows = rows.withColumn("_a", F.avg(value).over(w.rowsBetween(-(half - 1), 0))).withColumn("_b", F.avg(value).over(w.rowsBetween(-(2 * half - 1), -half)))
     before = rows.select(*keys, (F.col("_n") + 1).alias("_from"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
-    joined = rows.withColumn("_from", F.col("_n") - F.col("buffer") + 1).join(before, [*keys, "_from"], "left").na.fill(0.0, ["_s0", "_q0"])
+    joined = rows.withColumn("_from", F.col("_n") - F.col("buffer") + 1).join(before.hint("merge"), [*keys, "_from"], "left").na.fill(0.0, ["_s0", "_q0"])
     mean = (F.col("_s") - F.col("_s0")) / F.col("buffer")
     var = F.greatest(F.lit(0.0), (F.col("_q") - F.col("_q0")) / F.col("buffer") - mean * mean)
     drift = (F.col("buffer") >= 2 * half) & (F.abs(F.col("_a") - F.col("_b")) > spread * F.sqrt(var))

@@ -24,7 +24,7 @@ def feature_vector(events: DataFrame) -> DataFrame:
     out = temporal.trailing_count(out, ["room"], 1800, "room_30m")
     out = temporal.trailing_count(out, ["sensor_type"], 1800, "type_30m")
     out = movement.concurrent_counts(out)
-    out = out.join(F.broadcast(movement.zone_coverage(events)), "room", "left")  # a row for each room
+    out = out.join(movement.zone_coverage(events), "room", "left")
     zone = {"is_full_zone": (F.col("zone_type") == "full").cast("int"), "is_subzone": (F.col("zone_type") == "subzone").cast("int")}
     out = out.withColumns({**enrich.calendar(), **enrich.cyclical(), **enrich.interactions(), "active": enrich.is_active(), **zone})
     return out.select("event_id", "ts", "room", "sensor_type", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NUMERIC])
@@ -33,7 +33,7 @@ def feature_vector(events: DataFrame) -> DataFrame:
 def labelled(events: DataFrame, occupancy_rows: DataFrame, horizons: list[int]) -> DataFrame:
     """Features and label of each event and horizon whose outcome is known."""
     labels = occupancy.horizon_labels(events, occupancy_rows, horizons).where("label is not null")
-    return feature_vector(events).join(labels, "event_id").withColumn("label", F.col("label").cast("double"))
+    return feature_vector(events).join(labels.hint("merge"), "event_id").withColumn("label", F.col("label").cast("double"))
 
 
 def pipeline(kind: str, **params) -> Pipeline:

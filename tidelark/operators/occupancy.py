@@ -51,7 +51,7 @@ def truth_labels(events: DataFrame, machine: DataFrame | None) -> DataFrame:
         return events.withColumn("label", presence)
     found = machine.select("event_id", F.col("occupied").alias("_m"))
     door = F.when((F.col("sensor_type") == "door") & F.col("room").contains("bathroom"), F.col("_m"))
-    return events.join(found, "event_id", "left").withColumn("label", F.coalesce(presence, door)).drop("_m")
+    return events.join(found.hint("merge"), "event_id", "left").withColumn("label", F.coalesce(presence, door)).drop("_m")
 
 
 def bathroom_forecast(now: DataFrame, *, occupied="occupied", elapsed="elapsed_s", typical="typical_s", idle="idle_s", samples="samples", target_hour="target_hour") -> DataFrame:

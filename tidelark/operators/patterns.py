@@ -59,9 +59,9 @@ def possible_signatures(kinds: DataFrame, item: str = "x") -> DataFrame:
     k = kinds.select(item).distinct()
     if k.count() > 200:
         raise ValueError("too many kinds of events to list their sequences")
-    a, b, c = (k.select(F.col(item).alias(n)) for n in "abc")
-    two = a.join(F.broadcast(b), F.col("a") != F.col("b"))
-    three = two.join(F.broadcast(c), (F.col("c") != F.col("a")) & (F.col("c") != F.col("b")))
+    every = k.agg(F.collect_set(item).alias("_all"))
+    two = every.select("_all", F.explode("_all").alias("a")).select("_all", "a", F.explode("_all").alias("b")).where("a <> b")
+    three = two.select("a", "b", F.explode("_all").alias("c")).where("c <> a and c <> b")
     return two.select(F.concat_ws("->", "a", "b").alias("signature")).unionByName(three.select(F.concat_ws("->", "a", "b", "c").alias("signature")))
 
 

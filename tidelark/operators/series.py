@@ -103,7 +103,7 @@ def gradient_breaks(curve: DataFrame, keys: list[str], h: str = "horizon", acc:
 def interpolated(known: DataFrame, keys: list[str], h: str = "horizon", acc: str = "accuracy", top: int = 239, near: int = 30) -> DataFrame:
     """A curve over 1..top: own value, else the mean of known ones within ``near``, else the nearest, decayed by distance."""
     all_h = known.select(*keys).distinct().withColumn("_h", F.explode(F.sequence(F.lit(1), F.lit(top))))
-    pairs = all_h.join(known, keys)
+    pairs = all_h.join(known.hint("merge"), keys)
     d = F.abs(F.col(h) - F.col("_h"))
     out = pairs.groupBy(*keys, "_h").agg(
         F.max(F.when(d == 0, F.col(acc))).alias("_own"),

@@ -24,22 +24,28 @@ def seconds_between(later: str | Column, earlier: str | Column) -> Column:
     return (micros(later) - micros(earlier)) / float(SECOND)
 
 
+#: Buckets of ``neighbour`` that one row of its coarse table stands for.
+COARSE = 1_000
+
+
 def neighbour(df: DataFrame, columns: list[str], *, ahead: bool = False, bucket_s: int = 86_400, ts: str = "ts", tie: str = "event_id", prefix: str | None = None) -> DataFrame:
     """Adds the columns of the previous row in time (``ahead``: the next one), prefixed ``prev_`` or ``next_``.
 
-    Exact across empty buckets.  The table of bucket edges has a row for each
-    bucket of the time span, whatever the number of events, and is broadcast.
+    Exact across empty buckets.  Bucket edges are carried over in two steps,
+    inside stretches of COARSE buckets and from stretch to stretch; only the
+    latter is one task's work, with one row for 1,000 buckets of the time
+    span, whatever the number of events.  The join back is on the window's own key.
     """
     prefix = prefix or ("next_" if ahead else "prev_")
     order = [F.col(ts), F.col(tie)]
+    step, last = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
     given = df.withColumn("_b", F.floor(micros(ts) / (bucket_s * SECOND))).withColumn("_row", F.struct(*columns))
-    inside = W.partitionBy("_b").orderBy(*order)
-    near = (F.lead if ahead else F.lag)("_row").over(inside)
-    edge = (F.min_by if ahead else F.max_by)("_row", F.struct(*order))
-    edges = given.groupBy("_b").agg(edge.alias("_edge"))
-    along = W.orderBy("_b")
-    edges = edges.select("_b", (F.lead if ahead else F.lag)("_edge").over(along).alias("_edge"))
-    joined = given.withColumn("_near", near).join(F.broadcast(edges), "_b", "left")
+    near = step("_row").over(W.partitionBy("_b").orderBy(*order))
+    edges = given.groupBy("_b").agg(last("_row", F.struct(*order)).alias("_edge")).withColumn("_c", F.floor(F.col("_b") / COARSE))
+    stretches = edges.groupBy("_c").agg(last("_edge", "_b").alias("_far"))
+    stretches = stretches.select("_c", step("_far").over(W.orderBy("_c")).alias("_far"))
+    edges = edges.withColumn("_edge", step("_edge").over(W.partitionBy("_c").orderBy("_b"))).join(stretches.hint("merge"), "_c")
+    joined = given.withColumn("_near", near).join(edges.select("_b", F.coalesce("_edge", "_far").alias("_edge")).hint("merge"), "_b", "left")
     row = F.coalesce("_near", "_edge")
     return joined.select(*df.columns, *[row[c].alias(f"{prefix}{c}") for c in columns])
 
@@ -68,28 +74,24 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: s
 
     The right side's columns other than the keys must not clash with the left's.
     ``how``: inner, left_semi or left_anti.  ``extra`` is a further condition.
+    A left row is in one bucket and a right row is dealt to the two that it can
+    reach, so repeated left rows stay, and a row without a time has no match.
     """
     width = max(high_s - low_s, 1.0) * SECOND
     low, high = low_s * SECOND, high_s * SECOND
-    lt = micros(left_ts)
-    a = left.withColumn("_lt", lt).withColumn("_b", F.explode(F.sequence(F.floor((F.col("_lt") + F.lit(low)) / width), F.floor((F.col("_lt") + F.lit(high)) / width))))
-    b = right.withColumn("_rt", micros(right_ts)).withColumn("_b", F.floor(F.col("_rt") / width))
+    a = left.withColumn("_lt", micros(left_ts)).withColumn("_b", F.floor(F.col("_lt") / F.lit(width)))
+    b = right.withColumn("_rt", micros(right_ts)).where("_rt is not null")
+    b = b.withColumn("_rb", F.explode(F.sequence(F.floor((F.col("_rt") - F.lit(high)) / F.lit(width)), F.floor((F.col("_rt") - F.lit(low)) / F.lit(width)))))
     for k in keys:
         b = b.withColumnRenamed(k, f"_r_{k}")
-    b = b.withColumnRenamed("_b", "_rb")
     gap = F.col("_rt") - F.col("_lt")
     on = (F.col("_b") == F.col("_rb")) & (gap >= F.lit(low)) & (gap <= F.lit(high))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_r_{k}"))
     if extra is not None:
         on = on & extra
-    if how == "inner":
-        return a.join(b, on).drop("_lt", "_rt", "_b", "_rb", *[f"_r_{k}" for k in keys])
-    # a left row may be dealt to two buckets: it has a match if any of its copies has one
-    found = a.join(b, on, "left_semi").select(*left.columns)
-    if how == "left_semi":
-        return found.distinct()
-    return left.join(found.distinct().withColumn("_hit", F.lit(True)), [left[c].eqNullSafe(found[c]) for c in left.columns], "left_anti")
+    out = a.join(b.hint("merge"), on, how).drop("_lt", "_b")
+    return out.drop("_rt", "_rb", *[f"_r_{k}" for k in keys]) if how == "inner" else out
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, value: str, ts: str = "ts", out: str = "latest") -> DataFrame:

@@ -55,7 +55,7 @@ def query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
-            ORACLE_SQL[name] = f"WITH {fixtures.VIEWS}\n{sql.strip()}"
+            ORACLE_SQL[name] = f"WITH RECURSIVE {fixtures.VIEWS}\n{sql.strip()}"
         return f
 
     return put

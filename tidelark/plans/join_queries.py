@@ -54,7 +54,7 @@ def _(v):
 def _(v):
     c = v.table("customer").select(F.concat(F.lit("sensor_"), F.col("c_custkey").cast("string")).alias("entity_id"), "c_name", "c_nationkey")
     n = v.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return v.se.select("event_id", "entity_id").join(c, "entity_id", "left").join(F.broadcast(n), "c_nationkey", "left").select("event_id", "c_name", "n_name")
+    return v.se.select("event_id", "entity_id").join(c, "entity_id", "left").join(n, "c_nationkey", "left").select("event_id", "c_name", "n_name")
 
 
 MOVES = ", mv AS (SELECT event_id, ts, room, lag(ts) OVER (ORDER BY ts, event_id) AS prev_ts, lag(room) OVER (ORDER BY ts, event_id) AS prev_room FROM se)"

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelark.operators import bathroom, patterns, rollups
+from tidelark.plans import fold_sql
 from tidelark.plans.base import query, r6
 
 SEQ = """, tk AS (SELECT room, ts, event_id, sensor_type || '-' || state AS x, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) AS i FROM se {where}), sq AS (SELECT a.room, a.ts AS start_ts, a.event_id, n.n AS n, string_agg(b.x, '->' ORDER BY b.i) AS signature, round((epoch_us(max(b.ts)) - epoch_us(a.ts))/1e6, 6) AS span_s
- FROM tk a JOIN (SELECT unnest([2, 3]) AS n) n ON true JOIN tk b ON b.room = a.room AND b.i BETWEEN a.i AND a.i + n.n - 1 GROUP BY a.room, a.ts, a.event_id, n.n HAVING count(*) = n.n)"""
-ALL, STAIRS = SEQ.format(where=""), SEQ.format(where="WHERE room IN ('office','kitchen')")
+ FROM tk a JOIN (SELECT unnest(range(2, {longest} + 1)) AS n) n ON true JOIN tk b ON b.room = a.room AND b.i BETWEEN a.i AND a.i + n.n - 1 GROUP BY a.room, a.ts, a.event_id, n.n HAVING count(*) = n.n)"""
+ALL, STAIRS = SEQ.format(where="", longest=5), SEQ.format(where="WHERE room IN ('office','kitchen')", longest=5)
 WINDOWS = f"(SELECT unnest({patterns.WINDOWS}) AS m)"
 
 
-def found(v, where="true", longest=3):
+def found(v, where="true", longest=5):
     return patterns.sequences(v.se.where(where), patterns.token("sensor_type", "state"), longest)
 
 
@@ -54,14 +55,14 @@ def _(v):
     return possible(v)
 
 
-@query("m05_negative_patterns", SEQ.format(where="WHERE room = 'office'") + POSSIBLE + "SELECT signature, 0.8::DOUBLE AS strength FROM ps WHERE signature NOT IN (SELECT signature FROM sq)")
+@query("m05_negative_patterns", SEQ.format(where="WHERE room = 'office'", longest=3) + POSSIBLE + "SELECT signature, 0.8::DOUBLE AS strength FROM ps WHERE signature NOT IN (SELECT signature FROM sq)")
 def _(v):
-    return patterns.negative_patterns(possible(v), found(v, "room = 'office'"))
+    return patterns.negative_patterns(possible(v), found(v, "room = 'office'", 3))
 
 
-@query("m06_repeated_ngrams", ALL + ", t AS (SELECT room, count(*) AS total FROM se GROUP BY room), g AS (SELECT room, signature, n, count(*) AS frequency FROM sq GROUP BY ALL HAVING count(*) >= 3) SELECT room, signature, CAST(n AS INT) AS n, frequency, round((total - n + 1)/pow(9, n), 6) AS expected, round(least(1, frequency/(0.1*total)), 6)::DOUBLE AS significance FROM g JOIN t USING (room) WHERE frequency > 1.5*(total - n + 1)/pow(9, n)")
+@query("m06_repeated_ngrams", SEQ.format(where="", longest=19) + ", t AS (SELECT room, count(*) AS total FROM se GROUP BY room), g AS (SELECT room, signature, n, count(*) AS frequency FROM sq GROUP BY ALL HAVING count(*) >= 3) SELECT room, signature, CAST(n AS INT) AS n, frequency, round((total - n + 1)/pow(4, n), 6) AS expected, round(least(1, frequency/(0.1*total)), 6)::DOUBLE AS significance FROM g JOIN t USING (room) WHERE frequency > 2*(total - n + 1)/pow(4, n)")
 def _(v):
-    out = patterns.repeated_ngrams(found(v), rollups.summary(v.se, ["room"]), times=1.5, alphabet=9)
+    out = patterns.repeated_ngrams(found(v, longest=19), rollups.summary(v.se, ["room"]))
     return out.select("room", "signature", "n", "frequency", r6("expected").alias("expected"), r6("significance").alias("significance"))
 
 
@@ -75,7 +76,7 @@ def _(v):
     return chi(found(v, "room IN ('office','kitchen')"))
 
 
-@query("m09_room_patterns", SEQ.format(where="WHERE room = 'bathroom'") + "SELECT signature, count(*) AS n FROM sq GROUP BY 1 HAVING count(*) >= 2")
+@query("m09_room_patterns", SEQ.format(where="WHERE room = 'bathroom'", longest=5) + "SELECT signature, count(*) AS n FROM sq GROUP BY 1 HAVING count(*) >= 2")
 def _(v):
     return found(v, "room = 'bathroom'").groupBy("signature").agg(F.count("*").alias("n")).where("n >= 2")
 
@@ -98,8 +99,11 @@ def _(v):
     return found(v, "room = 'kitchen'").groupBy("signature").agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), "signature").limit(20)
 
 
-@query("m12_usage_patterns")
+USAGE = """ SELECT room, 'bathroom_usage' AS pattern_type, '{"hour":' || hour(ts) || ',"weekday":' || (isodow(ts) - 1) || ',"reason":"' || reason || '","occupied":' || occupied || '}' AS pattern_data, confidence, ts AS discovered_at, event_id FROM br"""
+
+
+@query("m12_usage_patterns", fold_sql.BATHROOM + USAGE)
 def _(v):
-    return patterns.pattern_rows(bathroom.bathroom_states(v.se)).withColumn("discovered_at", F.col("discovered_at").cast("timestamp_ntz"))
+    return patterns.pattern_rows(bathroom.bathroom_states(v.se)).withColumns({"discovered_at": F.col("discovered_at").cast("timestamp_ntz"), "confidence": r6("confidence")})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelark.operators import patterns
+from tidelark.plans import fold_sql
 from tidelark.plans.base import query, r6
 from tidelark.sources import fixtures, tables
 from tidelark.streaming import operators as so
@@ -78,7 +79,7 @@ def _(v):
     return plain(tables.last_write_wins(kept, ["room"], "ts").select("room", "event_id", "expires_at"), "expires_at")
 
 
-@query("t01_watermark")
+@query("t01_watermark", ", w AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM se) SELECT date_trunc('hour', ts) AS start, room, count(*) AS n FROM se, w GROUP BY 1, 2 HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= max(w)")
 def _(v):
     return plain(runner.drain(so.tumbling(stream(v, "1 hour"), "1 hour")), "start")
 
@@ -114,12 +115,16 @@ def _(v):
     return runner.drain(so.last_change_delta(stream(v))).select("event_id", r6(F.nanvl("delta_s", F.lit(None).cast("double"))).alias("delta_s"))
 
 
-@query("t08_bathroom_machine")
+@query("t08_bathroom_machine", fold_sql.BATHROOM + " SELECT * FROM br")
 def _(v):
-    return plain(runner.drain(so.bathroom_machine(stream(v))), "ts")
+    said = plain(runner.drain(so.bathroom_machine(stream(v))), "ts")
+    return said.withColumns({"confidence": r6("confidence"), "duration_s": F.round(F.nanvl("duration_s", F.lit(None).cast("double")), 3), "door_probability": r6("door_probability")})
 
 
-@query("t09_drift_alerts")
+ALERTS = fold_sql.ROWS.format(x="k/100.0", where="") + fold_sql.PAGE_HINKLEY + fold_sql.KOLMOGOROV + ", b2 AS (SELECT p.room, p.event_id, p.alarm AS page_hinkley, k.alarm AS ks, nx.sec, row_number() OVER (PARTITION BY p.room ORDER BY p.i) AS i FROM ph p JOIN ks k ON k.room = p.room AND k.i = p.i JOIN nx ON nx.room = p.room AND nx.i = p.i WHERE p.alarm OR k.alarm)" + fold_sql.COOLDOWN.format(rows="b2") + " SELECT b2.room, b2.event_id, page_hinkley, ks FROM cd JOIN b2 ON b2.room = cd.room AND b2.i = cd.i WHERE kept"
+
+
+@query("t09_drift_alerts", ALERTS)
 def _(v):
     return runner.drain(so.drift_alerts(stream(v).select("room", "event_id", "ts", (F.col("k") / 100.0).alias("x"))))
 
@@ -151,7 +156,7 @@ def _(v):
     return runner.drain(so.enriched(stream(v)).select("event_id", "merged_room", "transition", "active", "hour"))
 
 
-@query("t14_observed")
+@query("t14_observed", "SELECT event_id, room FROM se")
 def _(v):
     return runner.drain(so.counted(stream(v)).select("event_id", "room"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelark.operators import bathroom, drift, movement, occupancy, series, temporal
+from tidelark.plans import fold_sql
 from tidelark.plans.base import AS_OF, query, r6, when_is
 
 T = f"TIMESTAMP '{AS_OF}'"
@@ -105,9 +106,13 @@ def _(v):
     return movement.sequence_features(v.se.where("person is not null"), gap_s=600).select("person", "session", "length", r6("duration_s").alias("duration_s"), "rooms", "simultaneous", "fast")
 
 
-@query("w15_bathroom_machine")
+def bathroom_rows(states):
+    return states.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "confidence": r6("confidence"), "duration_s": F.round("duration_s", 3), "door_probability": r6("door_probability")})
+
+
+@query("w15_bathroom_machine", fold_sql.BATHROOM + " SELECT * FROM br")
 def _(v):
-    return bathroom.bathroom_states(v.se).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return bathroom_rows(bathroom.bathroom_states(v.se))
 
 
 @query("w16_door_probability", ", d AS (SELECT room, state = 'off' AS x, row_number() OVER (PARTITION BY room ORDER BY ts DESC, event_id DESC) - 1 AS age, count(*) OVER (PARTITION BY room) AS n FROM se WHERE sensor_type = 'door') SELECT room, any_value(n) AS n, round(sum(0.1*pow(0.9, age)*CAST(x AS INT)) + 0.5*pow(0.9, any_value(n)), 6) AS ewma FROM d GROUP BY room")
@@ -174,7 +179,7 @@ def _(v):
     return drift.page_hinkley_first(x, ["room"], ["ts", "event_id"], "x").select("room", "event_id")
 
 
-@query("w26_page_hinkley_alarms")
+@query("w26_page_hinkley_alarms", fold_sql.ROWS.format(x="k/100.0", where="") + fold_sql.PAGE_HINKLEY + " SELECT room, event_id FROM ph WHERE alarm")
 def _(v):
     x = v.se.select("room", "event_id", "ts", (F.col("k") / 100.0).alias("x"))
     return drift.folded(x, ["room"], ["ts", "event_id"], "x", drift.PageHinkley).where("alarm").select("room", "event_id")
@@ -195,19 +200,22 @@ def _(v):
     return drift.ks_blocks(x, ["room"], ["ts", "event_id"], "x").select("room", "block", r6("statistic").alias("statistic"))
 
 
-@query("w28_ks_alarms")
+@query("w28_ks_alarms", fold_sql.ROWS.format(x="k + 30*((day(ts) - 1)//7)", where="") + fold_sql.KOLMOGOROV + " SELECT room, event_id FROM ks WHERE alarm")
 def _(v):
-    x = v.se.select("entity_id", "event_id", "ts", F.col("k").cast("double").alias("x"))
-    return drift.folded(x, ["entity_id"], ["ts", "event_id"], "x", drift.KolmogorovSmirnov).where("alarm").select("entity_id", "event_id")
+    x = v.se.select("room", "event_id", "ts", (F.col("k") + 30 * F.floor((F.dayofmonth("ts") - 1) / 7)).cast("double").alias("x"))
+    return drift.folded(x, ["room"], ["ts", "event_id"], "x", drift.KolmogorovSmirnov).where("alarm").select("room", "event_id")
+
 
+COMBINED = ", al3 AS (SELECT p.room, p.event_id, p.i, p.alarm AS page_hinkley, k.alarm AS ks, a.alarm AS adwin FROM ph p JOIN ks k ON k.room = p.room AND k.i = p.i JOIN ad a ON a.room = p.room AND a.i = p.i), dr AS (SELECT *, CAST(sum(CAST(page_hinkley OR ks OR adwin AS INT)) OVER (PARTITION BY room ORDER BY i) AS BIGINT) AS drift_count FROM al3) SELECT room, event_id, page_hinkley, ks, adwin, drift_count FROM dr WHERE page_hinkley OR ks OR adwin"
 
-@query("w29_combined_drift")
+
+@query("w29_combined_drift", fold_sql.ROWS.format(x="k/100.0", where="") + fold_sql.PAGE_HINKLEY + fold_sql.KOLMOGOROV + fold_sql.ADWIN + COMBINED)
 def _(v):
     x = v.se.select("room", "event_id", "ts", (F.col("k") / 100.0).alias("x"))
     return drift.combined(x, ["room"], ["ts", "event_id"], "x").where("drift").select("room", "event_id", "page_hinkley", "ks", "adwin", "drift_count")
 
 
-@query("w30_alert_cooldown")
+@query("w30_alert_cooldown", fold_sql.ROWS.format(x="k", where="WHERE k > 90") + fold_sql.COOLDOWN.format(rows="nx") + " SELECT room, event_id FROM cd WHERE kept")
 def _(v):
     a = v.se.where("k > 90").select("room", "event_id", "ts", (temporal.micros("ts") / 1e6).alias("at"))
     return drift.folded(a, ["room"], ["at", "event_id"], "at", drift.Cooldown, "kept").where("kept").select("room", "event_id")
@@ -231,7 +239,13 @@ def _(v):
     return series.local_maxima(curve(v), ["room"], least=0.5).withColumn("accuracy", r6("accuracy"))
 
 
-@query("w32_breakpoints")
+BREAKPOINTS = CURVE + """, a AS (SELECT room, unnest(range(1, 240)) AS h FROM (SELECT DISTINCT room FROM cv) q), ip AS (SELECT a.room, a.h AS h, coalesce(max(accuracy) FILTER (cv.horizon = a.h), avg(accuracy) FILTER (abs(cv.horizon - a.h) <= 30), arg_min(accuracy*greatest(0.1, 1 - 0.2*abs(cv.horizon - a.h)/60), (abs(cv.horizon - a.h), cv.horizon)), 0.5) AS a FROM a JOIN cv USING (room) GROUP BY 1, 2),
+ b AS (SELECT *, lag(a) OVER w AS b1, lag(a, 2) OVER w AS b2, lead(a) OVER w AS f1 FROM ip WINDOW w AS (PARTITION BY room ORDER BY h)), m AS (SELECT *, coalesce(a > b1 AND a > f1 AND a > 0.6, false) AS peak, coalesce(abs((a - b1) - (b1 - b2)) > 0.1 AND a > 0.5, false) AS bend FROM b), p AS (SELECT *, count(*) FILTER (peak) OVER (PARTITION BY room) AS np FROM m),
+ c AS (SELECT room, h, a FROM p WHERE CASE WHEN np >= 2 THEN peak ELSE bend END), n AS (SELECT r.room, count(c.h) AS k, any_value(c.h) AS one FROM (SELECT DISTINCT room FROM m) r LEFT JOIN c USING (room) GROUP BY 1), d AS (SELECT m.room, m.h, m.a FROM m JOIN n USING (room) WHERE (k = 0 AND h IN (15, 120)) OR (k = 1 AND h = CASE WHEN one < 60 THEN 120 ELSE 15 END)),
+ u AS (SELECT DISTINCT room, h, a FROM (SELECT * FROM c UNION ALL SELECT * FROM d) q WHERE h BETWEEN 5 AND 240) SELECT room, CAST(h AS INT) AS horizon FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY a DESC, h) AS rn FROM u) q WHERE rn <= 3"""
+
+
+@query("w32_breakpoints", BREAKPOINTS)
 def _(v):
     return series.breakpoints(series.interpolated(curve(v), ["room"]), ["room"])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Seconds that a cached kind of value stays valid.
@@ -37,9 +36,11 @@ def recent(df: DataFrame, as_of: Column, *, minutes: float, ts: str = "ts", **ho
 
 
 def last_write_wins(df: DataFrame, keys: list[str], seq: str, defaults: dict | None = None) -> DataFrame:
-    """One row for each key: the one with the greatest ``seq``; nulls in it become the defaults."""
-    w = W.partitionBy(*keys).orderBy(F.col(seq).desc())
-    out = df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row for each key: the one with the greatest ``seq``, and of equal ones the one with the greatest hash; nulls in it become the defaults."""
+    rest = [c for c in df.columns if c not in keys]
+    plain = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
+    newest = F.max_by(F.struct(*rest), F.struct(seq, F.xxhash64(*plain)))
+    out = df.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*").select(*df.columns)
     for name, value in (defaults or {}).items():
         out = out.withColumn(name, F.coalesce(name, F.lit(value)))
     return out

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,12 +12,15 @@ from pyspark.sql import functions as F
 from tidelark.sources import fixtures
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the one that ``spark.checkpoint.dir`` names, or under our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidelark-"))
+    """A new folder under the one that ``spark.checkpoint.dir`` names; in local mode, as in tests, under the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
