@@ -60,9 +60,12 @@ def _(v):
     return patterns.negative_patterns(possible(v), found(v, "room = 'office'", 3))
 
 
-@query("m06_repeated_ngrams", SEQ.format(where="", longest=19) + ", t AS (SELECT room, count(*) AS total FROM se GROUP BY room), g AS (SELECT room, signature, n, count(*) AS frequency FROM sq GROUP BY ALL HAVING count(*) >= 3) SELECT room, signature, CAST(n AS INT) AS n, frequency, round((total - n + 1)/pow(4, n), 6) AS expected, round(least(1, frequency/(0.1*total)), 6)::DOUBLE AS significance FROM g JOIN t USING (room) WHERE frequency > 2*(total - n + 1)/pow(4, n)")
+STATES = SEQ.format(where="", longest=19).replace("sensor_type || '-' || state AS x", "state AS x")
+
+
+@query("m06_repeated_ngrams", STATES + ", t AS (SELECT room, count(*) AS total FROM se GROUP BY room), g AS (SELECT room, signature, n, count(*) AS frequency FROM sq GROUP BY ALL HAVING count(*) >= 3) SELECT room, signature, CAST(n AS INT) AS n, frequency, round((total - n + 1)/pow(4, n), 6) AS expected, round(least(1, frequency/(0.1*total)), 6)::DOUBLE AS significance FROM g JOIN t USING (room) WHERE frequency > 2*(total - n + 1)/pow(4, n)")
 def _(v):
-    out = patterns.repeated_ngrams(found(v, longest=19), rollups.summary(v.se, ["room"]))
+    out = patterns.repeated_ngrams(patterns.sequences(v.se, F.col("state"), 19), rollups.summary(v.se, ["room"]))
     return out.select("room", "signature", "n", "frequency", r6("expected").alias("expected"), r6("significance").alias("significance"))
 
 
