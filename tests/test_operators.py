@@ -255,3 +255,33 @@ def test_folds_carry_their_state_over_batches(spark):
         fold = drift.KolmogorovSmirnov()
         want |= {i: fold.add(x) for k, i, x in rows if k == key}
     assert got == want and sum(want.values()) >= 3
+
+
+def test_refit_saves_and_registers_the_rooms_that_are_due(spark, tmp_path):
+    now = dt.datetime(2024, 1, 29, 12)
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(240):
+        label = float(rng.integers(2))
+        rows.append((i, now - dt.timedelta(hours=i), ["due", "fine"][i % 2], "door", label, label, *[0.0] * (len(learning.NUMERIC) - 1)))
+    schema = "event_id long, ts timestamp_ntz, room string, sensor_type string, label double, " + ", ".join(f"{c} double" for c in learning.NUMERIC)
+    frame = spark.createDataFrame(rows, schema)
+    results = spark.createDataFrame([(room, now - dt.timedelta(minutes=m), score) for room, score in (("due", 0.2), ("fine", 0.9)) for m in range(8)], "room string, ts timestamp_ntz, accuracy_score double")
+    none = spark.createDataFrame([], "model_id string, room string, model_type string, version long, parent string, metrics double, created_at timestamp_ntz")
+    once = learning.refit(frame, results, none, now, str(tmp_path), "tree", more_than=5)
+    assert [(r.model_id, r.metrics, r.is_active) for r in once.collect()] == [("due_tree_v1", float(sum(r[2] == "due" and r[1] > now - dt.timedelta(days=7) for r in rows)), True)]
+    later = now + dt.timedelta(hours=1)
+    twice = learning.refit(frame, results, once, later, str(tmp_path), "tree", more_than=5)
+    assert {(r.model_id, r.is_active) for r in twice.collect()} == {("due_tree_v1", False), ("due_tree_v2", True)}
+    scored = learning.score({"tree": learning.load_active(twice, str(tmp_path), "due", "tree")}, frame.where("room = 'due'"))
+    assert learning.accuracy(scored, ["model_name"]).first().accuracy == 1.0
+    with pytest.raises(LookupError):
+        learning.load_active(twice, str(tmp_path), "fine", "tree")
+    nothing = learning.refit(frame, results.where("room = 'fine'"), none, now, str(tmp_path), "tree", more_than=5)
+    assert nothing.count() == 0
+
+
+def test_last_errors_are_the_newest_with_a_running_count(spark):
+    letters = spark.createDataFrame([(f"m{i}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i // 2), "malformed") for i in range(9)], "value string, arrived timestamp, reason string")
+    assert sorted((r.failed, r.value) for r in so.last_errors(letters, 3).collect()) == [(7, "m6"), (8, "m7"), (9, "m8")]
+    assert so.last_errors(letters.where("false"), 3).count() == 0

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -84,24 +89,59 @@ def needs_retraining(results: DataFrame, as_of: Column, least: float = 0.6, more
 GRID = {"forest": [{"numTrees": 5}, {"numTrees": 10, "maxDepth": 3}], "tree": [{"maxDepth": 3}, {"maxDepth": 5}], "logistic": [{"regParam": 0.01}, {"regParam": 0.1}]}
 
 
-def search(rows: DataFrame, grid=None) -> DataFrame:
-    """Validated accuracy and fit time of every configuration, on a split by time."""
-    import time
+def search(rows: DataFrame, grid=None, parallelism: int = 4) -> DataFrame:
+    """Validated accuracy and fit time of every configuration, on a split by time.
 
+    ``parallelism`` configurations are fitted at once, so a fit time includes
+    what the others took of the cluster.
+    """
     train, test = (x.persist() for x in split_by_time(rows))
-    out = []
-    for kind, settings in (grid or GRID).items():
-        for params in settings:
-            began = time.monotonic()
-            model = pipeline(kind, **params).fit(train)
-            cost = time.monotonic() - began
-            got = accuracy(score({kind: model}, test), ["model_name"]).first()
-            out.append((kind, ",".join(f"{k}={v}" for k, v in sorted(params.items())), float(got.accuracy) if got else None, cost))
+
+    def tried(kind: str, params: dict) -> tuple:
+        began = time.monotonic()
+        model = pipeline(kind, **params).fit(train)
+        cost = time.monotonic() - began
+        got = accuracy(score({kind: model}, test), ["model_name"]).first()
+        return kind, ",".join(f"{k}={v}" for k, v in sorted(params.items())), float(got.accuracy) if got else None, cost
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        runs = [pool.submit(inheritable_thread_target(rows.sparkSession)(tried), kind, params) for kind, settings in (grid or GRID).items() for params in settings]
+        out = [run.result() for run in runs]
     train.unpersist()
     test.unpersist()
     return rows.sparkSession.createDataFrame(out, "model_type string, params string, perf double, cost double")
 
 
+def model_path(folder: str, model_type: str, created_at: dt.datetime) -> str:
+    """Where a fitted pipeline is kept: one for all rooms that were fitted together, named after its kind and time."""
+    return f"{folder.rstrip('/')}/{model_type}/{created_at:%Y%m%dT%H%M%S}"
+
+
+def refit(rows: DataFrame, results: DataFrame, registry: DataFrame, as_of: dt.datetime, folder: str, kind: str = "forest", least: float = 0.6, more_than: int = 100) -> DataFrame:
+    """The registry after a refit of the rooms that ``needs_retraining`` opens.
+
+    ``rows`` are labelled; those of the last 7 days train one pipeline, which
+    is saved in ``folder`` (one that driver and executors share) and registered
+    for each of these rooms that has rows, with their number as its metrics.
+    Without such rows nothing is fitted or added.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    due = needs_retraining(results, now, least, more_than).select("room")
+    recent = within(rows, now, 7).join(due, "room", "left_semi").persist()
+    entry = recent.groupBy("room").agg(F.count("*").cast("double").alias("metrics")).select("room", F.lit(kind).alias("model_type"), "metrics", now.alias("created_at"))
+    if not recent.isEmpty():
+        pipeline(kind).fit(recent).write().overwrite().save(model_path(folder, kind, as_of))
+    return register(registry, entry)
+
+
+def load_active(registry: DataFrame, folder: str, room: str, model_type: str) -> PipelineModel:
+    """The pipeline of the registry's active version."""
+    active = registry.where((F.col("room") == room) & (F.col("model_type") == model_type) & F.col("is_active")).select("created_at").first()
+    if active is None:
+        raise LookupError(f"no active {model_type} model for {room}")
+    return PipelineModel.load(model_path(folder, model_type, active.created_at))
+
+
 def register(registry: DataFrame, entry: DataFrame) -> DataFrame:
     """Appends entries (room, model_type, metrics, created_at) with the next version of each and makes them the active ones."""
     newest = registry.groupBy("room", "model_type").agg(F.max("version").alias("_v"))

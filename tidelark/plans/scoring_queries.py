@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidelark.operators import learning, occupancy, ranking, rollups, scoring, series
 from tidelark.plans.aggregate_queries import CONFUSION, EV, rounded
 from tidelark.plans.base import AS_OF, query, r6, when_is
 from tidelark.sources import tables
+from tidelark.streaming import runner
 
 T = f"TIMESTAMP '{AS_OF}'"
 #: Three models' probabilities for every occupancy row.
@@ -135,7 +138,7 @@ def _(v):
     out = None
     for h in (15, 120):
         train, test = learning.split_by_time(rows.where(F.col("horizon_minutes") == h))
-        got = learning.accuracy(learning.score(learning.fit_ensemble(train, ("tree",)), test), ["horizon_minutes", "model_name"])
+        got = learning.accuracy(learning.score(learning.fit_ensemble(train), test), ["horizon_minutes", "model_name"])
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -145,6 +148,17 @@ def _(v):
     return rounded(learning.needs_retraining(v.res, when_is(), more_than=5), "accuracy")
 
 
+@query("e18_refit", f", q AS (SELECT room FROM res WHERE ts > {T} - INTERVAL 7 DAY AND ts <= {T} GROUP BY room HAVING count(*) > 5 AND avg(accuracy_score) FILTER (ts > {T} - INTERVAL 1 DAY) < 0.6), x AS (SELECT max(ts) AS e FROM oc), l AS (SELECT s.room, o.occupied FROM se s ASOF JOIN oc o ON o.room = s.room AND s.ts + INTERVAL 15 MINUTE >= o.ts CROSS JOIN x WHERE s.ts + INTERVAL 15 MINUTE <= x.e AND s.ts > {T} - INTERVAL 7 DAY AND s.ts <= {T}) SELECT room || '_tree_v1' AS model_id, count(*)::DOUBLE AS n_rows, true AS is_active, true AS loads FROM l WHERE room IN (SELECT room FROM q) GROUP BY room")
+def _(v):
+    now, folder = dt.datetime.fromisoformat(AS_OF), runner.folder(v.spark)
+    empty = v.spark.createDataFrame([], "model_id string, room string, model_type string, version long, parent string, metrics double, created_at timestamp_ntz")
+    rows = learning.labelled(v.se, v.oc, [15])
+    kept = learning.refit(rows, v.res, empty, now, folder, "tree", more_than=5)
+    one = kept.where("is_active").select("room").first()
+    loads = one is not None and not learning.score({"tree": learning.load_active(kept, folder, one.room, "tree")}, rows).isEmpty()
+    return kept.select("model_id", F.col("metrics").alias("n_rows"), "is_active", F.lit(loads).alias("loads"))
+
+
 @query("e19_search")
 def _(v):
     return learning.search(learning.labelled(v.se, v.oc, [15]), {"tree": [{"maxDepth": 2}, {"maxDepth": 4}], "logistic": [{"regParam": 0.1}]}).select("model_type", "params", "perf")

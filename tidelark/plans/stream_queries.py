@@ -22,12 +22,12 @@ def plain(df, *times):
     return df.withColumns({t: F.col(t).cast(NTZ) for t in times})
 
 
-def raw(v):
-    """Events as JSON messages; one in ten cut short and one in ten without its id."""
-    e = stream(v).select("event_id", F.col("ts").cast("string").alias("ts"), "entity_id", "state", "room", "sensor_type", "attributes")
+def raw(v, *brought):
+    """Events as JSON messages; one in ten cut short and one in ten without its id. They can bring the time they ``arrived``."""
+    said = ["event_id", F.col("ts").cast("string").alias("ts"), "entity_id", "state", "room", "sensor_type", "attributes"]
     k, t = F.col("event_id") % 10, F.col("t")
-    e = e.withColumn("t", F.to_json(F.struct(*e.columns)))
-    return e.select(F.when(k == 0, F.substring(t, 1, 20)).when(k == 1, F.regexp_replace(t, '"event_id":[0-9]+,', "")).otherwise(t).alias("value"))
+    e = stream(v).select("event_id", F.col("ts").alias("arrived"), F.to_json(F.struct(*said)).alias("t"))
+    return e.select(*brought, F.when(k == 0, F.substring(t, 1, 20)).when(k == 1, F.regexp_replace(t, '"event_id":[0-9]+,', "")).otherwise(t).alias("value"))
 
 
 @query("s05_event_messages", "SELECT event_id, ts, entity_id, state FROM se WHERE event_id % 10 > 1")
@@ -53,6 +53,12 @@ def _(v):
     return runner.drain(so.dead_letters(so.parsed(raw(v), so.EVENT))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query("s08_last_errors", ", d AS (SELECT ts AS arrived, CASE event_id % 10 WHEN 0 THEN 'malformed' ELSE 'missing event_id' END AS reason, row_number() OVER (ORDER BY ts, event_id) AS failed FROM se WHERE event_id % 10 < 2) SELECT arrived, reason, failed FROM d ORDER BY failed DESC LIMIT 100")
+def _(v):
+    letters = runner.drain(so.dead_letters(so.parsed(raw(v, "arrived"), so.EVENT)))
+    return plain(so.last_errors(letters).select("arrived", "reason", F.col("failed").cast("long").alias("failed")), "arrived")
+
+
 @query("s09_keyed_messages", "SELECT room AS key, event_id, state FROM se")
 def _(v):
     sent = runner.drain(so.messages(stream(v).select("event_id", "ts", "room", "state")))
@@ -161,6 +167,15 @@ def _(v):
     return runner.drain(so.counted(stream(v)).select("event_id", "room"))
 
 
+@query("t14_processing_stats", "SELECT count(*) AS processed, count(*) FILTER (state IS NULL) AS failed, max(ts) AS \"last\" FROM se")
+def _(v):
+    seen: list[dict] = []
+    runner.drain(so.counted(stream(v)).select("event_id", "room"), observed=seen)
+    triggers = [m["processed"] for m in seen if "processed" in m]
+    rows = v.spark.createDataFrame([(m["processed"], m["failed"], m["last"]) for m in triggers], "processed long, failed long, last string")
+    return rows.agg(F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.max("last").cast(NTZ).alias("last"))
+
+
 @query("t15_overlapping_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id FROM r, (SELECT unnest(range(0, 5000)) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99 GROUP BY ALL")
 def _(v):
     return patterns.overlapping_blocks(v.se).groupBy("room", "block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))

@@ -8,6 +8,7 @@ from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,7 +24,8 @@ ANOMALY = "event_id long, ts string, room string, anomaly_type string, anomaly_s
 def parsed(raw: DataFrame, schema: str) -> DataFrame:
     """JSON values as columns, with ts as event time; what doesn't parse keeps its text in _corrupt_record."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    rows = raw.select("value", F.from_json("value", f"{schema}, _corrupt_record string", options).alias("m")).select("value", "m.*")
+    brought = [c for c in ("value", "arrived") if c in raw.columns]
+    rows = raw.select(*brought, F.from_json("value", f"{schema}, _corrupt_record string", options).alias("m")).select(*brought, "m.*")
     return rows.withColumn("ts", F.try_to_timestamp("ts"))
 
 
@@ -35,11 +37,19 @@ def good(rows: DataFrame, required: tuple[str, ...] = ("event_id", "ts")) -> Dat
 
 
 def dead_letters(rows: DataFrame, required: tuple[str, ...] = ("event_id", "ts")) -> DataFrame:
-    """Rejected values with the reason."""
+    """Rejected values with the reason, and when they arrived if the messages say so."""
     reason = F.when(F.col("_corrupt_record").isNotNull(), "malformed")
     for c in required:
         reason = reason.when(F.col(c).isNull(), f"missing {c}")
-    return rows.select("value", reason.alias("reason")).where("reason is not null")
+    brought = [c for c in ("value", "arrived") if c in rows.columns]
+    return rows.select(*brought, reason.alias("reason")).where("reason is not null")
+
+
+def last_errors(letters: DataFrame, n: int = 100) -> DataFrame:
+    """The last n rejected messages by arrival, each with ``failed``, the count of all rejected up to it."""
+    newest = [F.desc("arrived"), F.desc("value")]
+    last = letters.orderBy(*newest).limit(n)
+    return last.withColumn("failed", F.lit(letters.count()) + 1 - F.row_number().over(W.orderBy(*newest)))  # over n rows
 
 
 def messages(events: DataFrame, key: str = "room") -> DataFrame:
@@ -186,5 +196,5 @@ def cache_latest(path: str, keys: list[str], kind: str):
 
 
 def counted(events: DataFrame, name: str = "processed") -> DataFrame:
-    """Events with observed metrics: processed, failed, and the last time, for a listener or the query's progress."""
-    return events.observe(name, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("state").isNull()).alias("failed"), F.max("ts").alias("last"))
+    """Events with observed metrics: processed, failed, and the last time as text, for a listener or the query's progress."""
+    return events.observe(name, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("state").isNull()).alias("failed"), F.max("ts").cast("string").alias("last"))

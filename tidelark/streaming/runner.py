@@ -53,9 +53,12 @@ def rocks(spark: SparkSession):
         spark.conf.set(key, was)
 
 
-def drain(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, timeout_s: int = 600) -> DataFrame:
+def drain(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, timeout_s: int = 600, observed: list[dict] | None = None) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote.
 
+    Each trigger's observed metrics, by name, are appended to ``observed``;
+    Spark remembers ``spark.sql.streaming.numRecentProgressUpdates`` triggers.
+
     ``append`` goes to a Parquet sink with exactly-once commits; ``complete``
     and ``update`` go through foreachBatch to a folder for each batch, and the
     result is the last batch of ``complete``, or all rows of ``update``.
@@ -79,6 +82,8 @@ def drain(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int],
             raise TimeoutError("the stream didn't end")
     if query.exception():
         raise query.exception()
+    if observed is not None:
+        observed.extend(p.observedMetrics for p in query.recentProgress)
     if each is not None:
         return spark.range(0)
     if mode == "append":
