@@ -108,6 +108,16 @@ def test_groups(spark):
     assert got == group
 
 
+def test_copies_go_at_the_end_of_their_scope(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(frames, "shared_folder", lambda spark: str(tmp_path))
+    outer = frames.keep(spark.range(3))
+    with frames.temporary(spark):
+        frames.linked_groups(frames.keep(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long")))
+        mine = frames.keep(spark.range(5), of=[])
+    assert len(list((tmp_path / "tidelark").iterdir())) == 2
+    assert (outer.count(), mine.count()) == (3, 5)
+
+
 def test_planted_secrets_are_learnt(spark):
     """Held-out accuracy: keys that the patterns miss, some of them unlabelled in the sample itself."""
     rng = np.random.default_rng(6)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of the copies made inside the innermost ``temporary``.
+_copies: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("copies", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return modest_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,10 +34,12 @@ def keep(df: DataFrame, *, of: list[str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     The copy cuts the lineage, survives a lost executor and has a true size.
-    Its path is appended to ``of``.
+    Its path is appended to ``of``; without that, an enclosing ``temporary``
+    deletes it.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidelark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    of = _copies.get() if of is None else of
     if of is not None:
         of.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -44,6 +51,19 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Copies that operators keep inside are deleted at the end, so what they return has to be written before that."""
+    paths: list[str] = []
+    token = _copies.set(paths)
+    try:
+        yield
+    finally:
+        _copies.reset(token)
+        for path in paths:
+            discard(spark, path)
+
+
 def sampled(docs: DataFrame, rows: int) -> DataFrame:
     """docs with ``sample``: true for about ``rows`` of its rows, all of a smaller table.
 
@@ -65,17 +85,25 @@ def modest_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node u has a single edge to a v that has none itself; v is less than u."""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaves"), F.lit(0).alias("enters")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("leaves"), F.lit(1).alias("enters")))
+    return roles.groupBy("node").agg(F.sum("leaves").alias("leaves"), F.max("enters").alias("enters")).where("leaves > 1 or leaves = 1 and enters = 1").isEmpty()
+
+
 def linked_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) of every node that an edge touches; root is the least node of its group.
 
-    Alternates two local steps until no edge changes: every node's greater
-    neighbours go to its least neighbour, then its lesser ones do.  An edge
+    Alternates two local steps until every edge leads from a node to its
+    group's least one: every node's greater neighbours go to its least
+    neighbour, then its lesser ones do.  An edge
     set is never larger than the one before, and is kept in the shared folder.
     """
     paths: list[str] = []
     now = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), of=paths)
-    was = None
     for _ in range(rounds):
+        if _all_stars(now):
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         extra: list[str] = []  # as tables, so that Spark can split a hot node's rows in the joins
         least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), of=extra)
@@ -87,11 +115,9 @@ def linked_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60
         now = keep(now, of=paths)
         for path in (paths.pop(0), *extra):
             discard(now.sparkSession, path)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == was:
-            break
-        was = mark
     else:
         raise RuntimeError(f"groups not found in {rounds} rounds")
+    if (outer := _copies.get()) is not None:
+        outer += paths
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

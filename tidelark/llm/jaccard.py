@@ -6,7 +6,7 @@ texts are tied to its least one, which gives clusters outside of which no pair
 shares a band.  Every cluster's texts are shuffled once and compared on their
 full n-gram sets.  A large cluster is dealt out by hash in blocks, and each
 pair of blocks is its own task, so no task holds more than two blocks.  Tasks
-return counts of links and a spanning forest, never pairs.
+return counts of links and each text's least linked one, never pairs.
 """
 
 from __future__ import annotations
@@ -87,8 +87,11 @@ def _intersections(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, n
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Which of the given pairs of numbers are enough to join the same groups as all do."""
+def _stars(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """(row, row of the group's least id) of every other row that the pairs (a, b) of row numbers join to it."""
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -97,13 +100,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for x, y in zip(rank[a].tolist(), rank[b].tolist(), strict=True):
         p, q = top(x), top(y)
         if p != q:
             up[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    return order[np.array([(x, top(x)) for x in list(up) if top(x) != x], np.int64).reshape(-1, 2)]
 
 
 FOUND = "doc_id long, row long, n_links long, to_doc long, to_row long"
@@ -131,7 +132,7 @@ def _compare(n: int, least: float):
         links = np.concatenate([alike.sum(1), [] if own else alike.sum(0)]).astype(np.int64)
         ids = id_a if own else np.concatenate([id_a, id_b])
         i, j = np.nonzero(np.triu(alike) if own else alike)
-        tree = np.array(_forest(i, j if own else j + len(id_a)), np.int64).reshape(-1, 2)
+        tree = _stars(i, j if own else j + len(id_a), ids)
         some = np.flatnonzero(links)
         left = np.concatenate([ids[some], ids[tree[:, 0]]])
         count = np.concatenate([links[some], np.zeros(len(tree), np.int64)])
