@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelark.llm import decontaminate, jaccard, lines, packing, quality
-from tidelark.llm.frames import keep, table
+from tidelark.llm.frames import discard, keep, table, temporary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces.  What a stage kept for itself, and its input, go from the shared folder once its result is written."""
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
+        with temporary(spark):
+            docs = keep(stage(spark, docs, sf_dir), of=written)
+        for path in written[:-1]:
+            discard(spark, path)
+        del written[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
