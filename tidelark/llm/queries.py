@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, jaccard, languages, lines, oracle, packing, personal, quality, secrets, substrings
+from . import decontaminate, extract, jaccard, languages, lines, negatives, oracle, packing, personal, quality, secrets, sharding, substrings, turns
 from .frames import table
 
 
@@ -70,5 +70,20 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_language_id": op2_language_id, "op3_secret_scans": op3_secret_scans, "op4_line_dedup": op4_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op9_html_extraction": op9_html_extraction, "op10_decontamination": op10_decontamination}
-ORACLE_SQL = {"op1_substring_dedup": oracle.OP1, "op6_ngram_jaccard": oracle.OP6, "op10_decontamination": oracle.OP10}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damaged(rows), rows.select("conv_id"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_language_id": op2_language_id, "op3_secret_scans": op3_secret_scans, "op4_line_dedup": op4_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_personal_data": op7_personal_data, "op8_best_fit_packing": op8_best_fit_packing, "op9_html_extraction": op9_html_extraction, "op10_decontamination": op10_decontamination, "op11_conversation_repair": op11_conversation_repair, "op12_sharding": op12_sharding, "op13_hard_negatives": op13_hard_negatives}
+ORACLE_SQL = {"op1_substring_dedup": oracle.OP1, "op6_ngram_jaccard": oracle.OP6, "op10_decontamination": oracle.OP10, "op11_conversation_repair": oracle.OP11, "op12_sharding": oracle.OP12, "op13_hard_negatives": oracle.OP13}
