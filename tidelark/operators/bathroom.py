@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidelark.operators.folds import in_order
 
 RESULT = "event_id long, room string, ts timestamp, occupied boolean, confidence double, reason string, duration_s double, door_probability double"
 
@@ -26,19 +29,25 @@ class Machine:
     door_closed: bool = False
     triggered: bool = False
     door_probability: float = 0.5
-    sums: list[float] = field(default_factory=lambda: [0.0] * 24)
+    #: Microseconds and number of the stays that ended in each hour; whole numbers, so that their sums don't depend on the order.
+    sums: list[int] = field(default_factory=lambda: [0] * 24)
     counts: list[int] = field(default_factory=lambda: [0] * 24)
 
     def typical(self, hour: int) -> float:
-        return self.sums[hour] / self.counts[hour] if self.counts[hour] > 3 else default_duration(hour)
+        return self.sums[hour] / self.counts[hour] / 1e6 if self.counts[hour] > 3 else default_duration(hour)
 
     def _leave(self, at: float, hour: int) -> float:
         spent = at - self.entered
         self.occupied = self.triggered = False
-        self.sums[hour] += spent
+        self.sums[hour] += round(spent * 1e6)
         self.counts[hour] += 1
         return spent
 
+    def carried(self, entry: Machine, exit: Machine) -> Machine:
+        """Where rows that led from entry to exit lead from here, if every decision stays: the stays learned are added up."""
+        moved = lambda name: [a + (c - b) for a, b, c in zip(getattr(self, name), getattr(entry, name), getattr(exit, name), strict=True)]
+        return replace(exit, sums=moved("sums"), counts=moved("counts"), entered=self.entered if exit.entered == entry.entered else exit.entered)
+
     def step(self, at: float, hour: int, sensor: str, state: str):
         if sensor == "entrance":
             if state in ("on", "detected"):
@@ -74,21 +83,12 @@ def results(machine: Machine, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["event_id", "room", "ts", "occupied", "confidence", "reason", "duration_s", "door_probability"])
 
 
-def bathroom_states(events: DataFrame, keys: tuple[str, ...] = ("room",), door_closed_state: str = "off") -> DataFrame:
+def bathroom_states(events: DataFrame, keys: tuple[str, ...] = ("room",), door_closed_state: str = "off", **how) -> DataFrame:
     """Rows of RESULT for each event that the machine answers.
 
-    A key's rows are one task's, in order; at scale the key is (home, room).
-    They pass through in batches, and only the machine's state is held.
+    A key's chunks of rows are run at once (``folds.in_order``, which takes ``how``): what the machine has learned of
+    stays moves few of its decisions, so the states that chunks begin with settle in a few rounds.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, machine = None, Machine(door_closed_state)
-        for rows in batches:
-            for key, part in rows.groupby(list(keys), sort=False, dropna=False):
-                key = [None if pd.isna(k) else k for k in key]
-                if key != now:
-                    now, machine = key, Machine(door_closed_state)
-                yield results(machine, part)
-
-    some = events.where("sensor_type IN ('entrance', 'door')").selectExpr("event_id", *keys, *([] if "room" in keys else ["room"]), "cast(ts as timestamp) ts", "sensor_type", "state")
-    return some.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id").mapInPandas(run, RESULT)
+    columns = list(dict.fromkeys(["ts", "event_id", *keys, "room", "sensor_type", "state"]))
+    some = events.where("sensor_type IN ('entrance', 'door')").withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
+    return in_order(some, list(keys), ["ts", "event_id"], partial(Machine, door_closed_state), results, RESULT, **how)

@@ -1,21 +1,24 @@
 """Drift detection: sums and windows where the rule allows it, folds where it starts anew after an alarm.
 
 The folds keep a small state for a key and take rows in order, so the batch
-form (``folded``) and the streaming form share them.
+form (``folded``, many buckets of a key at once) and the streaming form share them.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelark.operators.folds import in_order
+from tidelark.operators.segments import DAY, count, first, greatest, least, numbered, row_frame, running, total
+from tidelark.sources.tables import kept
+
 
 @dataclass
 class PageHinkley:
@@ -83,57 +86,50 @@ class Cooldown:
         return True
 
 
-def folded(df: DataFrame, keys: list[str], order: list[str], value: str, make: Callable, out: str = "alarm") -> DataFrame:
+def folded(df: DataFrame, keys: list[str], order: list[str], value: str, make: Callable, out: str = "alarm", **how) -> DataFrame:
     """Feeds each key's rows in order to make().add and adds its answer.
 
-    A key's rows are one task's, as the fold needs, but they pass through it in
-    batches of sorted rows: only the fold's own state is held.
+    A key's chunks of rows are folded at once (``folds.in_order``, which takes ``how``), so one key isn't one task's work.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {out} boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for rows in batches:
-            said = []
-            for *key, x in rows[[*keys, value]].itertuples(index=False, name=None):
-                key = [None if pd.isna(k) else k for k in key]
-                if state is None or key != now:
-                    now, state = key, make()
-                said.append(state.add(float(x)))
-            rows[out] = said
-            yield rows
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
-def page_hinkley_first(df: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.05, limit: float = 50.0) -> DataFrame:
-    """Order columns of each key's first alarm, from running sums and extremes alone."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    rows = df.withColumn("_n", F.row_number().over(w)).where("_n > 1")
-    rows = rows.withColumn("_p", F.sum(F.col(value) - delta).over(so_far)).withColumn("_q", F.sum(F.col(value) + delta).over(so_far))
-    rows = rows.withColumn("_mn", F.least(F.lit(0.0), F.min("_p").over(so_far))).withColumn("_mx", F.greatest(F.lit(0.0), F.max("_q").over(so_far)))
-    alarms = rows.where((F.col("_p") - F.col("_mn") > limit) | (F.col("_mx") - F.col("_q") > limit))
+    def feed(state, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(**{out: [state.add(float(x)) for x in rows[value]]})
+
+    return in_order(df, keys, order, make, feed, schema, **how)
+
+
+def page_hinkley_first(df: DataFrame, keys: list[str], order: list[str], value: str, delta: float = 0.05, limit: float = 50.0, bucket_s: float = DAY) -> DataFrame:
+    """Order columns of each key's first alarm.
+
+    Up to the first alarm, the statistics are a max-plus map of what came before: a bucket is summed up by its
+    sum and its least and greatest running sum, and what earlier buckets add up to is carried in.
+    """
+    sums = {"_p": total(F.col(value) - delta), "_q": total(F.col(value) + delta)}
+    rows = kept(numbered(df, keys, order, bucket_s=bucket_s).where("_n > 1"))
+    rows = kept(running(rows, keys, order, sums, bucket_s=bucket_s))
+    rows = running(rows, keys, order, {"_mn": least("_p"), "_mx": greatest("_q")}, bucket_s=bucket_s)
+    alarms = rows.where((F.col("_p") - F.least(F.lit(0.0), "_mn") > limit) | (F.greatest(F.lit(0.0), "_mx") - F.col("_q") > limit))
     return alarms.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_f")).select(*keys, "_f.*")
 
 
-def adwin(df: DataFrame, keys: list[str], order: list[str], value: str, half: int = 25, most: int = 1000, spread: float = 3.0) -> DataFrame:
+def adwin(df: DataFrame, keys: list[str], order: list[str], value: str, half: int = 25, most: int = 1000, spread: float = 3.0, bucket_s: float = DAY) -> DataFrame:
     """Adds buffer, its length, and drift: the two newest stretches of ``half`` rows differ by more than spread * std of the buffer.
 
     The buffer holds all rows up to ``most``; one more drops its older half, so
     its length is a function of the row number and its variance a difference of prefix sums,
     of values less the key's first one, so that large values don't cancel.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    n = F.row_number().over(w)
     keep = most + 1 - (most + 1) // 2
-    rows = df.withColumn("_n", n).withColumn("_x", F.col(value) - F.first(value).over(so_far))
-    rows = rows.withColumn("_s", F.sum("_x").over(so_far)).withColumn("_q", F.sum(F.pow("_x", 2)).over(so_far))
+    rows = running(df, keys, order, {"_n": count(), "_f": first(value, order)}, bucket_s=bucket_s).withColumn("_x", F.col(value) - F.col("_f"))
+    rows = kept(running(rows, keys, order, {"_s": total("_x"), "_q": total(F.pow("_x", F.lit(2)))}, bucket_s=bucket_s))
+    before = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_n") + 1).alias("_at"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
+    rows = row_frame(rows, keys, order, 2 * half - 1, 0, {"_a": (F.avg(value), 1 - half, 0), "_b": (F.avg(value), 1 - 2 * half, -half)}, bucket_s=bucket_s)
     rows = rows.withColumn("buffer", F.when(F.col("_n") <= most, F.col("_n")).otherwise(keep + (F.col("_n") - most - 1) % (most + 1 - keep)))
-    rows = rows.withColumn("_a", F.avg(value).over(w.rowsBetween(-(half - 1), 0))).withColumn("_b", F.avg(value).over(w.rowsBetween(-(2 * half - 1), -half)))
-    before = rows.select(*keys, (F.col("_n") + 1).alias("_from"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
-    joined = rows.withColumn("_from", F.col("_n") - F.col("buffer") + 1).join(before.hint("merge"), [*keys, "_from"], "left").na.fill(0.0, ["_s0", "_q0"])
+    on = F.col("_n") - F.col("buffer") + 1 == F.col("_at")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(before.hint("merge"), on, "left").na.fill(0.0, ["_s0", "_q0"])
     mean = (F.col("_s") - F.col("_s0")) / F.col("buffer")
     var = F.greatest(F.lit(0.0), (F.col("_q") - F.col("_q0")) / F.col("buffer") - mean * mean)
     drift = (F.col("buffer") >= 2 * half) & (F.abs(F.col("_a") - F.col("_b")) > spread * F.sqrt(var))
@@ -142,11 +138,10 @@ def adwin(df: DataFrame, keys: list[str], order: list[str], value: str, half: in
 
 def ks_blocks(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 100) -> DataFrame:
     """D between each full block of ``size`` rows and the block before it, evaluated at the earlier block's points."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("block", F.floor((F.row_number().over(w) - 1) / size))
+    rows = numbered(df, keys, order).withColumn("block", F.floor((F.col("_n") - 1) / size))
     full = rows.groupBy(*keys, "block").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(value)).alias("_v")).where(F.col("_n") == size)
     nxt = full.select(*keys, (F.col("block") - 1).alias("block"), F.col("_v").alias("_c"))
-    pairs = full.join(nxt, [*keys, "block"])
+    pairs = full.join(nxt.hint("merge"), [*keys, "block"])
     d = F.array_max(F.transform("_v", lambda x, i: F.abs((i + 1) / size - F.size(F.filter("_c", lambda y: y <= x)) / size)))
     limit = 1.36 * (2 / size) ** 0.5
     return pairs.select(*keys, (F.col("block") + 1).alias("block"), d.alias("statistic"), (1 - d).alias("one_minus_d"), (d > limit).alias("drift"))
@@ -155,15 +150,15 @@ def ks_blocks(df: DataFrame, keys: list[str], order: list[str], value: str, size
 def combined(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Adds page_hinkley, adwin, ks, drift (any of them) and the running count of drifts."""
     out = folded(df, keys, order, value, PageHinkley, "page_hinkley")
-    out = folded(out, keys, order, value, KolmogorovSmirnov, "ks")
+    out = kept(folded(out, keys, order, value, KolmogorovSmirnov, "ks"))
     out = adwin(out, keys, order, value).withColumnRenamed("drift", "adwin").drop("buffer")
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return out.withColumn("drift", F.col("page_hinkley") | F.col("ks") | F.col("adwin")).withColumn("drift_count", F.sum(F.col("drift").cast("int")).over(w))
+    out = kept(out.withColumn("drift", F.col("page_hinkley") | F.col("ks") | F.col("adwin")))
+    return running(out, keys, order, {"drift_count": total(F.col("drift").cast("int"))})
 
 
 def system_alerts(alerts: DataFrame, room: str = "room", hour_s: int = 3600, more_than: int = 3, **how) -> DataFrame:
     """Alerts with more than ``more_than`` in the trailing hour, with the distinct rooms among them."""
     from tidelark.operators.temporal import nearby
 
-    found = nearby(alerts, hour_s, 0, {"n_alerts": lambda w: F.count(F.lit(1)).over(w), "_rooms": lambda w: F.collect_set(room).over(w)}, bucket_s=4 * hour_s, **how)
+    found = nearby(alerts, hour_s, 0, {"n_alerts": lambda w: F.count(F.lit(1)).over(w), "_rooms": lambda w: F.collect_set(room).over(w)}, **how)
     return found.where(F.col("n_alerts") > more_than).withColumn("rooms", F.sort_array("_rooms")).drop("_rooms")

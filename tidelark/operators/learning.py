@@ -26,8 +26,8 @@ def feature_vector(events: DataFrame) -> DataFrame:
     """The flat features of every event, without nulls."""
     out = temporal.lagged(events, ["entity_id"], "ts", [1])
     out = out.withColumn("delta_s", temporal.seconds_between("ts", "ts_lag_1")).drop("ts_lag_1")
-    out = temporal.trailing_count(out, ["room"], 1800, "room_30m")
-    out = temporal.trailing_count(out, ["sensor_type"], 1800, "type_30m")
+    one = lambda w: F.count(F.lit(1)).over(w)
+    out = temporal.nearby(out, 1800, 0, {"room_30m": (one, ("room",)), "type_30m": (one, ("sensor_type",))})
     out = movement.concurrent_counts(out)
     out = out.join(movement.zone_coverage(events), "room", "left")
     zone = {"is_full_zone": (F.col("zone_type") == "full").cast("int"), "is_subzone": (F.col("zone_type") == "subzone").cast("int")}

@@ -26,10 +26,8 @@ def least_seconds(a: str | Column, b: str | Column, pairs, default: float | None
 def concurrent_counts(events: DataFrame, within_s: float = 5) -> DataFrame:
     """Adds concurrent, events of other entities within ``within_s`` on either side, and cross_room, those of other rooms."""
     count = lambda w: F.count(F.lit(1)).over(w)
-    all_of = nearby(events, within_s, within_s, {"_all": count})
-    same = nearby(all_of, within_s, within_s, {"_entity": count}, keys=("entity_id",))
-    room = nearby(same, within_s, within_s, {"_room": count}, keys=("room",))
-    return room.select(*events.columns, (F.col("_all") - F.col("_entity")).alias("concurrent"), (F.col("_all") - F.col("_room")).alias("cross_room"))
+    near = nearby(events, within_s, within_s, {"_all": count, "_entity": (count, ("entity_id",)), "_room": (count, ("room",))})
+    return near.select(*events.columns, (F.col("_all") - F.col("_entity")).alias("concurrent"), (F.col("_all") - F.col("_room")).alias("cross_room"))
 
 
 def concurrent_entities(events: DataFrame, within_s: float = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelark.operators.segments import numbered, row_frame
 from tidelark.operators.temporal import SECOND, micros
 
 #: Minutes of time windows that are not whole hours, besides the first sixty.
@@ -20,8 +21,8 @@ def token(*columns: str) -> Column:
 
 def sequences(events: DataFrame, item: Column, longest: int = 5, shortest: int = 2, keys: tuple[str, ...] = ("room",)) -> DataFrame:
     """Each contiguous sequence of shortest..longest events of a key: signature, n, start_ts, span_s."""
-    w = W.partitionBy(*keys).orderBy("ts", "event_id").rowsBetween(0, longest - 1)
-    rows = events.select(*keys, "ts", "event_id", F.collect_list(F.struct(micros("ts").alias("t"), item.alias("x"))).over(w).alias("_s"))
+    steps = events.select(*keys, "ts", "event_id", F.struct(micros("ts").alias("t"), item.alias("x")).alias("_x"))
+    rows = row_frame(steps, list(keys), ["ts", "event_id"], 0, longest - 1, {"_s": F.collect_list("_x")})
     rows = rows.where(F.size("_s") >= shortest).withColumn("n", F.explode(F.sequence(F.lit(shortest), F.size("_s"))))
     part = F.slice("_s", 1, F.col("n"))
     span = (F.element_at(part, -1)["t"] - F.element_at(part, 1)["t"]) / SECOND
@@ -93,8 +94,7 @@ def daily_sessions(events: DataFrame, item: Column) -> DataFrame:
 
 def overlapping_blocks(events: DataFrame, keys: tuple[str, ...] = ("room",), size: int = 100, step: int = 50) -> DataFrame:
     """Events dealt to windows of ``size`` rows that start every ``step`` rows."""
-    w = W.partitionBy(*keys).orderBy("ts", "event_id")
-    rows = events.withColumn("_i", F.row_number().over(w) - 1)
+    rows = numbered(events, list(keys), ["ts", "event_id"]).withColumn("_i", F.col("_n") - 1).drop("_n")
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (size - 1)) / step)).cast("int")
     return rows.withColumn("block", F.explode(F.sequence(first, F.floor(F.col("_i") / step).cast("int")))).drop("_i")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelark.operators.rollups import correlation, within
+from tidelark.operators.segments import row_frame
 from tidelark.operators.temporal import micros
 
 
@@ -48,7 +49,7 @@ def contributions(scores: DataFrame, weights: DataFrame) -> DataFrame:
 def prequential(history: DataFrame, keys: list[str], order: list[str], rows: int = 1000) -> DataFrame:
     """Adds the rolling share of right classes, at 0.5."""
     right = ((F.col("p") > 0.5) == F.col("y")).cast("double")
-    return history.withColumn("rolling_accuracy", F.avg(right).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0)))
+    return row_frame(history, keys, order, rows - 1, 0, {"rolling_accuracy": F.avg(right)})
 
 
 def health(latest: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelark.operators.segments import count, row_frame, running, total
+
 
 def _ordered(keys, order):
     return W.partitionBy(*keys).orderBy(*order)
@@ -13,8 +15,7 @@ def _ordered(keys, order):
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], rows: int, outputs: dict[str, Column]) -> DataFrame:
     """Adds aggregates over the last ``rows`` rows of the key, the row included."""
-    w = _ordered(keys, order).rowsBetween(-(rows - 1), 0)
-    return df.select("*", *[c.over(w).alias(n) for n, c in outputs.items()])
+    return row_frame(df, keys, order, rows - 1, 0, outputs)
 
 
 def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -60,17 +61,18 @@ def recently_bad(df: DataFrame, keys, order, value, n: int = 5, least: float = 0
 
 
 def z_outliers(df: DataFrame, keys, order, value, rows: int = 10, most: float = 2.0, least_rows: int = 3) -> DataFrame:
-    w = _ordered(keys, order)
-    near = w.rowsBetween(-(rows - 1), 0)
-    mean, std, n = F.avg(value).over(near), F.stddev_pop(value).over(near), F.count(value).over(w.rowsBetween(W.unboundedPreceding, 0))
-    z = F.when(std > 0, (F.col(value) - mean) / std).otherwise(0.0)
-    return df.withColumn("z", z).withColumn("outlier", (n < least_rows) | (F.abs("z") > most))
+    """Adds z against the last ``rows`` rows, and outlier: beyond ``most``, or of a key's first ``least_rows`` - 1 values."""
+    if least_rows > rows:
+        raise ValueError("least_rows is counted inside the frame")
+    near = rolling(df, keys, order, rows, {"_m": F.avg(value), "_s": F.stddev_pop(value), "_c": F.count(value)})
+    z = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)
+    return near.withColumn("z", z).withColumn("outlier", (F.col("_c") < least_rows) | (F.abs("z") > most)).drop("_m", "_s", "_c")
 
 
 def prior_deviation(df: DataFrame, keys, order, value, std: float = 1.0, most: float = 2.0, least_rows: int = 10) -> DataFrame:
-    before = _ordered(keys, order).rowsBetween(W.unboundedPreceding, -1)
-    mean, n = F.avg(value).over(before), F.count(value).over(before)
-    return df.withColumn("prior_mean", mean).withColumn("anomalous", (n >= least_rows) & (F.abs(F.col(value) - mean) / std > most))
+    past = running(df, keys, order, {"_s": total(value), "_c": count(F.col(value))}, upto=-1)
+    mean = F.col("_s") / F.when(F.col("_c") > 0, F.col("_c"))
+    return past.withColumn("prior_mean", mean).withColumn("anomalous", (F.col("_c") >= least_rows) & (F.abs(F.col(value) - F.col("prior_mean")) / std > most)).drop("_s", "_c")
 
 
 def ewma(df: DataFrame, keys: list[str], order: list[str], x: Column, alpha: float = 0.1, start: float = 0.5) -> DataFrame:

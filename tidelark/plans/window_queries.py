@@ -21,9 +21,8 @@ def _(v):
 @query("w02_trailing_counts", "SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS all_30m, count(*) OVER (PARTITION BY room ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS room_30m, count(*) OVER (PARTITION BY sensor_type ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS type_30m FROM se")
 def _(v):
     one = lambda w: F.count(F.lit(1)).over(w)
-    out = v.se.select("event_id", "ts", "room", "sensor_type")
-    for name, keys in (("all_30m", ()), ("room_30m", ("room",)), ("type_30m", ("sensor_type",))):
-        out = temporal.nearby(out, 1800, 0, {name: one}, keys=keys)
+    rows = v.se.select("event_id", "ts", "room", "sensor_type")
+    out = temporal.nearby(rows, 1800, 0, {"all_30m": one, "room_30m": (one, ("room",)), "type_30m": (one, ("sensor_type",))})
     return out.select("event_id", "all_30m", "room_30m", "type_30m")
 
 

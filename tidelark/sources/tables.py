@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,31 @@ from pyspark.sql import functions as F
 TTL = {"features": 300, "predictions": 120, "patterns": 3600, "room_state": 1800, "models": 7200, "aggregates": 600}
 
 
+def folder(spark: SparkSession, kind: str = "kept") -> str:
+    """A new folder under the one that ``spark.checkpoint.dir`` names; in local mode, as in tests, under the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, of: list[str] | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: its lineage is cut and its size known.  The path is appended to ``of``."""
+    at = folder(df.sparkSession)
+    df.write.parquet(at)
+    if of is not None:
+        of.append(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -3,25 +3,19 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelark.sources import fixtures
+from tidelark.sources import fixtures, tables
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the one that ``spark.checkpoint.dir`` names; in local mode, as in tests, under the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and spark.sparkContext.master.startswith("local"):
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A new shared folder for a stream."""
+    return tables.folder(spark, "streams")
 
 
 def topic(spark: SparkSession, servers: str, name: str, per_trigger: int = 1000) -> DataFrame:
