@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelark.operators.segments import numbered, row_frame
+from tidelark.operators.segments import key_of, numbered, row_frame
 from tidelark.operators.temporal import SECOND, micros
+from tidelark.sources.tables import kept
 
 #: Minutes of time windows that are not whole hours, besides the first sixty.
 BROKEN_HOURS = (90, 105, 135, 150, 165, 270, 330, 450, 510)
@@ -55,28 +58,96 @@ def uniform_chi_square(counts: DataFrame, keys: list[str], n: str = "n") -> Data
     return s.withColumn("significant_ref", F.col("p_value") > 0.05).drop("_q")
 
 
-def possible_signatures(kinds: DataFrame, item: str = "x") -> DataFrame:
-    """Two- and three-step signatures of different kinds; the kinds are a small domain, which is checked."""
-    k = kinds.select(item).distinct()
-    if k.count() > 200:
+def possible_signatures(kinds: DataFrame, item: str = "x", longest: int = 3, most: int = 10_000_000) -> DataFrame:
+    """Signatures of 2 to ``longest`` different kinds; the kinds are a small domain: more than ``most`` signatures are an error.
+
+    Steps are added by joins with the table of kinds, each a task's work for its share of the shorter ones.
+    """
+    k = kept(kinds.select(F.col(item).alias("_x")).where("_x is not null").distinct())
+    n = k.count()
+    if sum(math.perm(n, i) for i in range(2, longest + 1)) > most:
         raise ValueError("too many kinds of events to list their sequences")
-    every = k.agg(F.collect_set(item).alias("_all"))
-    two = every.select("_all", F.explode("_all").alias("a")).select("_all", "a", F.explode("_all").alias("b")).where("a <> b")
-    three = two.select("a", "b", F.explode("_all").alias("c")).where("c <> a and c <> b")
-    return two.select(F.concat_ws("->", "a", "b").alias("signature")).unionByName(three.select(F.concat_ws("->", "a", "b", "c").alias("signature")))
+    grown = k.select(F.array("_x").alias("_s"))
+    out = None
+    for _ in range(2, longest + 1):
+        grown = kept(grown.join(F.broadcast(k), ~F.array_contains("_s", F.col("_x"))).select(F.concat("_s", F.array("_x")).alias("_s")))  # kinds are counted above
+        one = grown.select(F.array_join("_s", "->").alias("signature"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else k.select(F.col("_x").cast("string").alias("signature")).limit(0)
+
+
+def negative_patterns(possible: DataFrame, observed: DataFrame, keys: tuple[str, ...] = (), strength: float = 0.8) -> DataFrame:
+    """Possible signatures that no row of ``observed`` has; with ``keys``, for each key that observed has."""
+    seen = kept(observed.select(*keys, "signature").distinct())
+    wanted = possible
+    if keys:
+        # a row for each key and possible signature is what the result is made of; neither side is broadcast
+        wanted = possible.hint("shuffle_replicate_nl").crossJoin(seen.select(*keys).distinct())
+    return wanted.join(seen.hint("merge"), [*keys, "signature"], "left_anti").withColumn("strength", F.lit(strength))
+
+
+def ngram_ranks(events: DataFrame, item: Column, longest: int, keys: tuple[str, ...] = ("room",), least: int = 1) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Tokens (_k, _n, x) and, for each length 1, 2, 4, ... up to ``longest``, (_k, _n, _r): equal n-grams of a key have the same rank.
+
+    A rank is the place where the n-gram first stands, so it is exact and leads back to its text.  Twice the
+    length is a join of ranks with those that many rows later: length L takes log L joins of numbers, and no text
+    of an n-gram is built.  Places whose n-gram stands fewer than ``least`` times drop out, and with them all longer ones.
+    """
+    tokens = kept(numbered(events, list(keys), ["ts", "event_id"]).select(key_of(keys).alias("_k"), "_n", item.alias("x")))
+    ranked = lambda rows, by: rows.join(rows.groupBy("_k", *by).agg(F.min("_n").alias("_r"), F.count("*").alias("_f")).where(F.col("_f") >= least).hint("merge"), ["_k", *by]).select("_k", "_n", "_r")
+    ranks, m = {1: kept(ranked(tokens.where("x is not null"), ["x"]))}, 1
+    while 2 * m <= longest:
+        pairs = kept(paired_ranks(ranks[m], m))
+        m *= 2
+        ranks[m] = kept(ranked(pairs, ["_a", "_b"]))
+    return tokens, ranks
 
 
-def negative_patterns(possible: DataFrame, observed: DataFrame, strength: float = 0.8) -> DataFrame:
-    return possible.join(observed.select("signature").distinct(), "signature", "left_anti").withColumn("strength", F.lit(strength))
+def paired_ranks(ranks: DataFrame, shift: int) -> DataFrame:
+    """(_k, _n, _a, _b): the rank of each place and that of the place ``shift`` rows later."""
+    later = ranks.select("_k", (F.col("_n") - shift).alias("_n"), F.col("_r").alias("_b"))
+    return ranks.withColumnRenamed("_r", "_a").join(later.hint("merge"), ["_k", "_n"])
 
 
-def repeated_ngrams(found: DataFrame, totals: DataFrame, keys: tuple[str, ...] = ("room",), least: int = 3, times: float = 2.0, alphabet: int = 4) -> DataFrame:
-    """Signatures with enough occurrences and more than ``times`` what chance gives: (N - n + 1) / alphabet^n; totals has N."""
-    counts = found.groupBy(*keys, "signature", "n").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
-    joined = counts.join(totals.withColumnRenamed("n", "_total"), [*keys])
+def ngram_counts(ranks: dict[int, DataFrame], lengths: list[int], least: int = 1) -> DataFrame:
+    """(_k, n, _n, frequency) of each n-gram of these lengths that stands ``least`` times or more; _n is where it first stands.
+
+    An n-gram is the pair of its first and last stretch of the greatest power of two, which overlap.
+    """
+    out = None
+    for n in lengths:
+        m = 1 << (n.bit_length() - 1)
+        by = ["_r"] if m == n else ["_a", "_b"]
+        rows = ranks[m] if m == n else paired_ranks(ranks[m], n - m)
+        found = rows.groupBy("_k", *by).agg(F.min("_n").alias("_n"), F.count("*").alias("frequency")).where(F.col("frequency") >= least).select("_k", F.lit(n).alias("n"), "_n", "frequency")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def signatures(found: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Adds signature, the n-gram's tokens, to the n-grams of ngram_counts; only their own tokens are read into texts."""
+    places = kept(found).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("_at", F.col("_n") + F.col("_i"))
+    words = tokens.select("_k", F.col("_n").alias("_at"), "x")
+    one = places.join(words.hint("merge"), ["_k", "_at"]).groupBy(*found.columns).agg(F.array_sort(F.collect_list(F.struct("_i", "x"))).alias("_s"))
+    return one.withColumn("signature", F.array_join(F.transform("_s", lambda s: s["x"]), "->")).drop("_s")
+
+
+def repeated_ngrams(events: DataFrame, item: Column, longest: int, shortest: int = 2, keys: tuple[str, ...] = ("room",), least: int = 3, times: float = 2.0, alphabet: int = 4) -> DataFrame:
+    """N-grams with enough occurrences and more than ``times`` what chance gives: (N - n + 1) / alphabet^n, N being the key's rows."""
+    tokens, ranks = ngram_ranks(events, item, longest, keys, least)
+    totals = events.groupBy(key_of(keys).alias("_k")).agg(F.count("*").alias("_total"))
+    joined = ngram_counts(ranks, list(range(shortest, longest + 1)), least).join(totals.hint("merge"), "_k")
     expected = (F.col("_total") - F.col("n") + 1) / F.pow(F.lit(float(alphabet)), F.col("n"))
-    kept = joined.withColumn("expected", expected).where(F.col("frequency") > times * F.col("expected"))
-    return kept.withColumn("significance", F.least(F.lit(1.0), F.col("frequency") / (0.1 * F.col("_total")))).drop("_total")
+    chosen = joined.withColumn("expected", expected).where(F.col("frequency") > times * F.col("expected"))
+    out = signatures(chosen.withColumn("significance", F.least(F.lit(1.0), F.col("frequency") / (0.1 * F.col("_total")))), tokens)
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], "signature", "n", "frequency", "expected", "significance")
+
+
+def long_sequences(events: DataFrame, item: Column, lengths: list[int], keys: tuple[str, ...] = ("room",)) -> DataFrame:
+    """For each key and length, how many sequences there are, of how many kinds, and how often the commonest stands."""
+    _, ranks = ngram_ranks(events, item, max(lengths), keys)
+    out = ngram_counts(ranks, lengths).groupBy("_k", "n").agg(F.count("*").alias("kinds"), F.sum("frequency").alias("total"), F.max("frequency").alias("most"))
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], "n", "kinds", "total", "most")
 
 
 def prefix_span(sessions: DataFrame, least_support: float = 0.1, longest: int = 4) -> DataFrame:

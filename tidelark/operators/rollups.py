@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelark.operators.series import between_rows, last_rows
 from tidelark.operators.temporal import SECOND, micros
+from tidelark.sources.tables import kept
 
 
 def hour_of(ts: str = "ts") -> Column:
@@ -129,3 +132,37 @@ def pattern_prediction(asked: DataFrame, prior: DataFrame, default: float = 0.3)
     joined = asked.join(prior.select("room", "hour", "rate"), ["room", "hour"], "left")
     p = F.coalesce("rate", F.lit(default)) * F.when(F.col("active"), 1.2).otherwise(1.0)
     return joined.select(*asked.columns, F.least(F.lit(0.8), p).alias("probability"))
+
+
+def partial_hourly(events: DataFrame) -> DataFrame:
+    """Hourly sums that can be merged: n, and the number and sum of values."""
+    return events.groupBy(hour_of().alias("hour"), "room", "sensor_type").agg(F.count("*").alias("n"), F.count("numeric_value").alias("n_value"), F.sum("numeric_value").alias("sum_value"))
+
+
+def _overwrite_days(partial: DataFrame, path: str) -> None:
+    partial.withColumn("day", F.to_date("hour")).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def refresh_rollup(events: DataFrame, path: str, now: datetime, *, lag: timedelta = timedelta(hours=1), lookback: timedelta | None = timedelta(days=1)) -> None:
+    """Recomputes the hours from the day of ``now - lookback`` (None: all) up to the last whole hour before ``now - lag``, and overwrites the partitions of those days only."""
+    end = (now - lag).replace(minute=0, second=0, microsecond=0)
+    rows = events.where(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
+    if lookback is not None:
+        rows = rows.where(F.col("ts") >= F.lit((now - lookback).replace(hour=0, minute=0, second=0, microsecond=0)).cast("timestamp_ntz"))
+    _overwrite_days(partial_hourly(rows), path)
+
+
+def merge_late(late: DataFrame, path: str) -> None:
+    """Adds rows that came after their days were last recomputed: their sums are merged with those of their days' partitions."""
+    spark = late.sparkSession
+    new = kept(partial_hourly(late))
+    days = [r.day for r in new.select(F.to_date("hour").alias("day")).distinct().collect()]  # as many as there are dates
+    if not days:
+        return
+    old = spark.read.parquet(path).where(F.col("day").isin(days)).drop("day")
+    sums = old.unionByName(new).groupBy("hour", "room", "sensor_type").agg(F.sum("n").alias("n"), F.sum("n_value").alias("n_value"), F.sum("sum_value").alias("sum_value"))
+    _overwrite_days(kept(sums), path)
+
+
+def rollup_view(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("hour", "room", "sensor_type", "n", (F.col("sum_value") / F.when(F.col("n_value") > 0, F.col("n_value"))).alias("mean_value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelark.operators import bathroom, patterns, rollups
+from tidelark.operators import bathroom, patterns
 from tidelark.plans import fold_sql
 from tidelark.plans.base import query, r6
 
@@ -43,21 +43,31 @@ def _(v):
     return chi(found(v))
 
 
-POSSIBLE = ", kd AS (SELECT DISTINCT sensor_type || '-' || state AS x FROM se), ps AS (SELECT a.x || '->' || b.x AS signature FROM kd a JOIN kd b ON a.x <> b.x UNION ALL SELECT a.x || '->' || b.x || '->' || c.x FROM kd a JOIN kd b ON a.x <> b.x JOIN kd c ON c.x <> a.x AND c.x <> b.x)"
+LONG = [5, 10, 20, 50, 100]
+LONG_SQL = f""", tk AS (SELECT room, event_id, state AS x, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) AS i FROM se), gr AS (SELECT a.room, a.i, n.n, string_agg(b.x, '->' ORDER BY b.i) AS s FROM tk a JOIN (SELECT unnest({LONG}) AS n) n ON true JOIN tk b ON b.room = a.room AND b.i BETWEEN a.i AND a.i + n.n - 1 GROUP BY a.room, a.i, n.n HAVING count(*) = n.n),
+ ct AS (SELECT room, n, s, count(*) AS f FROM gr GROUP BY ALL) SELECT room, CAST(n AS INT) AS n, count(*) AS kinds, CAST(sum(f) AS BIGINT) AS total, max(f) AS most FROM ct GROUP BY room, n"""
 
 
-def possible(v):
-    return patterns.possible_signatures(v.se.select(patterns.token("sensor_type", "state").alias("x")))
+@query("m01_long_sequences", LONG_SQL)
+def _(v):
+    return patterns.long_sequences(v.se, F.col("state"), LONG)
+
+
+POSSIBLE = ", kd AS (SELECT DISTINCT sensor_type || '-' || state AS x FROM se), pa(s, l, n) AS (SELECT x, [x], 1 FROM kd UNION ALL SELECT s || '->' || x, list_append(l, x), n + 1 FROM pa JOIN kd ON n < {longest} AND NOT list_contains(l, x)), ps AS (SELECT s AS signature FROM pa WHERE n > 1)"
+
+
+def possible(v, longest=3):
+    return patterns.possible_signatures(v.se.select(patterns.token("sensor_type", "state").alias("x")), longest=longest)
 
 
-@query("m04_possible_signatures", POSSIBLE + "SELECT signature FROM ps")
+@query("m04_possible_signatures", POSSIBLE.format(longest=3) + "SELECT signature FROM ps")
 def _(v):
     return possible(v)
 
 
-@query("m05_negative_patterns", SEQ.format(where="WHERE room = 'office'", longest=3) + POSSIBLE + "SELECT signature, 0.8::DOUBLE AS strength FROM ps WHERE signature NOT IN (SELECT signature FROM sq)")
+@query("m05_negative_patterns", SEQ.format(where="", longest=5) + POSSIBLE.format(longest=5) + ", rm AS (SELECT DISTINCT room FROM sq) SELECT room, signature, 0.8::DOUBLE AS strength FROM ps JOIN rm ON true WHERE NOT EXISTS (SELECT 1 FROM sq WHERE sq.room = rm.room AND sq.signature = ps.signature)")
 def _(v):
-    return patterns.negative_patterns(possible(v), found(v, "room = 'office'", 3))
+    return patterns.negative_patterns(possible(v, 5), found(v), ("room",))
 
 
 STATES = SEQ.format(where="", longest=19).replace("sensor_type || '-' || state AS x", "state AS x")
@@ -65,7 +75,7 @@ STATES = SEQ.format(where="", longest=19).replace("sensor_type || '-' || state A
 
 @query("m06_repeated_ngrams", STATES + ", t AS (SELECT room, count(*) AS total FROM se GROUP BY room), g AS (SELECT room, signature, n, count(*) AS frequency FROM sq GROUP BY ALL HAVING count(*) >= 3) SELECT room, signature, CAST(n AS INT) AS n, frequency, round((total - n + 1)/pow(4, n), 6) AS expected, round(least(1, frequency/(0.1*total)), 6)::DOUBLE AS significance FROM g JOIN t USING (room) WHERE frequency > 2*(total - n + 1)/pow(4, n)")
 def _(v):
-    out = patterns.repeated_ngrams(patterns.sequences(v.se, F.col("state"), 19), rollups.summary(v.se, ["room"]))
+    out = patterns.repeated_ngrams(v.se, F.col("state"), 19)
     return out.select("room", "signature", "n", "frequency", r6("expected").alias("expected"), r6("significance").alias("significance"))
 
 

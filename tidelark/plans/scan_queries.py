@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidelark.operators import scoring
@@ -112,6 +114,24 @@ def _(v):
     return tables.retained(v.se, when_is(), 14).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
+EXPIRE = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) FILTER (ts < b) AS expired, count(*) FILTER (ts >= b) AS kept, count(DISTINCT CAST(ts AS DATE)) FILTER (ts >= b) AS days FROM {t}, bd" for n, t in (("sensor_events", "se"), ("occupancy", "oc"), ("predictions", "pr")))
+
+
+@query("s22_expire", f", bd AS (SELECT {T} - INTERVAL 14 DAY AS b) " + EXPIRE)
+def _(v):
+    """Three tables by date: expired dates are dropped by name, the border one is rewritten; what is left is read again."""
+    paths = {}
+    for name, rows in (("sensor_events", v.se), ("occupancy", v.oc), ("predictions", v.pr)):
+        paths[name] = tables.folder(v.spark)
+        tables.write_events(rows, paths[name])
+    counts = tables.expire(v.spark, paths, datetime.fromisoformat(AS_OF), 14)
+    left = None
+    for name, path in paths.items():
+        one = v.spark.read.parquet(path).agg(F.count("*").alias("kept"), F.count_distinct("event_date").alias("days")).select(F.lit(name).alias("table"), "kept", "days")
+        left = one if left is None else left.unionByName(one)
+    return counts.drop("kept").join(left, "table")
+
+
 @query("s23_prediction_entities", "SELECT event_id, 'sensor.occupancy_' || room || '_' || horizon_minutes || 'min' AS entity_id, round(probability, 3) AS state, round(confidence, 3) AS confidence, model_name FROM pr")
 def _(v):
     return tables.prediction_entities(v.pr).select("event_id", "entity_id", "state", F.col("attributes.confidence").alias("confidence"), F.col("attributes.model_name").alias("model_name"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
-from tidelark.operators import patterns
+from tidelark.operators import patterns, rollups
 from tidelark.plans import fold_sql
-from tidelark.plans.base import query, r6
+from tidelark.plans.base import AS_OF, query, r6
 from tidelark.sources import fixtures, tables
 from tidelark.streaming import operators as so
 from tidelark.streaming import runner
@@ -111,9 +113,22 @@ def _(v):
     return kept.select("entity_id", "room", "state", F.element_at(F.split("cache_key", "[|]"), -1).cast("long").alias("minute"))
 
 
-@query("t06_micro_batches", "SELECT room, count(*) AS n FROM se GROUP BY room")
+def timed(v):
+    return v.se.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("t05_expiring_cache", "SELECT entity_id AS key, count(DISTINCT 1) AS within, count(DISTINCT 1) + 1 AS after FROM se GROUP BY 1")
+def _(v):
+    """The same events in two triggers: once with entries that outlive the pause between them, once with entries that don't."""
+    rows = timed(v).select("entity_id", "event_id")
+    kept = {ttl: runner.in_turns([rows, rows], lambda s, t=ttl: so.once_per(s, "entity_id", t), pause_s=2.5).groupBy("key").agg(F.count("*").alias(name)) for ttl, name in ((3_600_000, "within"), (1_000, "after"))}
+    return kept[3_600_000].join(kept[1_000].hint("merge"), "key", "full")
+
+
+@query("t06_micro_batches", ", r AS (SELECT room, event_id, (row_number() OVER (PARTITION BY room ORDER BY event_id) - 1) // 1000 AS b FROM se) SELECT room, CAST(b AS INT) AS batch, count(*) AS n, CASE WHEN count(*) = 1000 THEN 'full' ELSE 'timeout' END AS reason FROM r GROUP BY room, b")
 def _(v):
-    return runner.drain(stream(v).select("room", "event_id")).groupBy("room").agg(F.count("*").alias("n"))
+    rows = timed(v)
+    return runner.in_turns([rows], so.micro_batches, rows=rows.count()).groupBy("room", "batch", "reason").agg(F.count("*").alias("n"))
 
 
 @query("t07_last_change_delta", "SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id)))/1e6, 6) AS delta_s FROM se")
@@ -140,6 +155,16 @@ def _(v):
     return plain(runner.drain(so.hourly_rollup(stream(v)), "update"), "hour").withColumn("mean_value", r6("mean_value"))
 
 
+@query("t10_refreshed_rollup", f"SELECT date_trunc('hour', ts) AS hour, room, sensor_type, count(*) AS n, round(avg(numeric_value), 6) AS mean_value FROM se WHERE ts < date_trunc('hour', TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR) GROUP BY ALL")
+def _(v):
+    """A first rollup, and two refreshes that recompute the day before; nothing later than the lag is in it."""
+    at, now = runner.folder(v.spark), datetime.fromisoformat(AS_OF)
+    rollups.refresh_rollup(v.se, at, now - timedelta(hours=36), lookback=None)
+    for back in (18, 0):
+        rollups.refresh_rollup(v.se, at, now - timedelta(hours=back))
+    return rollups.rollup_view(v.spark, at).withColumn("mean_value", r6("mean_value"))
+
+
 @query("t11_fan_out", "SELECT 'store' AS sink, count(*) AS n FROM se UNION ALL SELECT 'topic', count(*) FROM se UNION ALL SELECT 'features', count(*) FROM se")
 def _(v):
     at = runner.folder(v.spark)
@@ -181,6 +206,14 @@ def _(v):
     return patterns.overlapping_blocks(v.se).groupBy("room", "block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
+@query("t15_stream_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se), x AS (SELECT room, b, event_id, i FROM r, (SELECT unnest(range(0, 5000)) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id, arg_min(event_id, i) AS opens, arg_max(event_id, i) AS closes FROM x GROUP BY room, b HAVING count(*) = 100")
+def _(v):
+    """The full blocks, from a stream whose events come in three triggers."""
+    rows = timed(v).select("room", "event_id", "ts")
+    day = F.dayofmonth("ts")
+    return runner.in_turns([rows.where(day <= 9), rows.where((day > 9) & (day <= 21)), rows.where(day > 21)], so.overlapping_blocks)
+
+
 @query("j14_stream_interval_join", "SELECT p.event_id, p.room, round(p.probability, 6) AS probability, o.occupied FROM pr p JOIN oc o ON o.room = p.room AND o.ts BETWEEN p.predicted_for - INTERVAL 5 MINUTE AND p.predicted_for + INTERVAL 5 MINUTE")
 def _(v):
     p = fixtures.predictions(stream(v, None))

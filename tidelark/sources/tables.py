@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def write_events(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append as Parquet by date, sorted by room and time inside files so that row groups can be skipped."""
     dated = df.withColumn("event_date", F.to_date("ts"))
-    dated.repartition("event_date", F.pmod(F.xxhash64("entity_id"), F.lit(16))).sortWithinPartitions("event_date", "room", "ts").write.mode(mode).partitionBy("event_date").parquet(path)
+    salt = F.pmod(F.xxhash64("entity_id" if "entity_id" in df.columns else "event_id"), F.lit(16))
+    dated.repartition("event_date", salt).sortWithinPartitions("event_date", "room", "ts").write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def between(df: DataFrame, start: Column, end: Column, *, rooms=None, entities=None, closed: bool = True, ts: str = "ts") -> DataFrame:
@@ -116,6 +118,40 @@ def retained(df: DataFrame, as_of: Column, days: int, ts: str = "ts") -> DataFra
     return df.where(F.col(ts) >= as_of - F.make_dt_interval(days=F.lit(days)))
 
 
+def _dates(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each date partition, by its name alone."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in listed if s.isDirectory()]
+    return {name.partition("=")[2]: folder for name, folder in found if name.startswith("event_date=")}
+
+
+def expire(spark: SparkSession, paths: dict[str, str], as_of: datetime, days: int) -> DataFrame:
+    """Drops the rows of tables by ``write_events`` that are older than ``days`` before ``as_of``; returns (table, expired, kept).
+
+    Whole dates go by their folders' names, without a read; only the border date is rewritten. Rows are
+    counted for all tables in one job before that.  Rows without a time, and later dates' files, stay as they are.
+    """
+    border = as_of - timedelta(days=days)
+    old = F.coalesce(F.col("ts") < F.lit(border).cast("timestamp_ntz"), F.lit(False))
+    counted = None
+    for name, path in paths.items():
+        one = spark.read.parquet(path).select(F.lit(name).alias("table"), old.alias("_old"))
+        counted = one if counted is None else counted.unionByName(one)
+    counts = kept(counted.groupBy("table").agg(F.count_if("_old").alias("expired"), F.count_if(~F.col("_old")).alias("kept")))
+    for path in paths.values():
+        for date, folder in _dates(spark, path).items():
+            if date < border.date().isoformat():
+                discard(spark, folder)
+            elif date == border.date().isoformat():
+                rest = kept(spark.read.parquet(path).where(F.col("event_date") == F.lit(date).cast("date")).where(~old))
+                if rest.isEmpty():
+                    discard(spark, folder)
+                else:
+                    rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    return counts
+
+
 def backfill(states: DataFrame, meta: DataFrame, attributes: DataFrame, start: Column, end: Column, entities=None) -> DataFrame:
     """History rows of [start, end) with their entity's metadata and attributes, where there are any."""
     rows = between(states, start, end, closed=False, entities=entities)

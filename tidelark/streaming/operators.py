@@ -155,8 +155,8 @@ class _Drift(_Kept):
         return {"ph": asdict(ph), "ks": asdict(ks), "quiet": asdict(quiet)}, pd.DataFrame(out, columns=["room", "event_id", "page_hinkley", "ks"])
 
 
-def _stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+def _stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
+    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode=time)
 
 
 def last_change_delta(events: DataFrame) -> DataFrame:
@@ -173,6 +173,128 @@ def drift_alerts(rows: DataFrame) -> DataFrame:
     return _stateful(rows, ["room"], _Drift(), "room string, event_id long, page_hinkley boolean, ks boolean")
 
 
+class _Blocks(StatefulProcessor):
+    """A list of the newest events; at ``size`` they are a block, and the last ``size - step`` stay for the next one."""
+
+    def __init__(self, size: int, step: int):
+        self.size, self.step = size, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getListState("events", "event_id long, ts timestamp")
+        self.number = handle.getValueState("number", "block int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        held = [(int(e), t) for e, t in self.events.get()] if self.events.exists() else []
+        held += [(int(e), t.to_pydatetime()) for e, t in zip(new["event_id"], new["ts"], strict=True)]
+        block, out = self.number.get()[0] if self.number.exists() else 0, []
+        start = 0
+        while len(held) - start >= self.size:
+            ids = [e for e, _ in held[start : start + self.size]]
+            out.append((key[0], block, len(ids), min(ids), ids[0], ids[-1]))
+            block, start = block + 1, start + self.step
+        self.events.put(held[start:]) if held[start:] else self.events.clear()
+        self.number.update((block,))
+        if out:
+            yield pd.DataFrame(out, columns=["room", "block", "n", "first_id", "opens", "closes"])
+
+    def close(self) -> None:
+        pass
+
+
+def overlapping_blocks(events: DataFrame, size: int = 100, step: int = 50) -> DataFrame:
+    """Counted windows of each room in a stream: every ``step`` events, the last ``size`` ones are a block.
+
+    Events of a room must come in order from trigger to trigger; inside a trigger they are sorted.
+    """
+    return _stateful(events.select("room", "event_id", "ts"), ["room"], _Blocks(size, step), "room string, block int, n int, first_id long, opens long, closes long")
+
+
+class _Buffer(StatefulProcessor):
+    """Events of a key wait until ``most`` are there, or until the first of them has waited ``wait_ms``."""
+
+    def __init__(self, most: int, wait_ms: int):
+        self.most, self.wait_ms = most, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "event_id long")
+        self.number = handle.getValueState("number", "batch int")
+        self.due = handle.getValueState("due", "at long")
+
+    def _number(self) -> int:
+        return self.number.get()[0] if self.number.exists() else 0
+
+    def _rest(self, held: list[int]) -> None:
+        self.events.put([(e,) for e in held]) if held else self.events.clear()
+
+    def _stop_clock(self) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+
+    def _frame(self, key, number: int, ids: list[int], reason: str) -> pd.DataFrame:
+        return pd.DataFrame({"room": key[0], "batch": number, "event_id": ids, "reason": reason})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [int(r[0]) for r in self.events.get()] if self.events.exists() else []
+        waited = bool(held)
+        held += [int(e) for part in rows for e in part["event_id"]]
+        number = self._number()
+        while len(held) >= self.most:
+            yield self._frame(key, number, held[: self.most], "full")
+            held, number, waited = held[self.most :], number + 1, False
+        self.number.update((number,))
+        self._rest(held)
+        if not waited:
+            self._stop_clock()
+            if held:
+                at = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
+                self.handle.registerTimer(at)
+                self.due.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [int(r[0]) for r in self.events.get()] if self.events.exists() else []
+        number = self._number()
+        self.due.clear()
+        if held:
+            self.number.update((number + 1,))
+            self.events.clear()
+            yield self._frame(key, number, held, "timeout")
+
+    def close(self) -> None:
+        pass
+
+
+def micro_batches(events: DataFrame, most: int = 1000, wait_ms: int = 10_000) -> DataFrame:
+    """Each event with the batch of its room that it left in, which was full or had waited long enough (processing time)."""
+    return _stateful(events.select("room", "event_id"), ["room"], _Buffer(most, wait_ms), "room string, batch int, event_id long, reason string", "ProcessingTime")
+
+
+class _Once(StatefulProcessor):
+    """Lets a key's first event of a trigger pass unless one passed less than ``ttl_ms`` ago; the state store forgets it after that."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "event_id long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = min(int(part["event_id"].min()) for part in rows)
+        if not self.seen.exists():
+            self.seen.update((first,))
+            yield pd.DataFrame({"key": [key[0]], "event_id": [first]})
+
+    def close(self) -> None:
+        pass
+
+
+def once_per(events: DataFrame, key: str, ttl_ms: int) -> DataFrame:
+    """A cache with expiry: key and event_id of each event that finds no entry of its key that is younger than ``ttl_ms`` (processing time)."""
+    return _stateful(events.select(F.col(key).alias("key"), "event_id"), ["key"], _Once(ttl_ms), "key string, event_id long", "ProcessingTime")
+
+
 def fan_out(store: str, topic: str, features: str):
     """A foreachBatch function that writes one batch to a table, as messages and as features."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,36 @@ def drain(df: DataFrame, mode: str = "append", each: Callable[[DataFrame, int],
     if mode == "append":
         return spark.read.schema(df.schema).parquet(f"{at}/out")
     return spark.read.schema(df.schema).parquet(f"{at}/batches/n={last[-1]}" if mode == "complete" else f"{at}/batches/*")
+
+
+def in_turns(slices: list[DataFrame], transform: Callable[[DataFrame], DataFrame], *, pause_s: float = 0.0, rows: int = 0, timeout_s: int = 600) -> DataFrame:
+    """What ``transform`` of a stream writes whose data come slice by slice, each after the one before is processed.
+
+    The stream is stopped and started again from its checkpoint between slices, after a pause of ``pause_s``; after
+    the last one it runs on until it has written ``rows`` rows, for timers.  A stream with processing time never runs out of
+    triggers, so it is stopped when its progress says that it has read the slice.
+    """
+    spark, at = slices[0].sparkSession, folder(slices[0].sparkSession)
+    schema = slices[0].schema
+    with rocks(spark):
+        for i, part in enumerate(slices):
+            if i:
+                time.sleep(pause_s)
+            part.write.mode("append").parquet(f"{at}/in")
+            wanted, read = part.count(), {}
+            out = transform(spark.readStream.schema(schema).parquet(f"{at}/in"))
+            query = out.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").format("parquet").option("path", f"{at}/out").trigger(processingTime="500 milliseconds").start()
+            began = time.monotonic()
+            while sum(read.values()) < wanted and query.isActive and time.monotonic() - began < timeout_s:
+                time.sleep(0.2)
+                read |= {p.batchId: p.numInputRows for p in query.recentProgress if p.numInputRows}
+            while rows and i == len(slices) - 1 and query.isActive and time.monotonic() - began < timeout_s:
+                if spark.read.schema(out.schema).parquet(f"{at}/out").count() >= rows:
+                    break
+                time.sleep(1)
+            query.stop()
+            if query.exception():
+                raise query.exception()
+            if sum(read.values()) < wanted:
+                raise TimeoutError("the stream didn't read its slice")
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
