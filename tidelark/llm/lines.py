@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .frames import keep
 
-LINES = "doc_id long, line int, leaf long, s1 long, s2 long, copy long, nth int, before long, after long, again boolean, tokens binary"
-_LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("copy", pa.int64()), ("nth", pa.int32()), ("before", pa.int64()), ("after", pa.int64()), ("again", pa.bool_()), ("tokens", pa.binary())])
+LINES = "doc_id long, row long, line int, leaf long, s1 long, s2 long, copy long, nth int, before long, after long, again boolean, tokens binary"
+_LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("copy", pa.int64()), ("nth", pa.int32()), ("before", pa.int64()), ("after", pa.int64()), ("again", pa.bool_()), ("tokens", pa.binary())])
 #: Words on either side that make up a line's surroundings.
 NEAR = 2
 
@@ -36,7 +36,8 @@ def _parsed(depth: int):
     def run(batches):
         for whole in batches:
             for part in bw.slices(whole):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = part.column("doc_id").take(pa.array(np.arange(part.num_rows)))
+                rows = part.column("row").to_numpy(zero_copy_only=False)
                 w = bw.words(part.column("text"), masked=True)
                 if not len(w.hash):
                     continue
@@ -69,7 +70,7 @@ def _parsed(depth: int):
                 again[x] = (of[x] == of[y]) & (s1[x] == s1[y]) & (s2[x] == s2[y])
                 short = pa.py_buffer(w.hash.astype("<u2").tobytes())
                 tokens = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(lo, len(doc)).astype(np.int32) * 2), short])
-                yield bw.batch(_LINES, ids[of], number[lo].astype(np.int32), bw.signed(leaf), bw.signed(s1), bw.signed(s2), bw.signed(copy), nth.astype(np.int32), bw.signed(before), bw.signed(after), again, tokens)
+                yield bw.batch(_LINES, ids.take(pa.array(of)), rows[of], number[lo].astype(np.int32), bw.signed(leaf), bw.signed(s1), bw.signed(s2), bw.signed(copy), nth.astype(np.int32), bw.signed(before), bw.signed(after), again, tokens)
 
     return run
 
@@ -113,19 +114,45 @@ def _beyond(places: DataFrame) -> DataFrame:
     return out
 
 
+def _in_runs(texts: DataFrame, least_docs: int, enough, together: float = 0.8) -> DataFrame:
+    """Templates of the runs that recur: adjacent lines, each pair of which makes up ``together`` of both lines' places.
+
+    One grouping of pairs and one of runs, whatever a run's length; a run is the same if all its lines are.
+    """
+    doc = Window.partitionBy("copy").orderBy("nth")
+    step = texts.withColumn("next", F.when(F.lead("nth").over(doc) == F.col("nth") + 1, F.lead("template").over(doc)))
+    step = keep(step)
+    pairs = step.where("next is not null").groupBy("template", "next").agg(F.count("*").alias("n"))
+    often = keep(step.groupBy("template").agg(F.count("*").alias("all")))
+    first, second = often.withColumnRenamed("all", "of_one"), often.select(F.col("template").alias("next"), F.col("all").alias("of_next"))
+    close = pairs.where(F.col("n") >= least_docs).join(first.hint("merge"), "template").join(second.hint("merge"), "next").where(F.col("n") >= together * F.greatest("of_one", "of_next"))
+    close = keep(close.select("template", "next", F.lit(True).alias("close")))
+    tied = keep(step.join(close.hint("merge"), ["template", "next"], "left"))
+    begins = F.when(F.coalesce(F.lag("close").over(doc), F.lit(False)) & (F.lag("nth").over(doc) + 1 == F.col("nth")), 0).otherwise(1)
+    numbered = tied.withColumn("_new", begins).withColumn("run", F.sum("_new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = numbered.withColumn("_at", F.col("nth") - F.min("nth").over(Window.partitionBy("copy", "run")))
+    placed = keep(placed.select("copy", "run", "nth", "_at", "before", "after", "template"))
+    runs = placed.groupBy("copy", "run").agg(F.count("*").alias("lines"), F.bit_xor(F.xxhash64("template", "_at")).alias("x"), F.bit_xor(F.xxhash64("_at", "template")).alias("y"), F.min_by("before", "nth").alias("before"), F.max_by("after", "nth").alias("after")).where("lines > 1")
+    runs = keep(runs.withColumn("template", F.struct("lines", "x", "y")))
+    good = keep(_spread(runs).where((F.col("docs") >= least_docs) & enough).select("template"))
+    chosen = runs.join(good.hint("merge"), "template", "left_semi").select("copy", "run")
+    return placed.join(keep(chosen).hint("merge"), ["copy", "run"], "left_semi").select("template").distinct()
+
+
 def recurring_lines(docs: DataFrame, *, depth: int = 2, least_docs: int = 10, variety: float = 0.5, constant_share: float = 0.6, fixed_part: float = 0.6) -> DataFrame:
-    """doc_id and ``drop``, the numbers (from 0) of its lines whose template recurs; other documents are absent.
+    """doc_id, row (the text's hash) and ``drop``, the numbers (from 0) of its lines whose template recurs; other rows are absent.
 
-    A template recurs if at least ``least_docs`` different surroundings and at
+    Rows are told apart by doc_id and text: rows that share a doc_id are judged and cut each by their own text, and
+    repeated rows, of one doc_id and text, have one row here.  A template recurs if at least ``least_docs`` different surroundings and at
     least ``variety`` times as many as different texts have it.  A leaf has a template
     of its own if at least ``fixed_part`` of its places are constant, each with
     one token in ``constant_share`` of its documents.  Blank lines never recur;
     null and empty texts have none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     parsed = docs.mapInArrow(_parsed(depth), LINES)
     count = F.sum((~F.col("again")).cast("long"))
-    leaves = keep(parsed.drop("tokens").groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), count.alias("docs")).where(f"a < b and docs >= {int(least_docs)}").select("leaf"))
+    leaves = keep(parsed.drop("tokens").groupBy("leaf").agg(F.min("row").alias("a"), F.max("row").alias("b"), count.alias("docs")).where(f"a < b and docs >= {int(least_docs)}").select("leaf"))
     found = keep(parsed.join(leaves.hint("merge"), "leaf"))
 
     masked = found.groupBy("leaf", "s1", "s2").agg(count.alias("docs"), F.min("tokens").alias("tokens"))
@@ -142,13 +169,13 @@ def recurring_lines(docs: DataFrame, *, depth: int = 2, least_docs: int = 10, va
     kinds = keep(masked.join(general.hint("merge"), "leaf").select("leaf", "s1", "s2", "tokens", "constants").mapInArrow(_matched, "leaf long, s1 long, s2 long, general boolean").where("general").select("s1", "s2", "general"))
 
     template = F.when(F.col("general"), F.struct(F.col("leaf").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(True).alias("z"))).otherwise(F.struct(F.col("s1").alias("x"), F.col("s2").alias("y"), F.lit(False).alias("z")))
-    places = found.drop("tokens").join(kinds.hint("merge"), ["s1", "s2"], "left").select("doc_id", "line", "copy", "nth", "before", "after", template.alias("template"))
+    places = found.drop("tokens").join(kinds.hint("merge"), ["s1", "s2"], "left").select("doc_id", "row", "line", "copy", "nth", "before", "after", template.alias("template"))
     places = keep(places)
     often = keep(_spread(places).where(F.col("docs") >= least_docs))
     places = keep(places.join(often.hint("merge"), "template", "left_semi"))  # a template of fewer texts never recurs
     texts = keep(places.select("copy", "nth", "before", "after", "template").distinct())
     enough = F.col("places") >= F.greatest(F.lit(least_docs), variety * F.col("docs"))
-    recurs = keep(often.where(enough).select("template"))
+    recurs = keep(often.where(enough).select("template").unionByName(_in_runs(texts, least_docs, enough)).distinct())
     n, was = recurs.count(), 0
     while n > was:
         known = recurs.withColumn("known", F.lit(True))
@@ -156,7 +183,7 @@ def recurring_lines(docs: DataFrame, *, depth: int = 2, least_docs: int = 10, va
         more = _spread(_beyond(marked).where(~F.col("known"))).where(enough).select("template")
         recurs = keep(recurs.unionByName(more))
         n, was = recurs.count(), n
-    return places.join(recurs.hint("merge"), "template").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+    return places.join(recurs.hint("merge"), "template").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line")).alias("drop"))
 
 
 def without_recurring_lines(docs: DataFrame, **how) -> DataFrame:
@@ -164,9 +191,12 @@ def without_recurring_lines(docs: DataFrame, **how) -> DataFrame:
 
     A text that keeps all its lines is unchanged, null included; one that loses
     all is empty.  n_lines counts the parts between line feeds, 0 for null.
+    Columns of docs with those two names are replaced.  Rows that share a doc_id
+    lose lines of their own text only; null ids are ids like any other.
     """
-    drop = keep(recurring_lines(docs, **how)).withColumnRenamed("doc_id", "_id").withColumnRenamed("drop", "_drop")
-    joined = docs.join(drop.hint("merge"), F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    docs = docs.drop("n_lines", "n_dropped")
+    drop = keep(recurring_lines(docs, **how)).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("drop").alias("_drop"))
+    joined = docs.join(drop.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_id", "_row")
     names = docs.columns
 
     def run(batches):
