@@ -76,7 +76,14 @@ HARMLESS: list[Callable[[random.Random], str]] = [
     lambda r: f"10.{r.randint(1000, 9999)}/{_word(r)}.{r.randint(1, 9999)}",
     lambda r: f"{_word(r, 3)}({_word(r)}={r.randint(0, 99)})",
     lambda r: _word(r, 8, 16),
+    lambda r: f"{_run(r, UPPER, 2, 4)}-{_run(r, DIGITS, 3, 5)}{r.choice(['', '-' + _run(r, UPPER, 1, 3)])}",  # a part's number
+    lambda r: f"{_run(r, UPPER, 1, 3)}{_run(r, DIGITS, 4, 8)}{_run(r, UPPER, 0, 2)}",
+    lambda r: _run(r, HEX, 7, 12),  # a commit's short name
 ]
+#: Encoded files: long runs after what says so.
+ENCODED_LINES = ["src='data:image/{w};base64,{v}' {w}", "url(data:image/png;base64,{v})", "Content-Transfer-Encoding: base64 {v}", "<img {w} data:image/jpeg;base64,{v}>", "iVBORw0KGgoAAAANSUhEUg{v}"]
+ENCODED: list[Callable[[random.Random], str]] = [lambda r: _run(r, BASE64, 60, 240) + r.choice(["", "=", "=="])]
+COMMIT_LINES = ["commit {v} {w} {w}", "fixed in {v}", "{w} since {v} {w}", "git show {v}", "merge {v} into {w}"]
 HARMLESS_LINES = ["{w} {v} {w}", "{w}: {v}", '{w} = "{v}"', "see {v}, {w}", "({v})", "{w} key {v} {w}", "the password page {v} {w}", "token {v} {w}", "{v}: {w}", "secret {w} {v}"]
 
 
@@ -87,16 +94,30 @@ def _filled(r: random.Random, line: str, value: str) -> tuple[str, int, int]:
     return before + value + after, len(before), len(before) + len(value)
 
 
-def secret_rows(n: int = 1_200, seed: int = 11) -> Iterator[tuple[str, int, int, bool]]:
-    """(text, start, end, whether that is a credential); half of them are not."""
+def secret_forms(n: int = 1_200, seed: int = 11) -> Iterator[tuple[str, int, int, bool, str]]:
+    """(text, start, end, whether that is a credential, the value's form); half of them are not."""
     r = random.Random(seed)
+
+    def drawn(lines, values, good, name):
+        at = r.randrange(len(values))
+        return *_filled(r, r.choice(lines), values[at](r)), good, f"{name}{at}"
+
     for i in range(n):
-        if i % 2:
-            yield *_filled(r, r.choice(HARMLESS_LINES), r.choice(HARMLESS)(r)), False
+        if i % 16 == 1:
+            yield drawn(ENCODED_LINES, ENCODED, False, "encoded")
+        elif i % 16 == 9:
+            yield drawn(*((COMMIT_LINES, HARMLESS[-1:]) if i % 32 == 9 else (HARMLESS_LINES, HARMLESS[11:12])), False, "id")
+        elif i % 2:
+            yield drawn(HARMLESS_LINES, HARMLESS, False, "harmless")
         elif i % 4:
-            yield *_filled(r, r.choice(PASSWORD_LINES), r.choice(PASSWORDS)(r)), True
+            yield drawn(PASSWORD_LINES, PASSWORDS, True, "password")
         else:
-            yield *_filled(r, r.choice(SECRET_LINES), r.choice(SECRET_VALUES)(r)), True
+            yield drawn(SECRET_LINES, SECRET_VALUES, True, "value")
+
+
+def secret_rows(n: int = 1_200, seed: int = 11) -> Iterator[tuple[str, int, int, bool]]:
+    """secret_forms without the form."""
+    return (row[:4] for row in secret_forms(n, seed))
 
 
 # Personal data

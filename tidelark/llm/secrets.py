@@ -87,7 +87,9 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
 _CLASS = np.full(128, 11, np.int64)
 for _i, _set in enumerate(("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/", "_.-", "=", "\"'", ":", " \t\r\n\v\f")):
     _CLASS[[ord(c) for c in _set]] = _i
-CHANNELS = 14  # twelve classes, inside the candidate, its share of distinct characters
+CHANNELS = 15  # twelve classes, inside the candidate, its share of distinct characters, its length
+#: Length from which candidates count as equally long.
+LONGEST = 32
 
 
 def window_of(text: str, a: int, b: int) -> tuple[str, int, int]:
@@ -100,17 +102,17 @@ PART = 4096
 
 
 def _rows(windows: list[tuple[str, int, int]]):
-    """(text, start and end of the candidate, its share of distinct characters, places to read) for each part of each window."""
+    """(text, start and end of the candidate, its share of distinct characters, its length, places to read) for each part of each window."""
     out, first = [], []
     half = WIDTH // 2
     for t, a, b in windows:
         first.append(len(out))
-        share = len(set(t[a:b])) / max(8, b - a)
+        share, length = len(set(t[a:b])) / max(8, b - a), min(b - a, LONGEST) / LONGEST
         for lo in range(0, max(len(t), 1), PART):
             hi = min(lo + PART, len(t))
             left = max(0, lo - half)
             piece = t[left : hi + half]
-            out.append((piece, max(0, min(a - left, len(piece))), max(0, min(b - left, len(piece))), share, lo - left, hi - left))
+            out.append((piece, max(0, min(a - left, len(piece))), max(0, min(b - left, len(piece))), share, length, lo - left, hi - left))
     return out, np.array(first, np.int64)
 
 
@@ -119,12 +121,13 @@ def _inputs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     most = max(max(len(r[0]) for r in rows), WIDTH)
     x = np.zeros((len(rows), most + WIDTH - 1, CHANNELS), np.float32)
     mask = np.zeros((len(rows), most), bool)
-    for i, (t, a, b, share, lo, hi) in enumerate(rows):
+    for i, (t, a, b, share, length, lo, hi) in enumerate(rows):
         code = np.minimum(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), 127)
         at = np.arange(len(t)) + WIDTH // 2
         x[i, at, np.where(code == 127, 11, _CLASS[code])] = 1
         x[i, at[a:b], 12] = 1
         x[i, at[a:b], 13] = share
+        x[i, at[a:b], 14] = length
         mask[i, lo:hi] = True
     patches = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)
     return patches.transpose(0, 1, 3, 2).reshape(len(rows), most, WIDTH * CHANNELS), mask
@@ -192,14 +195,16 @@ class Network:
                     p -= (0.01 * (mi / (1 - 0.9**step)) / (np.sqrt(vi / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def calibrate(self, windows: list[tuple[str, int, int]], y: np.ndarray, doubtful: np.ndarray, recall: float) -> Network:
+    def calibrate(self, windows: list[tuple[str, int, int]], y: np.ndarray, doubtful: np.ndarray, recall: float, forms: np.ndarray | None = None, form_recall: float = 0.9) -> Network:
         """Platt scaling with his smoothed targets, and a threshold that finds this share of the credentials given.
 
-        Of the thresholds that do, and that take no more of the others than the
+        With ``forms``, a name for each row, it also finds ``form_recall`` of each form of twenty or more credentials, so that a
+        rare form isn't what is given up.  Of the thresholds that do, and that take no more of the others than the
         highest such one, it is the middle.  Doubtful ones only count in ``held_out``, as others.
         """
         every, truth = self.raw(windows), y
         raw, y = every[~doubtful], y[~doubtful]
+        names = np.array([""] * len(y)) if forms is None else forms[~doubtful]
         centre, spread = raw.mean(), max(raw.std(), 1e-6)
         target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
         scale, shift, at = 1.0, 0.0, (raw - centre) / spread
@@ -211,6 +216,10 @@ class Network:
         p = _sigmoid(self.scale * raw + self.shift)
         found = np.sort(p[y])
         keeps = found[int(np.floor((1 - recall) * len(found)))]  # any threshold up to here has the recall
+        for name in np.unique(names[y]):
+            own = np.sort(p[y & (names == name)])
+            if len(own) >= 20:
+                keeps = min(keeps, own[int(np.floor((1 - form_recall) * len(own)))])
         below = p[~y][p[~y] < keeps].max(initial=0.0)
         self.threshold = float((keeps + below) / 2)  # no higher than that, as far from credentials as from the rest
         said = _sigmoid(self.scale * every + self.shift) >= self.threshold
@@ -224,30 +233,32 @@ def _blanked(t: str, a: int, b: int) -> tuple[str, int, int]:
     return " " * a + t[a:b] + " " * (len(t) - b), a, b
 
 
-def fitted(labelled: list[tuple[str, int, int, bool]], others: list[tuple[str, int, int]] = (), *, recall: float = 0.97, held: int = 4) -> Network:
-    """A network for labelled windows (text, start, end, whether it is a credential) and unlabelled tokens of the corpus.
+def fitted(labelled: list[tuple], others: list[tuple[str, int, int]] = (), *, recall: float = 0.97, held: int = 4) -> Network:
+    """A network for labelled windows (text, start, end, whether it is a credential and perhaps its form) and unlabelled tokens of the corpus.
 
     Other candidates in the labelled windows are none.  One value of ``held``
     is kept out.  Among the unlabelled tokens are the credentials that the
     patterns miss, so those that a first network, fitted on labelled rows
-    alone, holds for credentials as surely as nine in ten labelled ones are not used
+    alone, holds for credentials as surely as all but two in a hundred labelled ones are not used
     for fitting; among the values kept out they count as false findings.
     """
-    labelled = [*labelled, *((t, x, y, False) for t, a, b, _ in labelled for x, y in candidates(t, [(a, b, "")]))]
+    labelled = [(*row[:4], row[4] if len(row) > 4 else "") for row in labelled]
+    labelled += [(t, x, y, False, "") for t, a, b, *_ in labelled for x, y in candidates(t, [(a, b, "")])]
     out = lambda t, a, b: zlib.crc32(t[a:b].encode("utf-8", "surrogatepass")) % held == 0
-    kept = [(*window_of(t, a, b), y) for t, a, b, y in labelled if not out(t, a, b)]
+    kept = [(*window_of(t, a, b), y) for t, a, b, y, _ in labelled if not out(t, a, b)]
     windows, y = [r[:3] for r in kept], np.array([r[3] for r in kept], bool)
     windows, y = windows + [_blanked(*w) for w in windows], np.concatenate([y, y])
     more, sure = [window_of(*o) for o in others], np.zeros(len(others), bool)
     if more:
         first = Network().fit(windows, y, epochs=8)
-        sure = first.raw(more) >= np.quantile(first.raw([w for w, good in zip(windows, y, strict=True) if good]), 0.1)
+        sure = first.raw(more) >= np.quantile(first.raw([w for w, good in zip(windows, y, strict=True) if good]), 0.02)
     away = np.array([out(*o) for o in others], bool)
     fit = [w for w, use in zip(more, ~away & ~sure, strict=True) if use]
     net = Network().fit(windows + fit, np.concatenate([y, np.zeros(len(fit), bool)]))
-    held_rows = [(window_of(t, a, b), good, False) for t, a, b, good in labelled if out(t, a, b)]
-    held_rows += [(w, False, bool(d)) for w, d, use in zip(more, sure, away, strict=True) if use]
-    return net.calibrate([r[0] for r in held_rows], np.array([r[1] for r in held_rows], bool), np.array([r[2] for r in held_rows], bool), recall)
+    held_rows = [(window_of(t, a, b), good, False, form) for t, a, b, good, form in labelled if out(t, a, b)]
+    held_rows += [(w, False, bool(d), "") for w, d, use in zip(more, sure, away, strict=True) if use]
+    columns = [np.array([r[i] for r in held_rows], kind) for i, kind in ((1, bool), (2, bool), (3, str))]
+    return net.calibrate([r[0] for r in held_rows], columns[0], columns[1], recall, columns[2])
 
 
 def train(docs: DataFrame, *, sample_docs: int = 20_000, findings: int = 2_000, examples_used: int = 3_600, recall: float = 0.97) -> Network:
@@ -276,7 +287,7 @@ def train(docs: DataFrame, *, sample_docs: int = 20_000, findings: int = 2_000,
 
     rows = keep(sampled(docs, sample_docs).select("text", "sample").mapInArrow(run, "window string, a int, b int, found boolean").dropDuplicates(["window", "a", "b"]))
     got = [rows.where("found" if found else "not found").orderBy(F.xxhash64("window"), "window", "a").limit(findings).collect() for found in (True, False)]
-    labelled = [*examples.secret_rows(examples_used), *((r.window, r.a, r.b, True) for r in got[0])]
+    labelled = [*examples.secret_forms(examples_used), *((r.window, r.a, r.b, True) for r in got[0])]
     return fitted(labelled, [(r.window, r.a, r.b) for r in got[1]], recall=recall)
 
 
