@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelark.llm import negatives, queries, sharding, turns
+from tidelark.llm import examples, lines, negatives, queries, secrets, sharding, turns
 from tidelark.llm.frames import table
 
 # Conversation repair
@@ -241,3 +241,52 @@ def test_mined_from_the_table(spark, sf):
     e = table(spark, sf, "embeddings").collect()
     rows = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in e]
     assert sorted(tuple(r) for r in queries.op13_hard_negatives(spark, sf).collect()) == sorted(mined_by_hand(rows, lambda i: i % 50 == 0))
+
+
+# Line dedup and secrets
+
+
+def said(i, j):
+    """A line that no other one is like."""
+    r = random.Random(i * 1_000 + j)
+    return " ".join("".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(r.randint(6, 9)))
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Each row loses lines of its own text only; blocks of any length go whole."""
+    foot = "This footer stands in every page of the site."
+    rows = [(i, "\n".join([said(i, 0), said(i, 1), foot, said(i, 2)])) for i in range(20)]
+    other = "\n".join([said(99, 0), said(99, 1), said(99, 2), said(99, 3)])
+    rows += [(1, other), (1, other), (None, "\n".join([said(77, 0), foot, said(77, 1)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("x"), "row": F.lit(1), "n_dropped": F.lit(None).cast("int")})
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in lines.without_recurring_lines(df).collect())
+    assert got == Counter((i, t.replace(foot + "\n", ""), t.count("\n") + 1, int(foot in t)) for i, t in rows)
+
+
+@pytest.mark.parametrize("length", [4, 40])
+def test_a_block_is_judged_at_once(spark, length, monkeypatch):
+    block = [f"License line {chr(97 + j % 26)}{chr(97 + j // 26)} of the terms that hold {'so ' * (j % 5)}here" for j in range(length)]
+    rows = [(i, "\n".join([said(i, 0), *block, said(i, 1), said(i, 2)])) for i in range(20)]
+    made = []
+    plain = lines.keep
+    monkeypatch.setattr(lines, "keep", lambda df, **how: made.append(1) or plain(df, **how))
+    got = {r.doc_id: r.text for r in lines.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join([said(i, 0), said(i, 1), said(i, 2)]) for i, _ in rows} and len(made) <= 22
+
+
+def test_look_alikes_of_secrets():
+    """Forms of the table drawn in lines that aren't in it: few part numbers, commits, encoded images and ids are taken, most credentials are."""
+    net, r = secrets.fitted(list(examples.secret_forms(3_600))), random.Random(9)
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    parts = lambda r: "".join(r.choices("ABCDEFGH", k=3)) + f"-{r.randint(1000, 9999)}-XY"
+    forms = {
+        "part": ("replace the part {v} now", parts, False), "commit": ("reverted by {v}", lambda r: hexes(8), False), "image": ("background: url(data:image/gif;base64,{v}) x", lambda r: "".join(r.choices(examples.BASE64, k=200)), False),
+        "uuid": ("the id {v} was", lambda r: f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", False), "hex": ("the value {v} was seen", lambda r: hexes(22), True), "yaml": ("db_pass: {v}", examples.PASSWORDS[0], True), "key": ("use {v} for it", examples.SECRET_VALUES[1], True),
+    }
+    for name, (line, make, good) in forms.items():
+        hit = 0
+        for _ in range(60):
+            text = line.replace("{v}", make(r))
+            spots = secrets.candidates(text, secrets.base_spans(text))
+            hit += bool(spots) and bool((net.scores([secrets.window_of(text, *s) for s in spots]) >= net.threshold).any())
+        assert hit >= 48 if good else hit <= 3, (name, hit)
