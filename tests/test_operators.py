@@ -281,6 +281,72 @@ def test_refit_saves_and_registers_the_rooms_that_are_due(spark, tmp_path):
     assert nothing.count() == 0
 
 
+def labelled_rows(spark, n=400, label=lambda a, b: float(a > 0.5 and b > 0.5)):
+    """Rows an hour apart whose label is a rule over two values, which the features repeat, as a forest's node sees 5 of 25."""
+    rng, rows, start = np.random.default_rng(4), [], dt.datetime(2024, 1, 1)
+    for i in range(n):
+        a, b = (float(rng.integers(2)) for _ in range(2))
+        rows.append((i, start + dt.timedelta(hours=i), f"r{i % 2}", "door", 15, label(a, b), *[(a, b)[j % 2] for j in range(len(learning.NUMERIC))]))
+    return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, room string, sensor_type string, horizon_minutes int, label double, " + ", ".join(f"{c} double" for c in learning.NUMERIC)), rows
+
+
+def test_classifiers_learn_a_known_rule(spark):
+    frame, rows = labelled_rows(spark)
+    train, test = learning.split_by_time(frame)
+    cut = rows[0][1] + 0.75 * (rows[-1][1] - rows[0][1])
+    assert (train.count(), test.count()) == (sum(r[1] <= cut for r in rows), sum(r[1] > cut for r in rows))
+    scored = learning.score(learning.fit_ensemble(train), test).cache()
+    truth = {r[0]: r[5] for r in rows}
+    assert all(r.p == truth[r.event_id] for r in scored.where("model_name = 'tree'").collect())
+    assert all((r.p > 0.5) == (truth[r.event_id] > 0.5) for r in scored.where("model_name = 'forest'").collect())
+    got = {r.model_name: (r.accuracy, r.n) for r in learning.accuracy(scored, ["horizon_minutes", "model_name"]).collect()}
+    assert got["tree"] == got["forest"] == (1.0, test.count()) and got["logistic"][0] >= 0.9
+
+
+def test_search_ranks_settings_by_what_they_can_express(spark):
+    frame, rows = labelled_rows(spark)
+    got = {r.params: r.perf for r in learning.search(frame, {"tree": [{"maxDepth": 0}, {"maxDepth": 1}, {"maxDepth": 2}, {"maxDepth": 2, "minInstancesPerNode": 1000}]}).collect()}
+    late = [r for r in rows if r[1] > rows[0][1] + 0.75 * (rows[-1][1] - rows[0][1])]
+    none = sum(r[5] == 0 for r in late) / len(late)  # what saying no gives: one half of the rule alone is no better
+    assert got == {"maxDepth=0": none, "maxDepth=1": got["maxDepth=1"], "maxDepth=2": 1.0, "maxDepth=2,minInstancesPerNode=1000": none}
+    assert none <= got["maxDepth=1"] < 1.0
+    assert sum(len(x) for x in learning.GRID.values()) == 28
+
+
+def test_prefix_span_against_all_subsequences(spark):
+    import itertools
+    import math
+
+    rng = np.random.default_rng(8)
+    sessions = [[str(x) for x in rng.choice(list("abc"), rng.integers(1, 7))] for _ in range(40)]
+    frame = spark.createDataFrame([([[x] for x in s],) for s in sessions], "sequence array<array<string>>")
+    want = {}
+    for s in sessions:
+        for p in {c for n in (1, 2, 3) for c in itertools.combinations(s, n)}:
+            want["->".join(p)] = want.get("->".join(p), 0) + 1
+    for least in (0.1, 0.35):
+        got = {r.pattern: r.freq for r in patterns.prefix_span(frame, least, 3).collect()}
+        assert got == {p: n for p, n in want.items() if n >= math.ceil(least * 40)} and got
+
+
+def test_pruned_versions_take_their_pipelines_along(spark, tmp_path):
+    now = dt.datetime(2024, 1, 29, 12)
+    frame, _ = labelled_rows(spark, 700)
+    none = spark.createDataFrame([], "model_id string, room string, model_type string, version long, parent string, metrics double, created_at timestamp_ntz")
+    bad = lambda *rooms: spark.createDataFrame([(room, now - dt.timedelta(minutes=m), 0.1) for room in rooms for m in range(8)], "room string, ts timestamp_ntz, accuracy_score double")
+    registry, times = none, [now + dt.timedelta(hours=h) for h in range(3)]
+    for at, rooms in zip(times, (("r0", "r1"), ("r0",), ("r0",)), strict=True):
+        registry = learning.refit(frame, bad(*rooms), registry, at, str(tmp_path), "tree", more_than=5)
+    first = registry.where("version = 1 and room = 'r0'").first()
+    mine = [r.ts for r in frame.where("room = 'r0'").collect() if now - dt.timedelta(days=7) < r.ts <= now]
+    assert (first.train_start, first.train_end, first.metrics) == (min(mine), max(mine), float(len(mine)))
+    left = learning.prune(registry, str(tmp_path), 1)
+    assert {(r.model_id, r.is_active) for r in left.collect()} == {("r0_tree_v3", True), ("r1_tree_v1", True)}
+    there = [(tmp_path / "tree" / f"{t:%Y%m%dT%H%M%S}").exists() for t in times]
+    assert there == [True, False, True]  # the first is still r1's
+    learning.load_active(left, str(tmp_path), "r1", "tree")
+
+
 def test_last_errors_are_the_newest_with_a_running_count(spark):
     letters = spark.createDataFrame([(f"m{i}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i // 2), "malformed") for i in range(9)], "value string, arrived timestamp, reason string")
     assert sorted((r.failed, r.value) for r in so.last_errors(letters, 3).collect()) == [(7, "m6"), (8, "m7"), (9, "m8")]

@@ -82,6 +82,54 @@ def test_expiry_drops_folders_and_rewrites_the_border(spark, events):
         assert not any(f.split("event_date=")[1][:10] < border.date().isoformat() for f in after)
 
 
+@pytest.mark.parametrize("days, together", [(7, 1), (7, 4), (3, 2)])
+def test_an_import_goes_on_where_it_stopped(spark, events, days, together):
+    at, finished = tables.folder(spark), tables.folder(spark)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    until = last + dt.timedelta(microseconds=1)
+    how = {"days": days, "together": together}
+    assert tables.import_chunks(events, at, finished, first, until, at_most=2, **how) == 2
+    two = files(local(at))
+    assert len({os.path.dirname(f) for f in two}) == 2
+    rest = tables.import_chunks(events, at, finished, first, until, **how)
+    assert rest == len(tables.chunks(first, until, days)) - 2 and tables.import_chunks(events, at, finished, first, until, **how) == 0
+    after = files(local(at))
+    assert all(after.get(f) == t for f, t in two.items())
+    got = spark.read.parquet(at)
+    assert rows(got.select("event_id", "ts")) == rows(events.select("event_id", "ts"))
+    log = {r.chunk: r.n for r in spark.read.parquet(finished).collect()}
+    assert log == {r.chunk: r["count"] for r in got.groupBy("chunk").count().collect()}
+
+
+def test_an_import_replaces_what_was_cut_off_and_widens_chunks(spark, events):
+    at, finished = tables.folder(spark), tables.folder(spark)
+    cut = [dt.datetime(2024, 1, d, h) for d, h in ((3, 5), (10, 7), (17, 0))]
+    # a run that was stopped after a chunk's data and before its row in the log
+    tables.import_chunks(events, at, tables.folder(spark), cut[0], cut[1])
+    assert tables.import_chunks(events, at, finished, cut[0], cut[1]) == 2
+    assert tables.import_chunks(events, at, finished, cut[1], cut[2]) == 2  # the second chunk is widened, a third is new
+    inside = events.where((F.col("ts") >= F.lit(cut[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(cut[2]).cast("timestamp_ntz")))
+    assert rows(spark.read.parquet(at).select("event_id")) == rows(inside.select("event_id"))
+    nothing = tables.folder(spark)
+    assert tables.import_chunks(events, at, nothing, cut[0], cut[0]) == 0 and spark.read.parquet(nothing).count() == 0
+
+
+def test_states_are_read_from_a_database_in_ranges(spark, events):
+    """An embedded database in memory, that Spark brings along."""
+    url = "jdbc:derby:memory:states;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = events.select("event_id", "entity_id", F.col("ts").cast("timestamp").alias("last_changed"))
+    df.write.format("jdbc").options(url=url, dbtable="states", **driver).mode("overwrite").save()
+    got = tables.database_states(spark, url, "states", partitions=5, lower="2024-01-01 00:00:00", upper="2024-01-31 00:00:00", **driver)
+    assert got.rdd.getNumPartitions() == 5 and rows(got) == rows(df)
+    at, finished = tables.folder(spark), tables.folder(spark)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    states = got.withColumn("ts", F.col("last_changed").cast("timestamp_ntz"))
+    assert tables.import_chunks(states, at, finished, first, last + dt.timedelta(microseconds=1), at_most=2) == 2
+    tables.import_chunks(states, at, finished, first, last + dt.timedelta(microseconds=1))
+    assert spark.read.parquet(at).count() == events.count()
+
+
 @pytest.mark.parametrize("size, step", [(20, 10), (7, 3)])
 def test_counted_windows_over_triggers(spark, events, size, step):
     df = events.withColumn("ts", F.col("ts").cast("timestamp")).select("room", "event_id", "ts")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidelark.functions import enrich
 from tidelark.operators import movement, occupancy, temporal
 from tidelark.operators.rollups import within
+from tidelark.sources.tables import discard, kept
 
 NUMERIC = ["hour", "day_of_week", "minute_of_day", "is_weekend", "is_morning", "is_afternoon", "is_evening", "is_night", "hour_sin", "hour_cos", "day_sin", "day_cos", "hour_x_day", "state_x_hour", "active", "delta_s", "room_30m", "type_30m", "concurrent", "cross_room", "is_full_zone", "is_subzone", "coverage"]
 
@@ -85,8 +86,18 @@ def needs_retraining(results: DataFrame, as_of: Column, least: float = 0.6, more
     return out.where((F.col("n") > more_than) & (F.col("accuracy") < least))
 
 
-#: The grid that is searched; add entries for wider searches.
-GRID = {"forest": [{"numTrees": 5}, {"numTrees": 10, "maxDepth": 3}], "tree": [{"maxDepth": 3}, {"maxDepth": 5}], "logistic": [{"regParam": 0.01}, {"regParam": 0.1}]}
+# fixed values: the settings that are searched
+FOREST_TREES = (5, 10, 15)
+FOREST_FEATURES = ("sqrt", "log2", "all")
+TREE_ROWS = (100, 200, 500)
+L2 = (0.001, 0.01, 0.1, 1.0)
+L1 = (0.0, 0.001, 0.01, 0.1)
+#: All combinations; a tree's least rows of a leaf stand for the rows that an online one waits for before a split.
+GRID = {
+    "forest": [{"numTrees": n, "featureSubsetStrategy": f} for n in FOREST_TREES for f in FOREST_FEATURES],
+    "tree": [{"minInstancesPerNode": n} for n in TREE_ROWS],
+    "logistic": [{"regParam": a + b, "elasticNetParam": b / (a + b)} for a in L2 for b in L1],
+}
 
 
 def search(rows: DataFrame, grid=None, parallelism: int = 4) -> DataFrame:
@@ -122,13 +133,15 @@ def refit(rows: DataFrame, results: DataFrame, registry: DataFrame, as_of: dt.da
 
     ``rows`` are labelled; those of the last 7 days train one pipeline, which
     is saved in ``folder`` (one that driver and executors share) and registered
-    for each of these rooms that has rows, with their number as its metrics.
+    for each of these rooms that has rows, with their number as its metrics and
+    their first and last time as its train range.
     Without such rows nothing is fitted or added.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
     due = needs_retraining(results, now, least, more_than).select("room")
     recent = within(rows, now, 7).join(due, "room", "left_semi").persist()
-    entry = recent.groupBy("room").agg(F.count("*").cast("double").alias("metrics")).select("room", F.lit(kind).alias("model_type"), "metrics", now.alias("created_at"))
+    entry = recent.groupBy("room").agg(F.count("*").cast("double").alias("metrics"), F.min("ts").alias("train_start"), F.max("ts").alias("train_end"))
+    entry = entry.select("room", F.lit(kind).alias("model_type"), "metrics", now.alias("created_at"), "train_start", "train_end")
     if not recent.isEmpty():
         pipeline(kind).fit(recent).write().overwrite().save(model_path(folder, kind, as_of))
     return register(registry, entry)
@@ -143,11 +156,33 @@ def load_active(registry: DataFrame, folder: str, room: str, model_type: str) ->
 
 
 def register(registry: DataFrame, entry: DataFrame) -> DataFrame:
-    """Appends entries (room, model_type, metrics, created_at) with the next version of each and makes them the active ones."""
+    """Appends entries (room, model_type, metrics, created_at) with the next version of each and makes them the active ones.
+
+    train_start and train_end are null where entries or the registry don't have them.
+    """
+    ranged = lambda df: df.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("train_start", "train_end") if c not in df.columns})
     newest = registry.groupBy("room", "model_type").agg(F.max("version").alias("_v"))
     w = W.partitionBy("room", "model_type").orderBy("created_at")
-    added = entry.join(newest, ["room", "model_type"], "left").withColumn("version", (F.coalesce("_v", F.lit(0)) + F.row_number().over(w)).cast("long"))
+    added = ranged(entry).join(newest, ["room", "model_type"], "left").withColumn("version", (F.coalesce("_v", F.lit(0)) + F.row_number().over(w)).cast("long"))
     added = added.withColumn("parent", F.when(F.col("version") > 1, F.concat_ws("_", "room", "model_type", F.concat(F.lit("v"), (F.col("version") - 1).cast("string")))))
-    added = added.select(F.concat_ws("_", "room", "model_type", F.concat(F.lit("v"), F.col("version").cast("string"))).alias("model_id"), "room", "model_type", "version", "parent", "metrics", "created_at")
-    both = registry.select(*added.columns).unionByName(added)
+    added = added.select(F.concat_ws("_", "room", "model_type", F.concat(F.lit("v"), F.col("version").cast("string"))).alias("model_id"), "room", "model_type", "version", "parent", "metrics", "created_at", "train_start", "train_end")
+    both = ranged(registry).select(*added.columns).unionByName(added)
     return both.withColumn("is_active", F.col("version") == F.max("version").over(W.partitionBy("room", "model_type")))
+
+
+def newest_versions(registry: DataFrame, most: int = 10) -> DataFrame:
+    """The ``most`` newest versions of each room and model type."""
+    w = W.partitionBy("room", "model_type").orderBy(F.desc("version"))
+    return registry.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).drop("_i")
+
+
+def prune(registry: DataFrame, folder: str, most: int = 10) -> DataFrame:
+    """The registry without versions beyond the ``most`` newest; pipelines that no row is left of are deleted.
+
+    Rooms that were fitted together share a pipeline: it stays as long as one of them is kept.
+    """
+    left = kept(newest_versions(registry, most))
+    fitted = lambda df: df.select("model_type", "created_at").distinct()
+    for r in fitted(registry).join(fitted(left).hint("merge"), ["model_type", "created_at"], "left_anti").toLocalIterator():
+        discard(registry.sparkSession, model_path(folder, r.model_type, r.created_at))
+    return left

@@ -79,7 +79,14 @@ def _(v):
     return out.select("room", "signature", "n", "frequency", r6("expected").alias("expected"), r6("significance").alias("significance"))
 
 
-@query("m07_prefix_span")
+SPANS = """, st AS (SELECT dense_rank() OVER (ORDER BY room, CAST(ts AS DATE), hour(ts)) AS s, row_number() OVER (PARTITION BY room, CAST(ts AS DATE), hour(ts) ORDER BY ts, event_id) AS i, sensor_type || '-' || state AS x FROM se),
+ -- the earliest end of each session's pattern is enough to extend it
+ p1 AS (SELECT s, x AS pattern, min(i) AS e FROM st GROUP BY ALL), p2 AS (SELECT a.s, a.pattern || '->' || b.x AS pattern, min(b.i) AS e FROM p1 a JOIN st b ON b.s = a.s AND b.i > a.e GROUP BY ALL),
+ p3 AS (SELECT a.s, a.pattern || '->' || b.x AS pattern, min(b.i) AS e FROM p2 a JOIN st b ON b.s = a.s AND b.i > a.e GROUP BY ALL), pp AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)
+SELECT pattern, count(*) AS freq FROM pp GROUP BY 1 HAVING count(*) >= (SELECT ceil(0.05 * max(s)) FROM st)"""
+
+
+@query("m07_prefix_span", SPANS)
 def _(v):
     return patterns.prefix_span(patterns.daily_sessions(v.se, patterns.token("sensor_type", "state")), least_support=0.05, longest=3)
 

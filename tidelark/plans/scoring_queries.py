@@ -164,15 +164,26 @@ def _(v):
     return learning.search(learning.labelled(v.se, v.oc, [15]), {"tree": [{"maxDepth": 2}, {"maxDepth": 4}], "logistic": [{"regParam": 0.1}]}).select("model_type", "params", "perf")
 
 
-REG = ", g AS (SELECT room, model_name AS model_type, round(avg(probability), 6) AS metrics, max(ts) AS created_at FROM pr GROUP BY ALL), o AS (SELECT room || '_' || model_type || '_v1' AS model_id, room, model_type, CAST(1 AS BIGINT) AS version, NULL AS parent, metrics, created_at - INTERVAL 1 DAY AS created_at FROM g WHERE model_type <> 'm0')"
+REG = """, g AS (SELECT room, model_name AS model_type, round(avg(probability), 6) AS metrics, max(ts) AS created_at, min(ts) AS train_start, max(ts) AS train_end FROM pr GROUP BY ALL), o AS (SELECT room || '_' || model_type || '_v1' AS model_id, CAST(1 AS BIGINT) AS version, CAST(NULL AS VARCHAR) AS parent, metrics, train_start, train_end, room, model_type FROM g WHERE model_type <> 'm0'),
+ a AS (SELECT model_id, version, parent, metrics, train_start, train_end, false AS is_active, room, model_type FROM o UNION ALL SELECT room || '_' || model_type || '_v' || CASE WHEN model_type <> 'm0' THEN 2 ELSE 1 END, CASE WHEN model_type <> 'm0' THEN 2 ELSE 1 END, CASE WHEN model_type <> 'm0' THEN room || '_' || model_type || '_v1' END, metrics, train_start, train_end, true, room, model_type FROM g)"""
 
 
-@query("e20_registry", REG + "SELECT model_id, version, parent, metrics, model_type = 'never' AS is_active FROM o UNION ALL SELECT room || '_' || model_type || '_v' || CASE WHEN model_type <> 'm0' THEN 2 ELSE 1 END, CASE WHEN model_type <> 'm0' THEN 2 ELSE 1 END, CASE WHEN model_type <> 'm0' THEN room || '_' || model_type || '_v1' END, metrics, true FROM g")
-def _(v):
-    g = v.pr.groupBy("room", F.col("model_name").alias("model_type")).agg(r6(F.avg("probability")).alias("metrics"), F.max("ts").alias("created_at"))
+def registry(v):
+    """Two rounds of entries: all models but m0 a day earlier, then all."""
+    g = v.pr.groupBy("room", F.col("model_name").alias("model_type")).agg(r6(F.avg("probability")).alias("metrics"), F.max("ts").alias("created_at"), F.min("ts").alias("train_start"), F.max("ts").alias("train_end"))
     empty = g.where("false").select(F.lit("").alias("model_id"), "room", "model_type", F.lit(0).cast("long").alias("version"), F.lit(None).cast("string").alias("parent"), "metrics", "created_at")
     first = learning.register(empty, g.where("model_type <> 'm0'").withColumn("created_at", F.col("created_at") - F.make_dt_interval(days=F.lit(1))))
-    return learning.register(first, g).select("model_id", "version", "parent", "metrics", "is_active")
+    return learning.register(first, g)
+
+
+@query("e20_registry", REG + "SELECT model_id, version, parent, metrics, train_start, train_end, is_active FROM a")
+def _(v):
+    return registry(v).select("model_id", "version", "parent", "metrics", "train_start", "train_end", "is_active")
+
+
+@query("e20_newest_versions", REG + "SELECT model_id, version, is_active FROM a QUALIFY row_number() OVER (PARTITION BY room, model_type ORDER BY version DESC) <= 1")
+def _(v):
+    return learning.newest_versions(registry(v), 1).select("model_id", "version", "is_active")
 
 
 @query("e21_serving", f", c AS (SELECT room, arg_max(probability, (ts, event_id)) AS p, max(ts) + INTERVAL 120 SECOND AS x FROM pr WHERE ts <= {T} AND room <> 'kitchen' GROUP BY room), d AS (SELECT room, avg(probability) AS p FROM pr GROUP BY room) SELECT d.room, round(CASE WHEN c.x > {T} THEN c.p ELSE d.p END, 6) AS probability, coalesce(c.x > {T}, false) AS from_cache FROM d LEFT JOIN c USING (room)")

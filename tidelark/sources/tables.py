@@ -158,6 +158,54 @@ def backfill(states: DataFrame, meta: DataFrame, attributes: DataFrame, start: C
     return rows.join(meta, "entity_id", "left").join(attributes, "attributes_id", "left")
 
 
+#: A Monday that all chunks of days are counted from, so that runs over other ranges have the same chunks.
+FIRST_DAY = datetime(1970, 1, 5)
+
+
+def chunks(start: datetime, end: datetime, days: int = 7) -> list[tuple[datetime, datetime]]:
+    """[start, end) cut at every ``days`` days after FIRST_DAY."""
+    step, out = timedelta(days=days), []
+    at = start
+    while at < end:
+        to = min(FIRST_DAY + ((at - FIRST_DAY) // step + 1) * step, end)
+        out.append((at, to))
+        at = to
+    return out
+
+
+def import_chunks(states: DataFrame, path: str, finished: str, start: datetime, end: datetime, *, days: int = 7, together: int = 4, at_most: int | None = None) -> int:
+    """Imports the rows of [start, end) chunk by chunk, going on where an earlier run stopped; returns how many chunks it imported.
+
+    A chunk is a partition of ``path``, named after its first day, and a row of ``finished`` (chunk, first, last,
+    n) that is written after its data, so one that was cut off is imported again and replaces what it left.
+    ``together`` chunks are one job; their range of time reaches the scan of ``states``.  A chunk that was
+    imported for a part of its days is widened: it is imported whole and has one more row in ``finished``.  ``at_most`` stops a run early.  Rows without a time belong to no chunk.
+    """
+    spark, step = states.sparkSession, timedelta(days=days)
+    schema = "chunk date, first timestamp_ntz, last timestamp_ntz, n long"
+    spark.createDataFrame([], schema).write.mode("append").parquet(finished)
+    # a row for each chunk, however many rows of states there are
+    done = {r.chunk: (r.a, r.b) for r in spark.read.schema(schema).parquet(finished).groupBy("chunk").agg(F.min("first").alias("a"), F.max("last").alias("b")).collect()}
+    wanted = []
+    for first, last in chunks(start, end, days):
+        name = (FIRST_DAY + (first - FIRST_DAY) // step * step).date()
+        a, b = done.get(name, (first, last))
+        if name not in done or first < a or last > b:
+            wanted.append((name, min(a, first), max(b, last)))
+    wanted = wanted[:at_most]
+    chunk = F.date_add(F.lit(FIRST_DAY.date()), (F.floor(F.date_diff(F.to_date("ts"), F.lit(FIRST_DAY.date())) / days) * days).cast("int"))
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    for i in range(0, len(wanted), together):
+        part = wanted[i : i + together]
+        rows = between(states, at(part[0][1]), at(part[-1][2]), closed=False).withColumn("chunk", chunk)
+        rows = rows.where(" OR ".join(f"(ts >= TIMESTAMP_NTZ '{a}' AND ts < TIMESTAMP_NTZ '{b}')" for _, a, b in part))
+        rows.hint("rebalance", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+        ranges = spark.createDataFrame(part, "chunk date, first timestamp_ntz, last timestamp_ntz")
+        written = spark.read.schema(rows.schema).parquet(path).where(F.col("chunk").isin([name for name, *_ in part])).groupBy("chunk").agg(F.count("*").alias("n"))
+        ranges.join(written.hint("merge"), "chunk", "left").select("chunk", "first", "last", F.coalesce("n", F.lit(0)).cast("long").alias("n")).write.mode("append").parquet(finished)
+    return len(wanted)
+
+
 def database_states(spark: SparkSession, url: str, table: str, *, partitions: int, lower: str, upper: str, **options) -> DataFrame:
     """The same history over JDBC, read in parallel by time of change."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="last_changed", lowerBound=lower, upperBound=upper, numPartitions=str(partitions), **options)
