@@ -30,7 +30,7 @@ _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe button select option textarea svg canvas object audio video dialog menu title datalist".split())
-# class and id words that name what is not the article
+# class and id words that name what is not the article; a name that has other words too is no more than a hint
 _NOISE = frozenset("nav navbar navigation menu menubar sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert banner advert adverts advertisement advertising ad ads adbox sponsor sponsored comment comments commentlist reply replies respond disqus newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination popup modal".split())
 # words that may also name a part of an article: the text under them decides
 _WEAK = frozenset("promo promotion discussion share sharing social related recommended pager widget overlay toolbar copyright disclaimer search".split())
@@ -50,9 +50,9 @@ def _words(value: str) -> list[str]:
     return out
 
 
-def _element(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, bool]:
-    """Generalised name, whether the element isn't part of an article, and whether its text has to tell."""
-    name, noise, weak = tag, tag in _NOISE_TAGS or (tag == "header" and not inside_main), False
+def _element(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, bool, bool]:
+    """Generalised name, whether the element isn't part of an article, whether its text has to tell, and whether its name hints that it isn't."""
+    name, noise, weak, hint = tag, tag in _NOISE_TAGS or (tag == "header" and not inside_main), False, False
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -62,7 +62,9 @@ def _element(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, bool]:
                 continue
             if key == "class" or (key == "id" and tag not in _HEADINGS):  # a heading's id is an anchor
                 words = set(_words(value))
-                noise = noise or bool(words & _NOISE) or ("header" in words and not inside_main)
+                named = words & _NOISE or ("header" in words and not inside_main)
+                noise = noise or bool(named and words <= _NOISE | {"header"})
+                hint = hint or bool(named)
                 weak = weak or bool(words & _WEAK)
             elif key == "role":
                 noise = noise or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar")
@@ -70,7 +72,7 @@ def _element(tag: str, attrs: str, inside_main: bool) -> tuple[str, bool, bool]:
                 noise = True
             elif key == "style":
                 noise = noise or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return name, noise, weak
+    return name, noise, weak, hint and not noise
 
 
 @dataclass
@@ -116,9 +118,16 @@ LEAST_PART = 200
 
 
 def read(html: str) -> Page:
+    """The page's blocks without what isn't part of its article.
+
+    Tags, roles and names made only of words for other parts (``comments``, ``cookie-notice``) decide by themselves.  A
+    name that also has other words (``comment-piece``, ``cookie-recipes``) hides its part unless the page has no
+    article without it: under LEAST_PART unlinked characters remain, this part has as many or more, most of its
+    text isn't linked, and no other part of the page has its name, as single comments and adverts do.
+    """
     page = Page()
     listed: list[tuple[int, str, int, bool, int]] = []  # the last is the innermost doubtful part
-    part_parent, part_text, part_linked = [-1], [0], [0]
+    part_parent, part_text, part_linked, part_hint = [-1], [0], [0], [""]
     stack: list[tuple[str, bool, bool, int, int]] = []  # tag, noise, inside article or main, path, doubtful part
     opened: Counter[str] = Counter()
     top = ("", False, False, 0, 0)
@@ -189,7 +198,8 @@ def read(html: str) -> Page:
         if tag in _INLINE:
             if tag == "a":
                 in_link = True
-            if attrs and not noisy and _element(tag, attrs, main)[1]:
+            found = _element(tag, attrs, main) if attrs and not noisy else ("", False, False, False)
+            if found[1] or found[3]:
                 push((tag, True, main, path, part))
             elif noisy and stack[-1][0] in _INLINE and tag == stack[-1][0]:
                 push((tag, True, main, path, part))
@@ -216,21 +226,34 @@ def read(html: str) -> Page:
             close(next(i for i, x in enumerate(stack) if x[0] == "head"))
         flush()
         _, noisy, main, path, part = stack[-1] if stack else top
-        name, noise, weak = _element(tag, attrs, main)
-        if weak and not noisy and not noise:
+        name, noise, weak, hint = _element(tag, attrs, main)
+        if (weak or hint) and not noisy and not noise:
             part_parent.append(part)
             part_text.append(0)
             part_linked.append(0)
+            part_hint.append(name if hint else "")
             part = len(part_parent) - 1
         push((tag, noisy or noise, main or tag in ("article", "main"), path if tag in _LEAF or noisy or noise else page.path(path, name), part))
     add(html[at:])
     flush()
     for i in range(len(part_parent) - 1, 0, -1):
-        part_text[part_parent[i]] += part_text[i]
-        part_linked[part_parent[i]] += part_linked[i]
+        if not part_hint[i]:
+            part_text[part_parent[i]] += part_text[i]
+            part_linked[part_parent[i]] += part_linked[i]
+    hinted = [bool(x) for x in part_hint]
+    # parts inside a hinted one go with it or are its text; only outermost ones can be the article
+    inside = [False] * len(part_parent)
+    for i in range(1, len(part_parent)):
+        inside[i] = inside[part_parent[i]] or hinted[part_parent[i]]
+    unlinked = lambda i: part_text[i] - part_linked[i]
+    if any(hinted) and unlinked(0) < LEAST_PART:
+        names = Counter(part_hint)
+        article = [i for i, x in enumerate(hinted) if x and not inside[i] and names[part_hint[i]] == 1 and unlinked(i) >= LEAST_PART and 2 * part_linked[i] <= part_text[i]]
+        if article:
+            hinted[max(article, key=lambda i: (unlinked(i), -i))] = False
     gone = [False] * len(part_parent)
     for i in range(1, len(part_parent)):
-        gone[i] = gone[part_parent[i]] or part_text[i] - part_linked[i] < LEAST_PART or 2 * part_linked[i] > part_text[i]
+        gone[i] = gone[part_parent[i]] or hinted[i] or unlinked(i) < LEAST_PART or 2 * part_linked[i] > part_text[i]
     page.blocks = [x[:4] for x in listed if not gone[x[4]]]
     return page
 
