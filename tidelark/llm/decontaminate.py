@@ -146,6 +146,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, window: int = 10, k: in
     hits = keep(opened.join(named.drop("ids").hint("merge"), ["size", "mark", "w1", "w2"]).select("doc_id", "row", "lo", "size", "names"))
     of_doc = hits.groupBy("doc_id", "row")
     places = of_doc.agg(F.collect_set(F.struct("lo", "size")).alias("hits"))
-    listed = hits.select("doc_id", "row", "names").distinct().join(names.hint("merge"), "names").groupBy("doc_id", "row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    found = hits.select("doc_id", "row", "names").distinct().join(names.hint("merge"), "names").select("doc_id", "row", F.explode("ids").alias("id"))
+    listed = found.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("id")).alias("items"))  # no more than the result has
     joined = near.drop("near").join(keep(places).hint("merge"), ["doc_id", "row"], "left").join(keep(listed).hint("merge"), ["doc_id", "row"], "left")
     return joined.select("doc_id", "row", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(_extended, FOUND)
