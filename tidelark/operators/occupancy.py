@@ -74,7 +74,7 @@ def with_outcome(preds: DataFrame, occupancy: DataFrame, tolerance_s: float = 30
     seen = occupancy.select("room", F.col("ts").alias("_ots"), F.col("occupied").alias("_occ"), F.col("event_id").alias("_oid"))
     pairs = interval_join(preds.select("event_id", "room", "predicted_for"), seen, ["room"], "predicted_for", "_ots", -tolerance_s, tolerance_s)
     nearest = pairs.groupBy("event_id").agg(F.min_by("_occ", F.struct(F.abs(seconds_between("_ots", "predicted_for")), "_ots", "_oid")).alias("actual_outcome"))
-    return preds.join(nearest, "event_id", "left").withColumn("prediction_error", F.abs(F.col("probability") - F.col("actual_outcome").cast("double")))
+    return preds.join(nearest.hint("merge"), "event_id", "left").withColumn("prediction_error", F.abs(F.col("probability") - F.col("actual_outcome").cast("double")))
 
 
 def accuracy_near(preds: DataFrame, occupancy: DataFrame, tolerance_s: float) -> DataFrame:

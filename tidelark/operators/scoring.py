@@ -28,7 +28,7 @@ def model_weights(history: DataFrame, recent: DataFrame | None = None, least_row
 
 def ensemble(scores: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted probability, uncertainty and agreement of each key's models."""
-    joined = scores.join(weights, ["room", "model_name"])
+    joined = scores.join(weights.hint("merge"), ["room", "model_name"])
     n = F.count("*")
     spread = F.max("p") - F.min("p")
     sure = F.sum(F.abs(F.col("p") - 0.5) * F.col("weight")) / n
@@ -42,7 +42,7 @@ def ensemble(scores: DataFrame, weights: DataFrame, keys: list[str]) -> DataFram
 
 def contributions(scores: DataFrame, weights: DataFrame) -> DataFrame:
     """Each model's share of its key's weighted probability."""
-    joined = scores.join(weights, ["room", "model_name"])
+    joined = scores.join(weights.hint("merge"), ["room", "model_name"])
     return joined.withColumn("contribution", F.col("p") * F.col("weight"))
 
 

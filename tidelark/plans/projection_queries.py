@@ -202,7 +202,7 @@ def _(v):
 @query("p32_batch_requests", "SELECT r.room, h.h AS horizon_minutes, count(p.event_id) AS n FROM (SELECT DISTINCT room FROM se) r CROSS JOIN (SELECT unnest([15, 30, 60, 120, 180]) AS h) h LEFT JOIN pr p ON p.room = r.room AND p.horizon_minutes = h.h GROUP BY ALL")
 def _(v):
     asked = v.se.select("room").distinct().select("room", F.explode(F.array(*map(F.lit, (15, 30, 60, 120, 180)))).alias("horizon_minutes"))
-    return asked.join(v.pr.groupBy("room", "horizon_minutes").agg(F.count("*").alias("n")), ["room", "horizon_minutes"], "left").select("room", "horizon_minutes", F.coalesce("n", F.lit(0)).alias("n"))
+    return asked.join(v.pr.groupBy("room", "horizon_minutes").agg(F.count("*").alias("n")).hint("merge"), ["room", "horizon_minutes"], "left").select("room", "horizon_minutes", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("p33_horizon_score", "SELECT event_id, round(greatest(0.1, least(0.9, CASE WHEN horizon_minutes <= 30 THEN 0.5 + 0.1*probability*10 WHEN horizon_minutes > 60 THEN 0.5 + 0.2*confidence ELSE 0.5 END)), 6)::DOUBLE AS score FROM pr")
