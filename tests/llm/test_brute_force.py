@@ -428,6 +428,19 @@ def test_op2_rare_values(spark):
     assert got == {k: ["aa", "bb"][k // 2 % 2] for k in got} and len(got) == 1200
 
 
+def test_op2_more_labels_than_are_trained(spark):
+    """The labels with most rows are trained, ties by name; every row is identified, and the others' labels are evidence."""
+    say = lambda c, i: " ".join(f"{c}{c}{chr(97 + (i + j) % 26)}" for j in range(30))
+    rows = [(i, say("ab"[i % 2], i), ["aa", "bb"][i % 2]) for i in range(120)] + [(1000 + i, say("c", i), f"typo{i:04}") for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.train(frame, labels=100)
+    assert model.languages == ["aa", "bb"] + [f"typo{i:04}" for i in range(98)]
+    got = {r.doc_id: r for r in languages.identify(frame.withColumnRenamed("lang", "declared").selectExpr("*", "CAST(NULL AS string) AS host"), model, keys=["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].lang == lang for i, _, lang in rows[:120])
+    assert {got[1000 + i].lang[:4] for i in range(1200)} == {"typo"}
+
+
 @pytest.fixture(scope="module")
 def field():
     return personal.fitted(list(examples.personal_rows()))

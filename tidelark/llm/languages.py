@@ -19,8 +19,6 @@ from .extract import main_text
 from .frames import keep
 
 BUCKETS = 1 << 15
-#: The model has a column of BUCKETS numbers for each label.
-MOST_LABELS = 2_000
 _FOLD = bw.ALNUM[1]
 
 
@@ -58,18 +56,22 @@ class TextModel:
         return out * (np.minimum(n, most) / np.maximum(n, 1))[:, None]
 
 
-def train(labelled: DataFrame, of_each: int = 5_000) -> TextModel:
+def train(labelled: DataFrame, of_each: int = 5_000, labels: int = 500) -> TextModel:
     """Counts trigrams by label over (doc_id, text, lang); null labels and texts are left out.
 
     Of each label it takes about ``of_each`` documents, all where there are
     fewer, chosen by hashed doc_id; so a rare label is in the model like a
     common one.  Tasks count, a shuffle adds up, and one row of
     ``BUCKETS`` counts for each label comes to the driver.
+
+    The labelled rows that it learns from are those of the ``labels`` labels
+    with most rows, ties by name.  That bounds the model, which has a column of
+    ``BUCKETS`` numbers for each, where a free-text field puts a new label into
+    every other row.  Rows of other labels are identified like all others, and
+    what they declare stays evidence.  Repeated rows count as often as they stand.
     """
     some = labelled.where("lang is not null").select("doc_id", "text", "lang")
-    sizes = keep(some.groupBy("lang").count())  # a row for each label; reads no text
-    if sizes.count() > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels: these are not languages")
+    sizes = keep(some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels))  # reads no text
     share = F.lit(float(of_each)) / F.col("count")
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
     some = some.join(sizes.select("lang", share.alias("_share")).hint("broadcast"), "lang").where(place < F.col("_share")).drop("_share")
@@ -109,7 +111,8 @@ def identify(rows: DataFrame, model: TextModel, *, keys: list[str], is_page: str
     ``broadcast_rows`` rows and joined in a shuffle beyond.  If ``is_page`` names a boolean column, those texts are
     HTML.  Without any trained language, lang is null.  A text without letters
     is decided by its declaration and host.  Equal scores go to the first
-    language by name.
+    language by name.  Repeated rows are rows like any other.  Between the
+    steps a row carries two numbers for each language.
     """
     languages = model.languages
     if not languages:
@@ -128,35 +131,39 @@ def identify(rows: DataFrame, model: TextModel, *, keys: list[str], is_page: str
                 col = part.column("text")
                 if any(pages):
                     col = pa.array([visible(t) if p and t else t for p, t in zip(pages, col.to_pylist(), strict=True)], pa.large_string())
-                log = shared.value.scores(col, most)
-                flat = pa.array(log.ravel().astype(np.float64))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, log.shape[1]), pa.int32()), flat)], names=[*carried, "log"])
+                log = shared.value.scores(col, most).astype(np.float64)
+                soft = np.exp(log - log.max(1, keepdims=True))
+                soft /= soft.sum(1, keepdims=True)
+                first = pa.array(np.array(languages, dtype=object)[log.argmax(1)], pa.string())
+                ends = pa.array(np.arange(len(log) + 1) * len(languages), pa.int32())
+                both = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (log, soft)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *both, first], names=[*carried, "log", "soft", "text_lang"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*carried).schema)
-    scored = given.mapInArrow(run, f"{kind}, log array<double>")
-    top = F.array_max("log")
-    weights = F.transform("log", lambda x: F.exp(x - F.array_max("log")))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    scored = keep(scored.withColumn("soft", F.transform(weights, lambda x: x / total)).withColumn("text_lang", F.get(F.array(*map(F.lit, languages)), F.array_position("log", top).cast("int") - 1)))
+    scored = keep(given.mapInArrow(run, f"{kind}, log array<double>, soft array<double>, text_lang string"))
     n = range(len(languages))
     sums = [F.sum(F.col("soft")[i]) for i in n]
 
     hosts = keep(scored.groupBy("suffix", "host").agg(F.array(*sums).alias("of_host")))
-    suffixes = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.col("of_host")[i]) for i in n]).alias("of_suffix"))
-    everywhere = hosts.agg(*[F.sum(F.col("of_host")[i]).alias(f"x{i}") for i in n]).first()
-    total_all = sum(everywhere[f"x{i}"] or 0 for i in n) or 1.0
-    base = [((everywhere[f"x{i}"] or 0) + 1) / (total_all + len(languages)) for i in n]
+    in_all = F.aggregate("of_host", F.lit(0.0), lambda a, x: a + x)
+    suffixes = hosts.groupBy("suffix").agg(F.array(*[F.sum(F.col("of_host")[i]) for i in n]).alias("of_suffix"), F.sum(in_all).alias("in_suffix"))
+    sum_row = hosts.agg(*[F.sum(F.col("of_host")[i]).alias(f"x{i}") for i in n]).first()
+    everywhere = [sum_row[f"x{i}"] or 0.0 for i in n]
+    base = [(x + 1) / ((sum(everywhere) or 1.0) + len(languages)) for x in everywhere]
     known = scored.where("declared <> ''").groupBy("declared").agg(F.array(*sums).alias("of_declared"))
     kinds = known.count()
-    says = lambda i: F.when(F.col("of_declared").isNull(), 1.0).otherwise((F.col("of_declared")[i] + 0.5) / ((everywhere[f"x{i}"] or 0) + 0.5 * (kinds + 1)))
 
-    prior_s = lambda i: (F.coalesce(F.col("of_suffix")[i], F.lit(0.0)) + suffix_weight * base[i]) / (F.aggregate("of_suffix", F.lit(0.0), lambda a, x: a + x) + suffix_weight)
-    priors = keep(hosts.join(suffixes.hint("merge"), "suffix").select("host", "of_host", F.array(*map(prior_s, n)).alias("of_suffix")))
+    # Arrays meet element by element, so that an expression is as long for five hundred languages as for two.
+    prior = F.zip_with("of_suffix", F.lit(base), lambda x, b: (x + suffix_weight * b) / (F.col("in_suffix") + suffix_weight))
+    priors = keep(hosts.join(suffixes.hint("merge"), "suffix").select("host", "of_host", prior.alias("of_suffix")))
     small = lambda df, rows: df.hint("broadcast" if rows <= broadcast_rows else "merge")
     joined = scored.join(small(priors, priors.count()), "host").join(small(keep(known), kinds), "declared", "left")
-    rest = lambda i: F.greatest(F.col("of_host")[i] - F.col("soft")[i], F.lit(0.0)) + host_weight * F.col("of_suffix")[i]
-    score = [F.col("log")[i] + F.log(says(i)) + F.log(rest(i)) for i in n]
-    joined = joined.withColumn("score", F.array(*score)).withColumn("_best", F.array_max("score"))
+    others = F.zip_with("of_host", "soft", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    rest = F.zip_with(others, "of_suffix", lambda a, b: a + host_weight * b)
+    says = F.zip_with("of_declared", F.lit(everywhere), lambda a, b: (a + 0.5) / (b + 0.5 * (kinds + 1)))
+    score = F.when(F.col("of_declared").isNull(), F.col("log")).otherwise(F.zip_with("log", says, lambda a, b: a + F.log(b)))
+    score = F.zip_with(score, rest, lambda a, b: a + F.log(b))
+    joined = joined.withColumn("score", score).withColumn("_best", F.array_max("score"))
     sure = 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best")))
     lang = F.get(F.array(*map(F.lit, languages)), F.array_position("score", F.col("_best")).cast("int") - 1)
     return joined.select(*keys, "host", "declared", "text_lang", F.when(sure >= least_sure, lang).alias("lang"), sure.alias("probability"))
