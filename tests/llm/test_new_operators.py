@@ -132,6 +132,22 @@ def test_a_long_conversation_is_a_stream(spark):
     assert got[1] == repaired_by_hand([r[1:] for r in rows if r[0] == 1]) and got[2] == repaired_by_hand([(0, "user", "Q?")])
 
 
+def test_a_conversation_is_one_row_however_its_turns_are_dealt(spark):
+    """Turns and ids of many partitions, which are merged by size at run time, differently if they were dealt apart."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t} " + "long " * 40 + ".") for c in range(2_000) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    asked = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.unionOutputPartitioning": "true"}
+    was = {key: spark.conf.get(key) for key in asked}
+    for key, value in asked.items():
+        spark.conf.set(key, value)
+    try:
+        got = [tuple(r)[:2] + tuple(r)[6:8] for r in turns.repair(df, df.select("conv_id")).collect()]
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
+    assert sorted(got) == [(c, 0, 0, "KKKK") for c in range(2_000)]
+
+
 def test_damage_is_the_contracts(spark, sf):
     df = table(spark, sf, "conversations")
     want = []

@@ -21,7 +21,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,11 +57,16 @@ def faults(turns: DataFrame) -> DataFrame:
 
     Turns are dealt by conversation once; both sorts are by columns, not in memory.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")).repartition("conv_id")
-    copy = F.row_number().over(W.partitionBy("conv_id", "role", "text").orderBy(F.asc_nulls_first("turn")))
+    return _faults(turns.withColumn("there", F.lit(True)), {})
+
+
+def _faults(turns: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """``faults`` with ``more`` columns, of rows whose ``there`` is true; the others hold a conversation's id alone and aren't compared with them."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), "there").repartition("conv_id")
+    copy = F.row_number().over(W.partitionBy("conv_id", "there", "role", "text").orderBy(F.asc_nulls_first("turn")))
     last = F.substring(F.regexp_replace("text", rf"[{_SPACE}]+\z", ""), -1, 1)
     fault = F.when(~F.col("text").rlike(rf"[^{_SPACE}]"), "blank").when(F.col("copy") > 1, "duplicate").when(~last.isin(".", "!", "?"), "truncated")
-    return rows.withColumn("copy", copy).withColumn("fault", fault)
+    return rows.withColumn("copy", copy).withColumn("fault", fault).select("conv_id", "turn", "role", "text", "copy", "fault", *[c.alias(name) for name, c in more.items()])
 
 
 def _moves(state: int, initial: str, fault: str | None):
@@ -245,11 +250,12 @@ def repair(turns: DataFrame, conversations: DataFrame | None = None, *, with_tur
     only ``with_turns`` holds a conversation's repaired texts, as the row that it returns does.  One conversation is
     read by one task, since its hash is one over all its texts in order.
     """
-    found = faults(turns).withColumn("there", F.lit(True))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", F.lit(True).alias("there"))
     if conversations is not None:
-        none = {"turn": "long", "role": "string", "text": "string", "copy": "int", "fault": "string"}
-        found = found.select("conv_id", *none, "there").unionByName(conversations.select("conv_id").distinct().select("conv_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(False).alias("there")))
+        none = {"turn": "long", "role": "string", "text": "string"}
+        rows = rows.unionByName(conversations.select("conv_id").distinct().select("conv_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(False).alias("there")))
+    found = _faults(rows, {"there": F.col("there")})
     kind = dict(turns.dtypes)["conv_id"]
     schema = f"conv_id {kind}, " + ", ".join(f"{c} long" for c in _REPORT) + ", audit string, repaired_sha256 string" + (", repaired array<struct<role string, text string>>" if with_turns else "")
     order = ["conv_id", "there", F.asc_nulls_first("turn"), "role", "text", "copy"]
-    return found.withColumn("turn", F.col("turn").cast("long")).repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_reports(with_turns), schema)
+    return found.sortWithinPartitions(*order).mapInArrow(_reports(with_turns), schema)
