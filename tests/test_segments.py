@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelark.operators import bathroom, drift, patterns, segments, series, temporal
+from tidelark.plans import registry
 from tidelark.sources import fixtures
 
 ORDER = ["ts", "event_id"]
@@ -97,6 +98,21 @@ def test_as_of_is_duckdbs(hot, bucket_s):
     assert got == {k: None if v is None or v != v else int(v) for k, v in want.items()} and any(v is not None for v in got.values())
 
 
+def test_counts_in_ranges_are_differences(spark, sf):
+    """Counts equal plain frames', with ties and rows without a time, and no query's frame slides over the rows in it."""
+    rng = np.random.default_rng(2)
+    at = pd.Series(pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 40_000, 3_000), unit="s")).where(rng.random(3_000) > 0.01)
+    df = spark.createDataFrame(pd.DataFrame({"event_id": np.arange(3_000), "ts": at, "room": rng.choice(["a", "b"], 3_000)}))
+    odd, t = F.col("event_id") % 2 == 1, temporal.micros("ts")
+    frame = lambda w, low, high: w.orderBy(t).rangeBetween(-low * 1_000_000, high * 1_000_000)
+    for before, after, shorter in ((1_800, 0, 600), (5, 5, 0)):
+        got = temporal.nearby(df, before, after, {"n": temporal.Counted(), "r": temporal.Counted(odd, ("room",)), "s": temporal.Counted(before_s=shorter)}, per_bucket=200).select("event_id", "n", "r", "s")
+        same(got, df.select("event_id", F.count(F.lit(1)).over(frame(W.partitionBy(), before, after)).alias("n"), F.count(F.when(odd, 1)).over(frame(W.partitionBy("room"), before, after)).alias("r"), F.count(F.lit(1)).over(frame(W.partitionBy(), shorter, after)).alias("s")))
+    for name in ("w02_trailing_counts", "w04_cross_room", "w05_lag_features"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan, name
+
+
 def test_busy_hours_are_split(spark):
     """Half of all events in one hour: no bucket holds more than twice the median, and the counts are the plain ones."""
     rng = np.random.default_rng(1)

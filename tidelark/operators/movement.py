@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelark.operators.temporal import SECOND, interval_join, micros, nearby, neighbour, seconds_between
+from tidelark.operators.temporal import SECOND, Counted, interval_join, micros, nearby, neighbour, seconds_between
 
 #: Least seconds between two rooms, whichever comes first; 2 for other pairs.
 ROOM_SECONDS = [("bedroom", "kitchen", 4.0), ("bedroom", "office", 3.0), ("office", "kitchen", 3.0), ("living_kitchen", "bedroom", 4.0), ("living_kitchen", "office", 3.0)]
@@ -25,8 +25,7 @@ def least_seconds(a: str | Column, b: str | Column, pairs, default: float | None
 
 def concurrent_counts(events: DataFrame, within_s: float = 5) -> DataFrame:
     """Adds concurrent, events of other entities within ``within_s`` on either side, and cross_room, those of other rooms."""
-    count = lambda w: F.count(F.lit(1)).over(w)
-    near = nearby(events, within_s, within_s, {"_all": count, "_entity": (count, ("entity_id",)), "_room": (count, ("room",))})
+    near = nearby(events, within_s, within_s, {"_all": Counted(), "_entity": Counted(keys=("entity_id",)), "_room": Counted(keys=("room",))})
     return near.select(*events.columns, (F.col("_all") - F.col("_entity")).alias("concurrent"), (F.col("_all") - F.col("_room")).alias("cross_room"))
 
 

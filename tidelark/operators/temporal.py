@@ -9,6 +9,8 @@ buckets with the exact condition on top.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,10 +57,23 @@ def neighbour(df: DataFrame, columns: list[str], *, keys: tuple[str, ...] | list
 PER_BUCKET, MOST_BUCKETS = 20_000, 4_096
 
 
-def time_cuts(df: DataFrame, reach_s: float, *, ts: str = "ts", per_bucket: int = PER_BUCKET) -> list[int]:
+@dataclass(frozen=True)
+class Counted:
+    """An output of ``nearby``: the rows in the range (``when`` it holds) that also agree in ``keys``.
+
+    It is the difference of two running counts, so its work grows with the rows and not with how many are in a range.
+    ``before_s`` is a shorter reach than the other outputs have.
+    """
+
+    when: Column | None = None
+    keys: tuple[str, ...] = ()
+    before_s: float | None = None
+
+
+def time_cuts(df: DataFrame, reach_s: float, *, ts: str = "ts", per_bucket: int = PER_BUCKET, apart: float = 0.25) -> list[int]:
     """Microseconds that cut the rows into buckets of about ``per_bucket`` rows: quantiles of a mergeable sketch of their times.
 
-    Cuts are at least a quarter of ``reach_s`` apart, so that a row near them is copied to few buckets.
+    Cuts are at least ``apart`` times ``reach_s`` apart, so that a row near them is copied to few buckets.
     """
     n = df.agg(F.count(ts)).first()[0]
     parts = min(MOST_BUCKETS, -(-n // per_bucket))
@@ -68,7 +83,7 @@ def time_cuts(df: DataFrame, reach_s: float, *, ts: str = "ts", per_bucket: int
     found = df.agg(F.percentile_approx(micros(ts), marks, 100 * parts).alias("q")).first()["q"]
     cuts: list[int] = []
     for at in sorted(set(found)):
-        if not cuts or at - cuts[-1] >= reach_s * SECOND / 4:
+        if not cuts or at - cuts[-1] >= reach_s * SECOND * apart:
             cuts.append(at)
     return cuts
 
@@ -88,7 +103,7 @@ def _in_cuts(df: DataFrame, cuts: list[int], places: dict[str, Column]) -> DataF
 def nearby(df: DataFrame, before_s: float, after_s: float, outputs: dict, *, bucket_s: float | None = None, keys: tuple[str, ...] = (), ts: str = "ts", per_bucket: int = PER_BUCKET) -> DataFrame:
     """Adds aggregates over the rows from ``before_s`` earlier to ``after_s`` later.
 
-    outputs maps a name to a function from the window to a column, or to (function, further keys of its window).
+    outputs maps a name to a function from the window to a column, or to (function, further keys of its window), or to ``Counted``.
     Rows are dealt once, by time bucket and ``keys``, whatever the further keys.  Rows near a
     bucket's edge are copied to the neighbour buckets, and the copies dropped
     after the window.  Without ``bucket_s`` the buckets follow the rows' density (``time_cuts``), so a busy hour
@@ -97,16 +112,26 @@ def nearby(df: DataFrame, before_s: float, after_s: float, outputs: dict, *, buc
     low, high = int(before_s * SECOND), int(after_s * SECOND)
     given = df.withColumn("_t", micros(ts))
     if bucket_s is None:
-        given = _in_cuts(given, time_cuts(df, max(before_s, after_s), ts=ts, per_bucket=per_bucket), {"_own": F.col("_t"), "_from": F.col("_t") - high, "_to": F.col("_t") + low})
+        counts = all(isinstance(f, Counted) for f in outputs.values())  # their work doesn't grow with a bucket's width
+        given = _in_cuts(given, time_cuts(df, max(before_s, after_s), ts=ts, per_bucket=per_bucket, apart=1.0 if counts else 0.25), {"_own": F.col("_t"), "_from": F.col("_t") - high, "_to": F.col("_t") + low})
     else:
         if max(before_s, after_s) > bucket_s:
             raise ValueError("the range is wider than a bucket")
         place = lambda t: F.floor(t / int(bucket_s * SECOND))
         given = given.withColumns({"_own": place(F.col("_t")), "_from": place(F.col("_t") - high), "_to": place(F.col("_t") + low)})
     dealt = given.withColumn("_b", F.explode(F.coalesce(F.sequence("_from", "_to"), F.array(F.lit(None).cast("long"))))).repartition("_b", *keys)
-    framed = {name: f if isinstance(f, tuple) else (f, ()) for name, f in outputs.items()}
-    frame = lambda more: W.partitionBy("_b", *keys, *more).orderBy("_t").rangeBetween(-low, high)
-    out = dealt.select("*", *[f(frame(more)).alias(name) for name, (f, more) in framed.items()])
+    spec = lambda more: W.partitionBy("_b", *keys, *more).orderBy("_t")
+
+    def made(f) -> Column:
+        if not isinstance(f, Counted):
+            f, more = f if isinstance(f, tuple) else (f, ())
+            return f(spec(more).rangeBetween(-low, high))
+        n = F.count(F.lit(1) if f.when is None else F.when(f.when, 1))
+        reach = low if f.before_s is None else min(low, int(f.before_s * SECOND))
+        earlier = n.over(spec(f.keys).rangeBetween(W.unboundedPreceding, -reach - 1))
+        return n.over(spec(f.keys).rangeBetween(W.unboundedPreceding, high)) - F.when(F.col("_t").isNotNull(), earlier).otherwise(0)
+
+    out = dealt.select("*", *[made(f).alias(name) for name, f in outputs.items()])
     return out.where("_b <=> _own").select(*df.columns, *outputs)
 
 
@@ -175,5 +200,4 @@ def lagged(df: DataFrame, keys: list[str], column: str, steps: list[int], ts: st
 
 def trailing_count(df: DataFrame, keys: list[str], span_s: int, out: str, when: Column | None = None, ts: str = "ts") -> DataFrame:
     """Rows of the same keys in the trailing span, the row itself included."""
-    of = F.count(F.when(when, 1)) if when is not None else F.count(F.lit(1))
-    return nearby(df, span_s, 0, {out: lambda w: of.over(w)}, keys=tuple(keys), ts=ts)
+    return nearby(df, span_s, 0, {out: Counted(when)}, keys=tuple(keys), ts=ts)

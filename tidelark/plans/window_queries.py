@@ -20,9 +20,8 @@ def _(v):
 
 @query("w02_trailing_counts", "SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS all_30m, count(*) OVER (PARTITION BY room ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS room_30m, count(*) OVER (PARTITION BY sensor_type ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS type_30m FROM se")
 def _(v):
-    one = lambda w: F.count(F.lit(1)).over(w)
     rows = v.se.select("event_id", "ts", "room", "sensor_type")
-    out = temporal.nearby(rows, 1800, 0, {"all_30m": one, "room_30m": (one, ("room",)), "type_30m": (one, ("sensor_type",))})
+    out = temporal.nearby(rows, 1800, 0, {"all_30m": temporal.Counted(), "room_30m": temporal.Counted(keys=("room",)), "type_30m": temporal.Counted(keys=("sensor_type",))})
     return out.select("event_id", "all_30m", "room_30m", "type_30m")
 
 
@@ -39,8 +38,8 @@ def _(v):
 @query("w05_lag_features", f"SELECT event_id, lag(state, 1) OVER ({E}) AS s1, lag(state, 5) OVER ({E}) AS s5, lag(state, 15) OVER ({E}) AS s15, count(*) FILTER (state = 'on') OVER (PARTITION BY room ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS on_1h, count(*) FILTER (state = 'on') OVER (PARTITION BY room ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS on_6h FROM se")
 def _(v):
     out = temporal.lagged(v.se, ["entity_id"], "state", [1, 5, 15])
-    out = temporal.trailing_count(out, ["room"], 3600, "on_1h", F.col("state") == "on")
-    out = temporal.trailing_count(out, ["room"], 6 * 3600, "on_6h", F.col("state") == "on")
+    on = F.col("state") == "on"
+    out = temporal.nearby(out, 6 * 3600, 0, {"on_1h": temporal.Counted(on, before_s=3600), "on_6h": temporal.Counted(on)}, keys=("room",))
     return out.select("event_id", F.col("state_lag_1").alias("s1"), F.col("state_lag_5").alias("s5"), F.col("state_lag_15").alias("s15"), "on_1h", "on_6h")
 
 
