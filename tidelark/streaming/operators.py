@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidelark.functions import enrich
 from tidelark.operators import bathroom, drift
+from tidelark.operators.segments import bucket_of
 from tidelark.sources import tables
 
 EVENT = "event_id long, ts string, entity_id string, state string, room string, sensor_type string, attributes string"
@@ -96,11 +97,18 @@ def enriched(events: DataFrame) -> DataFrame:
 
 
 def interval_matches(preds: DataFrame, occupancy: DataFrame, minutes: int = 5, delay: str = "3 hours") -> DataFrame:
-    """Stream-stream form of the interval join; both sides' state is bounded by their watermarks."""
+    """Stream-stream form of the interval join; both sides' state is bounded by their watermarks.
+
+    Times are cut into buckets as long as the range.  A prediction is in one, an observation is dealt to those that it can
+    reach, and both are keys of the join: a row meets the state of its bucket, not all of its room's.
+    """
     p = preds.select("event_id", F.col("room").alias("p_room"), "predicted_for", "probability").withWatermark("predicted_for", delay)
     o = occupancy.select(F.col("room").alias("o_room"), F.col("ts").alias("observed_at"), "occupied").withWatermark("observed_at", delay)
     step = F.make_dt_interval(mins=F.lit(minutes))
-    on = (F.col("p_room") == F.col("o_room")) & (F.col("observed_at") >= F.col("predicted_for") - step) & (F.col("observed_at") <= F.col("predicted_for") + step)
+    place = lambda t: bucket_of(t, 2 * 60 * minutes)
+    p = p.withColumn("p_in", place("predicted_for"))
+    o = o.withColumn("o_in", F.explode(F.sequence(place(F.col("observed_at") - step), place(F.col("observed_at") + step))))
+    on = (F.col("p_room") == F.col("o_room")) & (F.col("p_in") == F.col("o_in")) & (F.col("observed_at") >= F.col("predicted_for") - step) & (F.col("observed_at") <= F.col("predicted_for") + step)
     return p.join(o, on).select("event_id", F.col("p_room").alias("room"), "probability", "occupied")
 
 
