@@ -27,8 +27,7 @@ def feature_vector(events: DataFrame) -> DataFrame:
     """The flat features of every event, without nulls."""
     out = temporal.lagged(events, ["entity_id"], "ts", [1])
     out = out.withColumn("delta_s", temporal.seconds_between("ts", "ts_lag_1")).drop("ts_lag_1")
-    one = lambda w: F.count(F.lit(1)).over(w)
-    out = temporal.nearby(out, 1800, 0, {"room_30m": (one, ("room",)), "type_30m": (one, ("sensor_type",))})
+    out = temporal.nearby(out, 1800, 0, {"room_30m": temporal.Counted(keys=("room",)), "type_30m": temporal.Counted(keys=("sensor_type",))})
     out = movement.concurrent_counts(out)
     out = out.join(movement.zone_coverage(events), "room", "left")
     zone = {"is_full_zone": (F.col("zone_type") == "full").cast("int"), "is_subzone": (F.col("zone_type") == "subzone").cast("int")}
@@ -37,9 +36,12 @@ def feature_vector(events: DataFrame) -> DataFrame:
 
 
 def labelled(events: DataFrame, occupancy_rows: DataFrame, horizons: list[int]) -> DataFrame:
-    """Features and label of each event and horizon whose outcome is known."""
+    """Features and label of each event and horizon whose outcome is known.
+
+    They are written to the shared folder once, as every pass of a fit and every scoring reads them.
+    """
     labels = occupancy.horizon_labels(events, occupancy_rows, horizons).where("label is not null")
-    return feature_vector(events).join(labels.hint("merge"), "event_id").withColumn("label", F.col("label").cast("double"))
+    return kept(feature_vector(events).join(labels.hint("merge"), "event_id").withColumn("label", F.col("label").cast("double")))
 
 
 def pipeline(kind: str, **params) -> Pipeline:
