@@ -2,6 +2,8 @@
 
 import collections
 import datetime as dt
+import itertools
+import random
 
 import numpy as np
 import pytest
@@ -281,6 +283,44 @@ def test_refit_saves_and_registers_the_rooms_that_are_due(spark, tmp_path):
     assert nothing.count() == 0
 
 
+def test_stream_join_has_buckets_as_keys(spark):
+    """Pairs at both ends of the range, at bucket edges and before 1970, each once; buckets are keys of the join."""
+    at = [-700, -300, 0, 1, 299, 300, 301, 599, 600, 601, 900, 1_200, 7_000]
+    rows = spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(itertools.product("ab", at))], "event_id long, room string, s long")
+    p = rows.select("event_id", "room", F.timestamp_seconds("s").alias("predicted_for"), F.lit(0.5).alias("probability"))
+    o = rows.select("room", F.timestamp_seconds("s").alias("ts"), (F.col("s") % 2 == 0).alias("occupied"))
+    found = so.interval_matches(p, o)
+    want = sorted((i, r, t % 2 == 0) for i, (r, u) in enumerate(itertools.product("ab", at)) for t in at if abs(t - u) <= 300)
+    assert sorted((r.event_id, r.room, r.occupied) for r in found.collect()) == want
+    assert "p_in" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_are_written_once(spark, sf):
+    """What fits and scorings read is a table, not the windows and joins that made it."""
+    v = base.Views(spark, sf)
+    rows = learning.labelled(v.se, v.oc, [15])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and rows.count() > 100
+
+
+def test_outcome_is_the_nearest_without_pairs(spark):
+    """Ties in distance go to the earlier time, those in time to the least id; nothing beyond the tolerance; rows without a time or a room have none."""
+    rnd = random.Random(5)
+    seen = [(i, rnd.choice(["a", "b", None]), rnd.choice([None, *range(-900, 9_000, 50)]), rnd.random() < 0.5) for i in range(400)]
+    asked = [(i % 250, rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(-1_500, 12_000, 25)]), rnd.random()) for i in range(300)]
+    stamp = lambda df, c: df.withColumn(c, F.timestamp_seconds(c))
+    oc = stamp(spark.createDataFrame(seen, "event_id long, room string, ts long, occupied boolean"), "ts")
+    pr = stamp(spark.createDataFrame(asked, "event_id long, room string, predicted_for long, probability double"), "predicted_for")
+    found = occupancy.with_outcome(pr, oc)
+
+    def nearest(room, at):
+        near = [(abs(t - at), t, i, o) for i, r, t, o in seen if None not in (at, t, room) and r == room and abs(t - at) <= 300]
+        return min(near)[3] if near else None
+
+    assert collections.Counter((r.event_id, r.room, r.probability, r.actual_outcome) for r in found.collect()) == collections.Counter((i, r, p, nearest(r, t)) for i, r, t, p in asked)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def labelled_rows(spark, n=400, label=lambda a, b: float(a > 0.5 and b > 0.5)):
     """Rows an hour apart whose label is a rule over two values, which the features repeat, as a forest's node sees 5 of 25."""
     rng, rows, start = np.random.default_rng(4), [], dt.datetime(2024, 1, 1)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelark.functions import enrich
-from tidelark.operators.temporal import interval_join, periods, seconds_between
+from tidelark.operators.segments import SECOND
+from tidelark.operators.temporal import interval_join, micros, periods
 
 
 def presence_periods(events: DataFrame, least_min: float = 0.1) -> DataFrame:
@@ -70,11 +72,24 @@ def hybrid(rule_p: Column, ml_p: Column, rule_confidence: Column, ml_uncertainty
 
 
 def with_outcome(preds: DataFrame, occupancy: DataFrame, tolerance_s: float = 300) -> DataFrame:
-    """Adds actual_outcome and prediction_error: the occupancy nearest to predicted_for (then the earlier one) within the tolerance."""
-    seen = occupancy.select("room", F.col("ts").alias("_ots"), F.col("occupied").alias("_occ"), F.col("event_id").alias("_oid"))
-    pairs = interval_join(preds.select("event_id", "room", "predicted_for"), seen, ["room"], "predicted_for", "_ots", -tolerance_s, tolerance_s)
-    nearest = pairs.groupBy("event_id").agg(F.min_by("_occ", F.struct(F.abs(seconds_between("_ots", "predicted_for")), "_ots", "_oid")).alias("actual_outcome"))
-    return preds.join(nearest.hint("merge"), "event_id", "left").withColumn("prediction_error", F.abs(F.col("probability") - F.col("actual_outcome").cast("double")))
+    """Adds actual_outcome and prediction_error: the occupancy nearest to predicted_for (then the earlier one, then the least event_id) within the tolerance.
+
+    The nearest one is the last one up to that time or the first one from it on.  Both are found by one pass over a
+    room's rows in order, so no pairs are made, however many observations are near.  Rows are dealt to time buckets,
+    observations to each bucket that they can reach.
+    """
+    reach = int(tolerance_s * SECOND)
+    place = lambda t: F.floor(t / F.lit(max(4 * reach, SECOND)))
+    seen = occupancy.where("ts is not null and room is not null").select("room", micros("ts").alias("_t"), F.struct(micros("ts").alias("t"), F.col("event_id").alias("id"), F.col("occupied").alias("is")).alias("_seen"))
+    kind = seen.schema["_seen"].dataType
+    asked = preds.withColumns({"_t": micros("predicted_for"), "_seen": F.lit(None).cast(kind), "_side": F.lit(1), "_in": place(micros("predicted_for"))})
+    blank = [F.lit(None).cast(preds.schema[c].dataType).alias(c) for c in preds.columns if c != "room"]
+    dealt = seen.select("*", *blank, F.lit(0).alias("_side"), F.explode(F.sequence(place(F.col("_t") - reach), place(F.col("_t") + reach))).alias("_in"))
+    nearest = lambda time: F.last("_seen", ignorenulls=True).over(W.partitionBy("_in", "room").orderBy(time, "_side", F.desc("_seen.id")).rowsBetween(W.unboundedPreceding, 0))
+    rows = asked.unionByName(dealt).select("*", nearest(F.asc("_t")).alias("_to"), nearest(F.desc("_t")).alias("_from")).where("_side = 1")
+    away = lambda c: F.abs(F.col(c)["t"] - F.col("_t"))
+    found = F.least(*[F.when(away(c) <= reach, F.struct(away(c).alias("away"), F.col(c).alias("seen"))) for c in ("_to", "_from")])
+    return rows.select(*preds.columns, found["seen"]["is"].alias("actual_outcome")).withColumn("prediction_error", F.abs(F.col("probability") - F.col("actual_outcome").cast("double")))
 
 
 def accuracy_near(preds: DataFrame, occupancy: DataFrame, tolerance_s: float) -> DataFrame:
