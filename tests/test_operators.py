@@ -241,6 +241,28 @@ def test_last_write_wins_breaks_ties_alike(spark):
     assert one == two and [r[:2] for r in one] == [(1, 5), (2, None), (None, 2)] and one[2][2] == "none"
 
 
+def test_the_statistic_is_looked_at_only_near_the_limit(monkeypatch):
+    """Alarms are those of the statistic at every row, also with ties; it is worked out for a fraction of the rows."""
+    rnd, looked = random.Random(4), []
+    monkeypatch.setattr(drift, "accumulate", lambda xs: looked.append(1) or itertools.accumulate(xs))
+    xs = [rnd.choice([rnd.gauss(0, 1), rnd.randrange(3)]) + (i // 900) % 2 for i in range(8_000)]
+    fold, got, want, reference, current = drift.KolmogorovSmirnov(), [], [], [], []
+    for x in xs:
+        got.append(fold.add(x))
+        alarm = False
+        if len(reference) < 100:
+            reference.append(x)
+        else:
+            current = [*current, x][-100:]
+            if len(current) == 100:
+                at = np.searchsorted(np.sort(current), np.sort(reference), "right")
+                alarm = max(abs(np.arange(1, 101) / 100 - at / 100)) > 1.36 * np.sqrt(2 / 100)
+                if alarm:
+                    reference, current = current, []
+        want.append(bool(alarm))
+    assert got == want and sum(want) >= 8 and len(looked) < len(xs) / 3
+
+
 def test_folds_carry_their_state_over_batches(spark):
     """Small Arrow batches, several keys in one task, null keys: against one fold for each key."""
     rng = np.random.default_rng(1)

@@ -6,11 +6,12 @@ form (``folded``, many buckets of a key at once) and the streaming form share th
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import accumulate
+from math import sqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,29 +48,39 @@ class PageHinkley:
 
 @dataclass
 class KolmogorovSmirnov:
-    """A sliding window against a reference of equal size; after an alarm the window becomes the reference."""
+    """A sliding window against a reference of equal size; after an alarm the window becomes the reference.
+
+    A row adds one value to the window and takes one out, so the statistic moves by at most one of ``size`` parts: it is
+    worked out again only when it can have reached the limit.
+    """
 
     size: int = 100
     reference: list[float] = field(default_factory=list)
     current: list[float] = field(default_factory=list)
-    statistic: float = 0.0
-    ordered: list[float] = field(default_factory=list)  # the current window, sorted
+    places: list[int] = field(default_factory=list)  # how many of the current values stand before each place of the reference, and not before an earlier one
+    wait: int = 0  # full windows until the statistic is looked at again
 
     def add(self, x: float) -> bool:
         if len(self.reference) < self.size:
             insort(self.reference, x)
+            self.places = [0] * (self.size + 1)
             return False
         self.current.append(x)
-        insort(self.ordered, x)
+        self.places[bisect_left(self.reference, x)] += 1
         if len(self.current) > self.size:
-            del self.ordered[bisect_left(self.ordered, self.current.pop(0))]
+            self.places[bisect_left(self.reference, self.current.pop(0))] -= 1
         if len(self.current) < self.size:
             return False
-        self.statistic = max(abs((i + 1) / self.size - bisect_right(self.ordered, r) / self.size) for i, r in enumerate(self.reference))
-        alarm = self.statistic > 1.36 * np.sqrt(2 / self.size)
-        if alarm:
-            self.reference, self.current, self.ordered = self.ordered, [], []
-        return bool(alarm)
+        if self.wait > 1:
+            self.wait -= 1
+            return False
+        limit = 1.36 * sqrt(2 / self.size)
+        statistic = max(abs((i + 1) / self.size - n / self.size) for i, n in enumerate(accumulate(self.places[: self.size])))
+        if statistic > limit:
+            self.reference, self.current, self.places, self.wait = sorted(self.current), [], [0] * (self.size + 1), 0
+            return True
+        self.wait = int((limit - statistic) * self.size)
+        return False
 
 
 @dataclass
