@@ -3,10 +3,12 @@
 import datetime as dt
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidelark.operators import rollups
+from tidelark.plans import registry
 from tidelark.sources import fixtures, tables
 from tidelark.streaming import operators as so
 from tidelark.streaming import runner
@@ -161,3 +163,16 @@ def test_entries_expire(spark, events):
     df = events.select("room", "event_id").where("room is not null")
     kept = {ttl: runner.in_turns([df, df], lambda s, t=ttl: so.once_per(s, "room", t), pause_s=2.5).groupBy("key").count().collect() for ttl in (3_600_000, 1_000)}
     assert {r["count"] for r in kept[3_600_000]} == {1} and {r["count"] for r in kept[1_000]} == {2}
+
+
+def test_blocks_of_long_rooms_and_months(spark, tmp_path):
+    """More blocks than 5,000 in one room, and events of two months: both queries give the rows of their SQL."""
+    n = 251_000
+    duckdb.sql(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-15' + (i * 20) * INTERVAL 1 SECOND AS ts, CAST(0 AS BIGINT) AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{{\"k\": 1}}' AS props FROM range({n}) t(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("t15_overlapping_blocks", "t15_stream_blocks"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(registry.ORACLE_SQL[name])
+        at = [c[0] for c in want.description]
+        assert sorted(map(tuple, got.select(*at).collect())) == sorted(want.fetchall()) and got.count() > 5_000

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidelark.operators import patterns, rollups
+from tidelark.operators import patterns, rollups, temporal
 from tidelark.plans import fold_sql
 from tidelark.plans.base import AS_OF, query, r6
 from tidelark.sources import fixtures, tables
@@ -201,17 +201,19 @@ def _(v):
     return rows.agg(F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.max("last").cast(NTZ).alias("last"))
 
 
-@query("t15_overlapping_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id FROM r, (SELECT unnest(range(0, 5000)) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99 GROUP BY ALL")
+@query("t15_overlapping_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id FROM r, (SELECT unnest(range(0, (SELECT max(i)//50 + 1 FROM r))) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99 GROUP BY ALL")
 def _(v):
     return patterns.overlapping_blocks(v.se).groupBy("room", "block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("t15_stream_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se), x AS (SELECT room, b, event_id, i FROM r, (SELECT unnest(range(0, 5000)) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id, arg_min(event_id, i) AS opens, arg_max(event_id, i) AS closes FROM x GROUP BY room, b HAVING count(*) = 100")
+@query("t15_stream_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se), x AS (SELECT room, b, event_id, i FROM r, (SELECT unnest(range(0, (SELECT max(i)//50 + 1 FROM r))) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id, arg_min(event_id, i) AS opens, arg_max(event_id, i) AS closes FROM x GROUP BY room, b HAVING count(*) = 100")
 def _(v):
     """The full blocks, from a stream whose events come in three triggers."""
     rows = timed(v).select("room", "event_id", "ts")
-    day = F.dayofmonth("ts")
-    return runner.in_turns([rows.where(day <= 9), rows.where((day > 9) & (day <= 21)), rows.where(day > 21)], so.overlapping_blocks)
+    at = temporal.micros("ts")
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    one, two = (int((first or 0) + share * ((last or 0) - (first or 0))) for share in (0.3, 0.7))
+    return runner.in_turns([rows.where(at <= one), rows.where((at > one) & (at <= two)), rows.where(at > two)], so.overlapping_blocks)
 
 
 @query("j14_stream_interval_join", "SELECT p.event_id, p.room, round(p.probability, 6) AS probability, o.occupied FROM pr p JOIN oc o ON o.room = p.room AND o.ts BETWEEN p.predicted_for - INTERVAL 5 MINUTE AND p.predicted_for + INTERVAL 5 MINUTE")
