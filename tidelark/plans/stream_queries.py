@@ -201,12 +201,12 @@ def _(v):
     return rows.agg(F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.max("last").cast(NTZ).alias("last"))
 
 
-@query("t15_overlapping_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id FROM r, (SELECT unnest(range(0, (SELECT max(i)//50 + 1 FROM r))) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99 GROUP BY ALL")
+@query("t15_overlapping_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se), x AS (SELECT room, event_id, i, unnest(range(greatest(0, (i - 50)//50), i//50 + 1)) AS b FROM r) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id FROM x GROUP BY room, b")
 def _(v):
     return patterns.overlapping_blocks(v.se).groupBy("room", "block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("t15_stream_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se), x AS (SELECT room, b, event_id, i FROM r, (SELECT unnest(range(0, (SELECT max(i)//50 + 1 FROM r))) AS b) q WHERE i BETWEEN b*50 AND b*50 + 99) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id, arg_min(event_id, i) AS opens, arg_max(event_id, i) AS closes FROM x GROUP BY room, b HAVING count(*) = 100")
+@query("t15_stream_blocks", ", r AS (SELECT room, event_id, row_number() OVER (PARTITION BY room ORDER BY ts, event_id) - 1 AS i FROM se), x AS (SELECT room, event_id, i, unnest(range(greatest(0, (i - 50)//50), i//50 + 1)) AS b FROM r) SELECT room, CAST(b AS INT) AS block, count(*) AS n, min(event_id) AS first_id, arg_min(event_id, i) AS opens, arg_max(event_id, i) AS closes FROM x GROUP BY room, b HAVING count(*) = 100")
 def _(v):
     """The full blocks, from a stream whose events come in three triggers."""
     rows = timed(v).select("room", "event_id", "ts")
