@@ -133,12 +133,12 @@ def _(v):
 
 @query("t07_last_change_delta", "SELECT event_id, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity_id ORDER BY ts, event_id)))/1e6, 6) AS delta_s FROM se")
 def _(v):
-    return runner.drain(so.last_change_delta(stream(v))).select("event_id", r6(F.nanvl("delta_s", F.lit(None).cast("double"))).alias("delta_s"))
+    return so.last_change_delta(stream(v)).select("event_id", r6(F.nanvl("delta_s", F.lit(None).cast("double"))).alias("delta_s"))
 
 
 @query("t08_bathroom_machine", fold_sql.BATHROOM + " SELECT * FROM br")
 def _(v):
-    said = plain(runner.drain(so.bathroom_machine(stream(v))), "ts")
+    said = plain(so.bathroom_machine(stream(v)), "ts")
     return said.withColumns({"confidence": r6("confidence"), "duration_s": F.round(F.nanvl("duration_s", F.lit(None).cast("double")), 3), "door_probability": r6("door_probability")})
 
 
@@ -147,7 +147,7 @@ ALERTS = fold_sql.ROWS.format(x="k/100.0", where="") + fold_sql.PAGE_HINKLEY + f
 
 @query("t09_drift_alerts", ALERTS)
 def _(v):
-    return runner.drain(so.drift_alerts(stream(v).select("room", "event_id", "ts", (F.col("k") / 100.0).alias("x"))))
+    return so.drift_alerts(stream(v).select("room", "event_id", "ts", (F.col("k") / 100.0).alias("x")))
 
 
 @query("t10_hourly_rollup", "SELECT date_trunc('hour', ts) AS hour, room, sensor_type, count(*) AS n, round(avg(numeric_value), 6) AS mean_value FROM se GROUP BY ALL")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import pandas as pd
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from tidelark.functions import enrich
 from tidelark.operators import bathroom, drift
 from tidelark.operators.segments import bucket_of
 from tidelark.sources import tables
+from tidelark.streaming import runner
 
 EVENT = "event_id long, ts string, entity_id string, state string, room string, sensor_type string, attributes string"
 PREDICTION = "event_id long, ts string, room string, horizon_minutes int, probability double, model_name string"
@@ -112,55 +114,84 @@ def interval_matches(preds: DataFrame, occupancy: DataFrame, minutes: int = 5, d
     return p.join(o, on).select("event_id", F.col("p_room").alias("room"), "probability", "occupied")
 
 
-class _Kept(StatefulProcessor):
-    """A key's state as one JSON string; subclasses fold sorted rows into it."""
+def fold_batches(at: str, keys: list[str], order: list[str], fold: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], schema: str):
+    """A foreachBatch function that writes what ``fold(state, rows)`` answers over each key's rows in order to ``at``/n=number.
 
-    ttl_ms: int | None = None
+    fold takes and returns the key's state, a dict that JSON can hold, and any number of consecutive rows at a time.  A
+    trigger's rows are sorted by Spark and reach Python slice by slice, so a task holds one slice, however many rows
+    of a key the trigger brings.  The states, a row with _k for each key, lie beside the answers: a trigger reads those of the one
+    before, and one that is run again replaces what it wrote.
+    """
+    states, written = "_k string, _state string", f"{schema}, _k string, _state string"
+    names = [f.name for f in StructType.fromDDL(written)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, {}
+        for rows in batches:
+            columns = [c for c in rows.columns if c not in ("_k", "_state")]
+            answers, left = [], []
+            for k, part in rows.groupby("_k", sort=False):
+                if k != key:
+                    if key is not None:
+                        left.append((key, json.dumps(state)))
+                    key, state = k, {}
+                held = part["_state"].notna()
+                if held.any():
+                    state, part = json.loads(part["_state"][held].iloc[0]), part[~held]
+                if len(part):
+                    state, out = fold(state, part[columns])
+                    if len(out):
+                        answers.append(out)
+            if answers:
+                yield pd.concat(answers).assign(_k=None, _state=None)
+            if left:
+                yield ended(left)
+        if key is not None:
+            yield ended([(key, json.dumps(state))])
+
+    def ended(left: list[tuple[str, str]]) -> pd.DataFrame:
+        return pd.DataFrame([(*[None] * (len(names) - 2), *row) for row in left], columns=names, dtype=object)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "json string", self.ttl_ms)
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumns({"_k": F.to_json(F.struct(*keys)), "_state": F.lit(None).cast("string")})
+        if number:
+            before = batch.sparkSession.read.schema(states).parquet(f"{at}/n={number - 1}").where("_k is not null")
+            rows = rows.unionByName(before, allowMissingColumns=True)
+        sorted_rows = rows.repartition("_k").sortWithinPartitions("_k", F.col("_state").isNull(), *order)
+        sorted_rows.mapInPandas(run, written).write.mode("overwrite").parquet(f"{at}/n={number}")
 
-    def fold(self, kept: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        raise NotImplementedError
+    return put
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        now = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        kept, out = self.fold(kept, now)
-        self.state.update((json.dumps(kept),))
-        if len(out):
-            yield out
 
-    def close(self) -> None:
-        pass
+def folded(df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:
+    """Runs a stream to the end of what is there with ``fold_batches`` and returns its answers."""
+    spark, at = df.sparkSession, runner.folder(df.sparkSession)
+    runner.drain(df, each=fold_batches(f"{at}/answers", keys, order, fold, schema))
+    return spark.read.schema(f"{schema}, _k string").parquet(f"{at}/answers/n=*").where("_k is null").drop("_k")
 
 
-class _Delta(_Kept):
-    def fold(self, kept, rows):
-        at = rows["ts"].astype("int64") // 1000 if str(rows["ts"].dtype) == "datetime64[ns]" else rows["ts"].astype("datetime64[us]").astype("int64")
-        before = at.shift(1)
-        before.iloc[0] = kept.get("at")
-        return {"at": int(at.iloc[-1])}, pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "delta_s": ((at - before.astype("float64")) / 1e6).to_numpy()})
+def _delta(kept: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+    at = rows["ts"].astype("int64") // 1000 if str(rows["ts"].dtype) == "datetime64[ns]" else rows["ts"].astype("datetime64[us]").astype("int64")
+    before = at.shift(1)
+    before.iloc[0] = kept.get("at")
+    return {"at": int(at.iloc[-1])}, pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "delta_s": ((at - before.astype("float64")) / 1e6).to_numpy()})
 
 
-class _Bathroom(_Kept):
-    def fold(self, kept, rows):
-        machine = bathroom.Machine(**kept)
-        out = bathroom.results(machine, rows)
-        return asdict(machine), out
+def _bathroom(kept: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+    machine = bathroom.Machine(**kept)
+    out = bathroom.results(machine, rows)
+    return asdict(machine), out
 
 
-class _Drift(_Kept):
+def _drift(kept: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
     """Page-Hinkley and Kolmogorov-Smirnov alarms of a key, at most one in each cooldown."""
-
-    def fold(self, kept, rows):
-        ph, ks, quiet = drift.PageHinkley(**kept.get("ph", {})), drift.KolmogorovSmirnov(**kept.get("ks", {})), drift.Cooldown(**kept.get("quiet", {}))
-        out = []
-        for r in rows.itertuples():
-            a, b = ph.add(r.x), ks.add(r.x)
-            if (a or b) and quiet.add(r.ts.value / 1e9):
-                out.append((r.room, r.event_id, a, b))
-        return {"ph": asdict(ph), "ks": asdict(ks), "quiet": asdict(quiet)}, pd.DataFrame(out, columns=["room", "event_id", "page_hinkley", "ks"])
+    ph, ks, quiet = drift.PageHinkley(**kept.get("ph", {})), drift.KolmogorovSmirnov(**kept.get("ks", {})), drift.Cooldown(**kept.get("quiet", {}))
+    out = []
+    for r in rows.itertuples():
+        a, b = ph.add(r.x), ks.add(r.x)
+        if (a or b) and quiet.add(r.ts.value / 1e9):
+            out.append((r.room, r.event_id, a, b))
+    return {"ph": asdict(ph), "ks": asdict(ks), "quiet": asdict(quiet)}, pd.DataFrame(out, columns=["room", "event_id", "page_hinkley", "ks"])
 
 
 def _stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
@@ -168,17 +199,19 @@ def _stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, sche
 
 
 def last_change_delta(events: DataFrame) -> DataFrame:
-    return _stateful(events.select("entity_id", "event_id", "ts"), ["entity_id"], _Delta(), "event_id long, delta_s double")
+    """Runs the stream to its end: seconds since the last event of each event's entity."""
+    return folded(events.select("entity_id", "event_id", "ts"), ["entity_id"], ["ts", "event_id"], _delta, "event_id long, delta_s double")
 
 
 def bathroom_machine(events: DataFrame) -> DataFrame:
+    """Runs the stream to its end: what the machine of each room says."""
     some = events.where("sensor_type IN ('entrance', 'door')").select("room", "event_id", "ts", "sensor_type", "state")
-    return _stateful(some, ["room"], _Bathroom(), bathroom.RESULT)
+    return folded(some, ["room"], ["ts", "event_id"], _bathroom, bathroom.RESULT)
 
 
 def drift_alerts(rows: DataFrame) -> DataFrame:
-    """rows(room, event_id, ts, x)."""
-    return _stateful(rows, ["room"], _Drift(), "room string, event_id long, page_hinkley boolean, ks boolean")
+    """Runs the stream to its end: alarms over rows(room, event_id, ts, x)."""
+    return folded(rows, ["room"], ["ts", "event_id"], _drift, "room string, event_id long, page_hinkley boolean, ks boolean")
 
 
 class _Blocks(StatefulProcessor):
