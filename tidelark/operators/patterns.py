@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidelark.operators.segments import key_of, numbered, row_frame
+from tidelark.operators.segments import CHUNK, key_of, numbered, row_frame
 from tidelark.operators.temporal import SECOND, micros
 from tidelark.sources.tables import kept
 
@@ -17,6 +20,9 @@ BROKEN_HOURS = (90, 105, 135, 150, 165, 270, 330, 450, 510)
 #: Minutes of the time windows: whole minutes of an hour, whole hours of a day, whole days of a month, and the broken hours.
 WINDOWS = sorted({*range(1, 61), *(60 * h for h in range(1, 25)), *(1440 * d for d in range(1, 30)), *BROKEN_HOURS})
 
+#: Kinds of tokens up to which their table of numbers is broadcast.
+SMALL = 100_000
+
 
 def token(*columns: str) -> Column:
     return F.concat_ws("-", *columns)
@@ -86,42 +92,79 @@ def negative_patterns(possible: DataFrame, observed: DataFrame, keys: tuple[str,
     return wanted.join(seen.hint("merge"), [*keys, "signature"], "left_anti").withColumn("strength", F.lit(strength))
 
 
-def ngram_ranks(events: DataFrame, item: Column, longest: int, keys: tuple[str, ...] = ("room",), least: int = 1) -> tuple[DataFrame, dict[int, DataFrame]]:
-    """Tokens (_k, _n, x) and, for each length 1, 2, 4, ... up to ``longest``, (_k, _n, _r): equal n-grams of a key have the same rank.
+def numbered_tokens(events: DataFrame, item: Column, keys: tuple[str, ...] = ("room",)) -> DataFrame:
+    """(_k, _n, x): each key's tokens in order."""
+    return kept(numbered(events, list(keys), ["ts", "event_id"]).select(key_of(keys).alias("_k"), "_n", item.alias("x")))
+
+
+def coded(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """Adds _c, the number of the token x among all kinds, from 0 (null for null), and says how many bits it takes."""
+    spark, kinds = tokens.sparkSession, tokens.where("x is not null").select("x").distinct()
+    schema = StructType([kinds.schema["x"], StructField("_c", LongType())])
+    codes = kept(spark.createDataFrame(kinds.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), schema))
+    n = codes.count()
+    return tokens.join(F.broadcast(codes) if n <= SMALL else codes.hint("merge"), "x", "left"), max(1, (n - 1).bit_length())
 
-    A rank is the place where the n-gram first stands, so it is exact and leads back to its text.  Twice the
-    length is a join of ranks with those that many rows later: length L takes log L joins of numbers, and no text
-    of an n-gram is built.  Places whose n-gram stands fewer than ``least`` times drop out, and with them all longer ones.
-    """
-    tokens = kept(numbered(events, list(keys), ["ts", "event_id"]).select(key_of(keys).alias("_k"), "_n", item.alias("x")))
-    ranked = lambda rows, by: rows.join(rows.groupBy("_k", *by).agg(F.min("_n").alias("_r"), F.count("*").alias("_f")).where(F.col("_f") >= least).hint("merge"), ["_k", *by]).select("_k", "_n", "_r")
-    ranks, m = {1: kept(ranked(tokens.where("x is not null"), ["x"]))}, 1
-    while 2 * m <= longest:
-        pairs = kept(paired_ranks(ranks[m], m))
-        m *= 2
-        ranks[m] = kept(ranked(pairs, ["_a", "_b"]))
-    return tokens, ranks
 
+class Words:
+    """N-grams of up to ``longest`` tokens as numbers: ``each`` tokens of ``bits`` bits are a word, the first token highest."""
 
-def paired_ranks(ranks: DataFrame, shift: int) -> DataFrame:
-    """(_k, _n, _a, _b): the rank of each place and that of the place ``shift`` rows later."""
-    later = ranks.select("_k", (F.col("_n") - shift).alias("_n"), F.col("_r").alias("_b"))
-    return ranks.withColumnRenamed("_r", "_a").join(later.hint("merge"), ["_k", "_n"])
+    def __init__(self, bits: int, longest: int):
+        self.bits, self.each = bits, max(1, min(62 // bits, longest))
+        self.count = -(-longest // self.each)
+        self.columns = [f"_w{j}" for j in range(self.count)]
 
+    def first(self, later: Callable[[str, int], Column]) -> Column:
+        """A place's first word; later(c, j) is c at the place j rows later, or null if there is none."""
+        parts = [F.shiftleft(F.coalesce(later("_c", j), F.lit(0)), self.bits * (self.each - 1 - j)) for j in range(self.each)]
+        return reduce(Column.bitwiseOR, parts)
 
-def ngram_counts(ranks: dict[int, DataFrame], lengths: list[int], least: int = 1) -> DataFrame:
-    """(_k, n, _n, frequency) of each n-gram of these lengths that stands ``least`` times or more; _n is where it first stands.
+    def cut(self, n: Column) -> dict[str, Column]:
+        """The words of the first n tokens; what comes later is 0."""
+        masks = F.array(*[F.lit(-(1 << self.bits * (self.each - r)) if r else 0).cast("long") for r in range(self.each + 1)])
+        valid = lambda j: F.greatest(F.lit(0), F.least(F.lit(self.each), n - j * self.each))
+        return {name: F.col(name).bitwiseAND(F.element_at(masks, valid(j) + 1)) for j, name in enumerate(self.columns)}
 
-    An n-gram is the pair of its first and last stretch of the greatest power of two, which overlap.
+
+def ngram_counts(tokens: DataFrame, lengths: list[int], least: int = 1) -> DataFrame:
+    """(_k, n, _n, frequency) of each n-gram of tokens(_k, _n, x) of these lengths that stands ``least`` times or more; _n is where it first stands.
+
+    Each place has the numbers of its next tokens packed into a few words, made by one pass over chunks of numbered rows, so
+    no text of an n-gram is built and equal words are equal n-grams.  Places with the same longest n-gram become one row with
+    their count before anything else is counted, so frequent n-grams are no skew.  Counts from the middle length on need no
+    shuffle of their own: n-grams with the same beginning are in one partition, and where the beginning is too rare, all longer ones are.
     """
-    out = None
-    for n in lengths:
-        m = 1 << (n.bit_length() - 1)
-        by = ["_r"] if m == n else ["_a", "_b"]
-        rows = ranks[m] if m == n else paired_ranks(ranks[m], n - m)
-        found = rows.groupBy("_k", *by).agg(F.min("_n").alias("_n"), F.count("*").alias("frequency")).where(F.col("frequency") >= least).select("_k", F.lit(n).alias("n"), "_n", "frequency")
-        out = found if out is None else out.unionByName(found)
-    return out
+    lengths, longest = sorted(lengths), max(lengths)
+    middle = lengths[len(lengths) // 2]
+    rows, bits = coded(tokens)
+    words, size = Words(bits, longest), max(CHUNK, longest)
+    chunk = lambda shift: F.floor((F.col("_n") - 1 - shift) / size)
+    dealt = rows.select("_k", "_n", "_c", chunk(0).alias("_own"), F.explode(F.sequence(F.greatest(F.lit(0), chunk(longest - 1)), chunk(0))).alias("_in"))
+    back = W.partitionBy("_k", "_in").orderBy(F.desc("_n"))  # so later rows are those seen before
+    seen = back.rowsBetween(W.unboundedPreceding, 0)
+    end = F.coalesce(F.last(F.when(F.col("_c").isNull(), F.col("_n")), ignorenulls=True).over(seen), F.first("_n").over(seen) + 1)
+    later = lambda c, j: F.lag(c, j).over(back) if j else F.col(c)
+    places = dealt.withColumns({"_w0": words.first(later), "_m": F.least(F.lit(longest), end - F.col("_n")).cast("int")})
+    places = places.select("*", *[F.coalesce(later("_w0", j * words.each), F.lit(0)).alias(f"_w{j}") for j in range(1, words.count)])
+    places = places.where((F.col("_in") == F.col("_own")) & (F.col("_m") >= lengths[0])).withColumns(words.cut(F.col("_m")))
+    counted = [F.min("_n").alias("_n"), F.sum("_f").alias("_f")]
+    whole = kept(places.groupBy("_k", "_m", *words.columns).agg(F.min("_n").alias("_n"), F.count("*").alias("_f")))
+
+    def of(df: DataFrame, some: list[int], by: list[str]) -> DataFrame:
+        each = df.withColumn("n", F.explode(F.filter(F.array(*map(F.lit, some)), lambda x: x <= F.col("_m"))))
+        found = each.withColumns(words.cut(F.col("n"))).groupBy("_k", *by, "n", *words.columns).agg(*counted)
+        return found.where(F.col("_f") >= least).select("_k", "n", "_n", F.col("_f").alias("frequency"))
+
+    start = [f"_p{j}" for j in range(words.count)]
+    begun = whole.where(F.col("_m") >= middle).withColumns(dict(zip(start, words.cut(F.lit(middle)).values(), strict=True)))
+    begun = begun.withColumn("_all", F.sum("_f").over(W.partitionBy("_k", *start))).where(F.col("_all") >= least)
+    out = of(begun, [n for n in lengths if n >= middle], start)
+    short = [n for n in lengths if n < middle]
+    if not short:
+        return out
+    less = whole.withColumn("_m", F.least("_m", F.lit(short[-1])))
+    less = less.withColumns(words.cut(F.col("_m"))).groupBy("_k", "_m", *words.columns).agg(*counted)
+    return out.unionByName(of(less, short, []))
 
 
 def signatures(found: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -134,9 +177,9 @@ def signatures(found: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def repeated_ngrams(events: DataFrame, item: Column, longest: int, shortest: int = 2, keys: tuple[str, ...] = ("room",), least: int = 3, times: float = 2.0, alphabet: int = 4) -> DataFrame:
     """N-grams with enough occurrences and more than ``times`` what chance gives: (N - n + 1) / alphabet^n, N being the key's rows."""
-    tokens, ranks = ngram_ranks(events, item, longest, keys, least)
+    tokens = numbered_tokens(events, item, keys)
     totals = events.groupBy(key_of(keys).alias("_k")).agg(F.count("*").alias("_total"))
-    joined = ngram_counts(ranks, list(range(shortest, longest + 1)), least).join(totals.hint("merge"), "_k")
+    joined = ngram_counts(tokens, list(range(shortest, longest + 1)), least).join(totals.hint("merge"), "_k")
     expected = (F.col("_total") - F.col("n") + 1) / F.pow(F.lit(float(alphabet)), F.col("n"))
     chosen = joined.withColumn("expected", expected).where(F.col("frequency") > times * F.col("expected"))
     out = signatures(chosen.withColumn("significance", F.least(F.lit(1.0), F.col("frequency") / (0.1 * F.col("_total")))), tokens)
@@ -145,8 +188,7 @@ def repeated_ngrams(events: DataFrame, item: Column, longest: int, shortest: int
 
 def long_sequences(events: DataFrame, item: Column, lengths: list[int], keys: tuple[str, ...] = ("room",)) -> DataFrame:
     """For each key and length, how many sequences there are, of how many kinds, and how often the commonest stands."""
-    _, ranks = ngram_ranks(events, item, max(lengths), keys)
-    out = ngram_counts(ranks, lengths).groupBy("_k", "n").agg(F.count("*").alias("kinds"), F.sum("frequency").alias("total"), F.max("frequency").alias("most"))
+    out = ngram_counts(numbered_tokens(events, item, keys), lengths).groupBy("_k", "n").agg(F.count("*").alias("kinds"), F.sum("frequency").alias("total"), F.max("frequency").alias("most"))
     return out.select(*[F.col("_k")[k].alias(k) for k in keys], "n", "kinds", "total", "most")
 
 
