@@ -131,8 +131,8 @@ def ngram_counts(tokens: DataFrame, lengths: list[int], least: int = 1) -> DataF
 
     Each place has the numbers of its next tokens packed into a few words, made by one pass over chunks of numbered rows, so
     no text of an n-gram is built and equal words are equal n-grams.  Places with the same longest n-gram become one row with
-    their count before anything else is counted, so frequent n-grams are no skew.  Counts from the middle length on need no
-    shuffle of their own: n-grams with the same beginning are in one partition, and where the beginning is too rare, all longer ones are.
+    their count before anything else is counted, so frequent n-grams are no skew.  Counts from the middle length on are windows
+    over one sort: n-grams with the same beginning stand together, and where the beginning is too rare, all longer ones are.
     """
     lengths, longest = sorted(lengths), max(lengths)
     middle = lengths[len(lengths) // 2]
@@ -140,31 +140,40 @@ def ngram_counts(tokens: DataFrame, lengths: list[int], least: int = 1) -> DataF
     words, size = Words(bits, longest), max(CHUNK, longest)
     chunk = lambda shift: F.floor((F.col("_n") - 1 - shift) / size)
     dealt = rows.select("_k", "_n", "_c", chunk(0).alias("_own"), F.explode(F.sequence(F.greatest(F.lit(0), chunk(longest - 1)), chunk(0))).alias("_in"))
-    back = W.partitionBy("_k", "_in").orderBy(F.desc("_n"))  # so later rows are those seen before
+    back = W.partitionBy("_in", "_k").orderBy(F.desc("_n"))  # so later rows are those seen before
     seen = back.rowsBetween(W.unboundedPreceding, 0)
     end = F.coalesce(F.last(F.when(F.col("_c").isNull(), F.col("_n")), ignorenulls=True).over(seen), F.first("_n").over(seen) + 1)
     later = lambda c, j: F.lag(c, j).over(back) if j else F.col(c)
     places = dealt.withColumns({"_w0": words.first(later), "_m": F.least(F.lit(longest), end - F.col("_n")).cast("int")})
     places = places.select("*", *[F.coalesce(later("_w0", j * words.each), F.lit(0)).alias(f"_w{j}") for j in range(1, words.count)])
     places = places.where((F.col("_in") == F.col("_own")) & (F.col("_m") >= lengths[0])).withColumns(words.cut(F.col("_m")))
-    counted = [F.min("_n").alias("_n"), F.sum("_f").alias("_f")]
     whole = kept(places.groupBy("_k", "_m", *words.columns).agg(F.min("_n").alias("_n"), F.count("*").alias("_f")))
 
-    def of(df: DataFrame, some: list[int], by: list[str]) -> DataFrame:
-        each = df.withColumn("n", F.explode(F.filter(F.array(*map(F.lit, some)), lambda x: x <= F.col("_m"))))
-        found = each.withColumns(words.cut(F.col("n"))).groupBy("_k", *by, "n", *words.columns).agg(*counted)
-        return found.where(F.col("_f") >= least).select("_k", "n", "_n", F.col("_f").alias("frequency"))
-
-    start = [f"_p{j}" for j in range(words.count)]
-    begun = whole.where(F.col("_m") >= middle).withColumns(dict(zip(start, words.cut(F.lit(middle)).values(), strict=True)))
-    begun = begun.withColumn("_all", F.sum("_f").over(W.partitionBy("_k", *start))).where(F.col("_all") >= least)
-    out = of(begun, [n for n in lengths if n >= middle], start)
-    short = [n for n in lengths if n < middle]
+    long, short = [n for n in lengths if n >= middle], [n for n in lengths if n < middle]
+    nested, done = {}, 0  # what a length adds to the words of the one before
+    for n in long:
+        nested[n] = {f"_p{n}_{j}": words.cut(F.lit(n))[f"_w{j}"] for j in range(done // words.each, -(-n // words.each))}
+        done = n
+    ordered = whole.where(F.col("_m") >= middle).select("_k", "_m", "_n", "_f", *[c.alias(name) for added in nested.values() for name, c in added.items()])
+    steps = {n: [*added, "_k"] if n == middle else list(added) for n, added in nested.items()}  # numbers first, they sort fastest
+    ordered = ordered.repartition(*steps[middle]).sortWithinPartitions(*sum(steps.values(), []))
+    by = []
+    for n in long:  # each window's order is a beginning of the sort's
+        by += steps[n]
+        w, fits = W.partitionBy(*by), F.col("_m") >= n
+        ordered = ordered.select("*", F.sum(F.when(fits, F.col("_f"))).over(w).alias(f"_f{n}"), F.min(F.when(fits, F.col("_n"))).over(w).alias(f"_n{n}"))
+        if n == middle:
+            ordered = ordered.where(F.col(f"_f{n}") >= least)
+    each = F.array(*[F.when((F.col("_n") == F.col(f"_n{n}")) & (F.col(f"_f{n}") >= least), F.struct(F.lit(n).alias("n"), "_n", F.col(f"_f{n}").alias("frequency"))) for n in long])
+    out = ordered.select("_k", F.inline(F.filter(each, lambda x: x.isNotNull())))
     if not short:
         return out
+    counted = [F.min("_n").alias("_n"), F.sum("_f").alias("_f")]
     less = whole.withColumn("_m", F.least("_m", F.lit(short[-1])))
     less = less.withColumns(words.cut(F.col("_m"))).groupBy("_k", "_m", *words.columns).agg(*counted)
-    return out.unionByName(of(less, short, []))
+    less = less.withColumn("n", F.explode(F.filter(F.array(*map(F.lit, short)), lambda x: x <= F.col("_m"))))
+    less = less.withColumns(words.cut(F.col("n"))).groupBy("_k", "n", *words.columns).agg(*counted)
+    return out.unionByName(less.where(F.col("_f") >= least).select("_k", "n", "_n", F.col("_f").alias("frequency")))
 
 
 def signatures(found: DataFrame, tokens: DataFrame) -> DataFrame:
