@@ -76,20 +76,21 @@ def with_outcome(preds: DataFrame, occupancy: DataFrame, tolerance_s: float = 30
 
     The nearest one is the last one up to that time or the first one from it on.  Both are found by one pass over a
     room's rows in order, so no pairs are made, however many observations are near.  Rows are dealt to time buckets,
-    observations to each bucket that they can reach.
+    observations to each bucket that they can reach.  A row carries an observation (``occupied`` is a boolean) as one
+    number, four times its time plus what was seen, as all rows of a task are sorted twice.
     """
     reach = int(tolerance_s * SECOND)
     place = lambda t: F.floor(t / F.lit(max(4 * reach, SECOND)))
-    seen = occupancy.where("ts is not null and room is not null").select("room", micros("ts").alias("_t"), F.struct(micros("ts").alias("t"), F.col("event_id").alias("id"), F.col("occupied").alias("is")).alias("_seen"))
-    kind = seen.schema["_seen"].dataType
-    asked = preds.withColumns({"_t": micros("predicted_for"), "_seen": F.lit(None).cast(kind), "_side": F.lit(1), "_in": place(micros("predicted_for"))})
+    seen = occupancy.where("ts is not null and room is not null").select("room", micros("ts").alias("_t"), F.col("event_id").alias("_id"), (4 * micros("ts") + F.coalesce(F.col("occupied").cast("int"), F.lit(2))).alias("_seen"))
+    asked = preds.withColumns({"_t": micros("predicted_for"), "_id": F.lit(None).cast(seen.schema["_id"].dataType), "_seen": F.lit(None).cast("long"), "_side": F.lit(1), "_in": place(micros("predicted_for"))})
     blank = [F.lit(None).cast(preds.schema[c].dataType).alias(c) for c in preds.columns if c != "room"]
     dealt = seen.select("*", *blank, F.lit(0).alias("_side"), F.explode(F.sequence(place(F.col("_t") - reach), place(F.col("_t") + reach))).alias("_in"))
-    nearest = lambda time: F.last("_seen", ignorenulls=True).over(W.partitionBy("_in", "room").orderBy(time, "_side", F.desc("_seen.id")).rowsBetween(W.unboundedPreceding, 0))
+    nearest = lambda time: F.last("_seen", ignorenulls=True).over(W.partitionBy("_in", "room").orderBy(time, "_side", F.desc("_id")).rowsBetween(W.unboundedPreceding, 0))
     rows = asked.unionByName(dealt).select("*", nearest(F.asc("_t")).alias("_to"), nearest(F.desc("_t")).alias("_from")).where("_side = 1")
-    away = lambda c: F.abs(F.col(c)["t"] - F.col("_t"))
+    away = lambda c: F.abs(F.shiftright(c, 2) - F.col("_t"))
     found = F.least(*[F.when(away(c) <= reach, F.struct(away(c).alias("away"), F.col(c).alias("seen"))) for c in ("_to", "_from")])
-    return rows.select(*preds.columns, found["seen"]["is"].alias("actual_outcome")).withColumn("prediction_error", F.abs(F.col("probability") - F.col("actual_outcome").cast("double")))
+    was = found["seen"].bitwiseAND(F.lit(3))
+    return rows.select(*preds.columns, F.when(was < 2, was == 1).alias("actual_outcome")).withColumn("prediction_error", F.abs(F.col("probability") - F.col("actual_outcome").cast("double")))
 
 
 def accuracy_near(preds: DataFrame, occupancy: DataFrame, tolerance_s: float) -> DataFrame:
