@@ -74,9 +74,7 @@ METRICS = EV + f", mt AS (SELECT room, {CONFUSION}, avg(confidence) AS confidenc
 
 
 def metrics(v):
-    e = occupancy.with_outcome(v.pr, v.oc)
-    sure = e.where("actual_outcome is not null").groupBy("room").agg(F.avg("confidence").alias("confidence"))
-    return rollups.confusion(e, ["room"]).join(sure, "room")
+    return rollups.confusion(occupancy.with_outcome(v.pr, v.oc), ["room"], confidence=F.avg("confidence"))
 
 
 @query("e09_health", METRICS + ", h AS (SELECT room, (0.4*least(1, accuracy/0.9) + 0.2*greatest(0, 1 - fp_rate/0.2) + 0.2*greatest(0, 1 - fn_rate/0.2) + 0.2*confidence)*least(1, n/100) AS health FROM mt) SELECT room, round(health, 4) AS health, CASE WHEN health >= 0.8 THEN 'excellent' WHEN health >= 0.6 THEN 'good' WHEN health >= 0.4 THEN 'fair' ELSE 'poor' END AS status FROM h")
