@@ -77,7 +77,9 @@ def with_outcome(preds: DataFrame, occupancy: DataFrame, tolerance_s: float = 30
     The nearest one is the last one up to that time or the first one from it on.  Both are found by one pass over a
     room's rows in order, so no pairs are made, however many observations are near.  Rows are dealt to time buckets,
     observations to each bucket that they can reach.  A row carries an observation (``occupied`` is a boolean) as one
-    number, four times its time plus what was seen, as all rows of a task are sorted twice.
+    number, four times its time plus what was seen.  All rows of a task are sorted once: of observations at one time only
+    that of the least event_id counts, so the last one and the next one are read off the same order.  They are dealt to
+    all the session's shuffle partitions, as a few tasks of merged ones would sort more the more rows there are.
     """
     reach = int(tolerance_s * SECOND)
     place = lambda t: F.floor(t / F.lit(max(4 * reach, SECOND)))
@@ -85,8 +87,11 @@ def with_outcome(preds: DataFrame, occupancy: DataFrame, tolerance_s: float = 30
     asked = preds.withColumns({"_t": micros("predicted_for"), "_id": F.lit(None).cast(seen.schema["_id"].dataType), "_seen": F.lit(None).cast("long"), "_side": F.lit(1), "_in": place(micros("predicted_for"))})
     blank = [F.lit(None).cast(preds.schema[c].dataType).alias(c) for c in preds.columns if c != "room"]
     dealt = seen.select("*", *blank, F.lit(0).alias("_side"), F.explode(F.sequence(place(F.col("_t") - reach), place(F.col("_t") + reach))).alias("_in"))
-    nearest = lambda time: F.last("_seen", ignorenulls=True).over(W.partitionBy("_in", "room").orderBy(time, "_side", F.desc("_id")).rowsBetween(W.unboundedPreceding, 0))
-    rows = asked.unionByName(dealt).select("*", nearest(F.asc("_t")).alias("_to"), nearest(F.desc("_t")).alias("_from")).where("_side = 1")
+    w = W.partitionBy("_in", "room").orderBy("_t", "_side", "_id")
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = asked.unionByName(dealt).repartition(parts, "_in", "room").withColumn("_seen", F.when(F.coalesce(F.lag("_t").over(w) < F.col("_t"), F.lit(True)), F.col("_seen")))
+    following = F.expr("lead(_seen) ignore nulls over (partition by _in, room order by _t, _side, _id)")
+    rows = first.select("*", F.last("_seen", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_to"), following.alias("_from")).where("_side = 1")
     away = lambda c: F.abs(F.shiftright(c, 2) - F.col("_t"))
     found = F.least(*[F.when(away(c) <= reach, F.struct(away(c).alias("away"), F.col(c).alias("seen"))) for c in ("_to", "_from")])
     was = found["seen"].bitwiseAND(F.lit(3))
